@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from kinweave.llm import quality, urlrules
+from kinweave.llm import quality, simhash, substring, urlrules
 
 QUERIES = {
+    "op2_rlz_repeats": substring.op2_rlz_repeats,
+    "op7_golay_simhash": simhash.op7_golay_simhash,
     "op8_adaptive_quality": quality.op8_adaptive_quality,
     "op10_url_rules": urlrules.op10_url_rules,
 }
 ORACLES = {
+    "op2_rlz_repeats": substring.ORACLE,
     "op8_adaptive_quality": quality.ORACLE,
 }
