@@ -175,9 +175,13 @@ def judge(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
     an empty result. The fences go to the documents salted, so that a group of any size is spread; Spark
     broadcasts them only while their table is known to be small.
     """
-    rules = rules or QualityRules()
-    measured = measure(docs)
-    table = durable(fences(sketch(measured), rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    return _judged(measure(docs), rules or QualityRules())
+
+
+def _judged(measured: DataFrame, rules: QualityRules) -> DataFrame:
+    table = durable(
+        fences(durable(sketch(measured)), rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
     salt = F.pmod(F.xxhash64("row.doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
     left = measured.select("*", *[c.alias(f"m_{n}") for n, c in _measures().items()], salt.alias("salt")).alias("d")
     joined = left.join(
@@ -200,7 +204,8 @@ def keep_good(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
 
 def op8_adaptive_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return judge(docs).select(
+    counts = measure(docs).withColumn("row", F.struct("row.doc_id", "row.lang", "row.source"))
+    return _judged(durable(counts), QualityRules()).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
