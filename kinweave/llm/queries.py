@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from kinweave.llm import quality, simhash, substring, urlrules
+from kinweave.llm import encoding, packing, quality, simhash, substring, toxicity, urlrules
 
 QUERIES = {
     "op2_rlz_repeats": substring.op2_rlz_repeats,
+    "op4_streaming_bpe": encoding.op4_streaming_bpe,
+    "op5_differencing_pack": packing.op5_differencing_pack,
     "op7_golay_simhash": simhash.op7_golay_simhash,
     "op8_adaptive_quality": quality.op8_adaptive_quality,
+    "op9_mil_toxicity": toxicity.op9_mil_toxicity,
     "op10_url_rules": urlrules.op10_url_rules,
 }
 ORACLES = {
