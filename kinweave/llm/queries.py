@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from kinweave.llm import encoding, packing, quality, simhash, substring, toxicity, urlrules
+from kinweave.llm import ann, encoding, lm, packing, quality, simhash, substring, tokencounts, toxicity, urlrules
 
 QUERIES = {
+    "op1_edit_aware_counts": tokencounts.op1_edit_aware_counts,
     "op2_rlz_repeats": substring.op2_rlz_repeats,
+    "op3_attention_lm": lm.op3_attention_lm,
     "op4_streaming_bpe": encoding.op4_streaming_bpe,
     "op5_differencing_pack": packing.op5_differencing_pack,
+    "op6_permutation_index": ann.op6_permutation_index,
     "op7_golay_simhash": simhash.op7_golay_simhash,
     "op8_adaptive_quality": quality.op8_adaptive_quality,
     "op9_mil_toxicity": toxicity.op9_mil_toxicity,

@@ -1,0 +1,53 @@
+import math
+
+import numpy as np
+
+from kinweave.llm import ann
+
+
+def brute(rows, k, every):
+    seen = sorted({(i, tuple(v)) for i, v in rows})
+    out = []
+    for i, q in seen:
+        if i % every == 0:
+            scores = sorted((-math.fsum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in seen if j != i)
+            out += [(i, r + 1, j, round(-s, 9)) for r, (s, j) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def rows_of(result):
+    return sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in result.collect())
+
+
+def test_few_vectors_are_searched_whole(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=5).round(2).tolist()) for i in range(60)]
+    rows += [(100 + i, rows[3][1]) for i in range(40)] + [(5, rows[5][1]), (200, rows[0][1]), (220, (2 * np.array(rows[0][1])).tolist())]
+    bad = [(300, None), (320, [0.0] * 5), (340, [1.0, None, 1.0, 1.0, 1.0]), (360, [float("nan")] * 5), (380, [float("inf")] + [0.0] * 4), (400, [1.0]), (None, [1.0] * 5)]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows + bad], "vec_id long, embedding array<double>, key int")
+    assert rows_of(ann.search(frame, ann.AnnParams(order=16))) == brute(rows, 20, 20)
+    three = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 1.0])], "vec_id long, embedding array<float>")
+    assert rows_of(ann.search(three)) == [(20, 1, 1, 0.5)]
+    assert ann.search(frame.limit(0)).count() == 0
+
+
+def test_recall(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    params = ann.AnnParams(block=500)
+    got = {}
+    for r in ann.search(frame, params).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (150 * 20) >= 0.9
+
+
+def test_footrule_by_hand():
+    members = np.array([[0, 1], [1, 0], [2, 3]])
+    assert ann.footrule(members, np.array([0, 1]), 4).tolist() == [0, 2, 6]
