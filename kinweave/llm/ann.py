@@ -82,12 +82,12 @@ def search(vectors: DataFrame, params: AnnParams | None = None, every: int = 20)
     )
     queries = durable(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), key))
     n = distinct.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     wanted = max(4, min(params.max_pivots, n, int(params.pivots * n**0.5)))
     sample = distinct.orderBy("key").limit(wanted).select("vector").toPandas()
     pivots = np.array(sample["vector"].tolist(), np.float64).reshape(len(sample), -1)
     pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def represent(batches):
         for batch in batches:
