@@ -1,6 +1,478 @@
-"""The registered queries over the driver's tables, with their DuckDB oracles."""
+"""The registered queries over the driver's tables, with their DuckDB oracles.
+
+Stand-ins: customers and suppliers are genes, nations and regions pathways. Customer to supplier through orders
+is an interaction, to nation an annotation; nation to region is the hierarchy. Slices of the embeddings are
+replicates.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.functions.columns import cosine, log_stats
+from kinweave.operators import embed, graph, network, stats, walks
+from kinweave.params import SyntheticParams, association_params, node2vec_params
+from kinweave.plans import report, synthetic
+from kinweave.plans.analysis import node2vec
+from kinweave.sources import catalog, ingest, ontology
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its oracle if there is one."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of summing does not show."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def named(prefix: str, key: str):
+    return F.concat(F.lit(prefix), F.col(key).cast("string"))
+
+
+# ---------------------------------------------------------------- stand-in tables
+
+
+def trade(spark, d) -> DataFrame:
+    """Orders with their lines: from (customer), to (supplier), and the line's columns."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus")
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("*", named("C", "o_custkey").alias("from"), named("S", "l_suppkey").alias("to"))
+
+
+def interactions(spark, d) -> DataFrame:
+    """from, to, score, physical."""
+    score = F.sum(F.round(F.col("l_discount") * 100).cast("long")) / (F.count(F.lit(1)) * F.lit(10.0))
+    return trade(spark, d).groupBy("from", "to").agg(score.alias("score"), F.bool_or(F.col("l_returnflag") == "R").alias("physical"))
+
+
+def annotations(spark, d) -> DataFrame:
+    customers = read(spark, d, "customer").select(named("C", "c_custkey").alias("from"), named("N", "c_nationkey").alias("to"))
+    return customers.union(read(spark, d, "supplier").select(named("S", "s_suppkey"), named("N", "s_nationkey")))
+
+
+def hierarchy(spark, d) -> DataFrame:
+    return read(spark, d, "nation").select(named("N", "n_nationkey").alias("from"), named("R", "n_regionkey").alias("to"))
+
+
+def bundle(spark, d) -> network.EdgeBundle:
+    return network.EdgeBundle(interactions(spark, d), annotations(spark, d), hierarchy(spark, d))
+
+
+def some_genes(spark, d) -> DataFrame:
+    """Every third customer, every second supplier, and two that don't exist."""
+    customers = read(spark, d, "customer").where("c_custkey % 3 = 0").select(named("C", "c_custkey").alias("gene"))
+    suppliers = read(spark, d, "supplier").where("s_suppkey % 2 = 0").select(named("S", "s_suppkey"))
+    return customers.union(suppliers).union(spark.createDataFrame([("X1",), ("X2",)], "gene string"))
+
+
+def sparse(spark, d) -> DataFrame:
+    """A sparse graph: first lines of every fortieth order."""
+    return trade(spark, d).where("l_linenumber = 1 AND l_orderkey % 40 = 0").select("from", "to").distinct()
+
+
+_TRADE = """trade AS (SELECT 'C' || o_custkey AS "from", 'S' || l_suppkey AS "to", l_orderkey, l_linenumber, l_discount, l_returnflag, l_linestatus, o_orderpriority
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_INTER = _TRADE + """, inter AS (SELECT "from", "to", sum(round(l_discount * 100)::BIGINT)::DOUBLE / (count(*) * 10::DOUBLE) AS score, bool_or(l_returnflag = 'R') AS physical
+  FROM trade GROUP BY 1, 2)"""
+_NET = _INTER + """, ann AS (SELECT 'C' || c_custkey AS "from", 'N' || c_nationkey AS "to" FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier),
+  hier AS (SELECT 'N' || n_nationkey AS "from", 'R' || n_regionkey AS "to" FROM nation),
+  net AS (SELECT "from", "to", 'interaction' AS type FROM inter UNION SELECT "from", "to", 'part_of' FROM ann UNION SELECT "from", "to", 'hierarchy' FROM hier)"""
+_GENES = """genes AS (SELECT 'C' || c_custkey AS gene FROM customer WHERE c_custkey % 3 = 0 UNION SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 UNION VALUES ('X1'), ('X2'))"""
+_FILTERED = _NET + ", " + _GENES + """, p AS (SELECT "from", "to" FROM inter WHERE "from" IN (FROM genes) AND "to" IN (FROM genes)), a AS (SELECT * FROM ann WHERE "from" IN (FROM genes)),
+  f AS (SELECT "from", "to", 'interaction' AS type FROM p UNION SELECT "from", "to", 'part_of' FROM a UNION SELECT "from", "to", 'hierarchy' FROM hier)"""
+_SPARSE = _TRADE + """, sparse AS (SELECT DISTINCT "from", "to" FROM trade WHERE l_linenumber = 1 AND l_orderkey % 40 = 0)"""
+
+
+def _u(*parts: str) -> str:
+    """The hash uniform in SQL."""
+    return "(('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 13))::BIGINT / pow(2.0, 52))"
+
+
+# ---------------------------------------------------------------- tables and ingest
+
+
+@query("SELECT DISTINCT 'S' || s_suppkey AS ensembl_id, s_name AS symbol, 'n' || s_nationkey AS biotype FROM supplier")
+def gene_dim_distinct(spark, d):
+    s = read(spark, d, "supplier")
+    targets = s.select(named("S", "s_suppkey").alias("id"), F.col("s_name").alias("approvedSymbol"), named("n", "s_nationkey").alias("biotype"))
+    return ingest.gene_main(targets.union(targets))
+
+
+@query(f'WITH {_INTER} SELECT "from", "to", score FROM inter WHERE score >= 0.6')
+def score_threshold(spark, d):
+    return catalog.scored(interactions(spark, d).select("from", "to", "score"), "score", 0.6)
+
+
+@query(f'WITH {_INTER} SELECT "from", "to", score FROM inter WHERE score >= 0.6 AND physical')
+def score_and_flag(spark, d):
+    return catalog.scored(interactions(spark, d), "score", 0.6).where("physical").select("from", "to", "score")
+
+
+@query("""SELECT 'C' || o_custkey AS "from", 'O' || o_orderkey AS "to", o_orderpriority AS relationship FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""")
+def relationship_in(spark, d):
+    o = read(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
+    return o.select(named("C", "o_custkey").alias("from"), named("O", "o_orderkey").alias("to"), F.col("o_orderpriority").alias("relationship"))
+
+
+@query("""SELECT * FROM (SELECT 'ENSG' || CASE WHEN l_suppkey % 7 = 0 THEN 'GOG' ELSE '' END || l_suppkey AS "from", CASE WHEN l_partkey % 5 = 0 THEN 'MUS' ELSE 'ENSG' END || l_partkey AS "to" FROM lineitem)
+WHERE contains("from", 'ENSG') AND contains("to", 'ENSG') AND NOT contains("from", 'ENSGGOG') AND NOT contains("to", 'ENSGGOG')""")
+def name_contains_not(spark, d):
+    odd = F.when(F.col("l_suppkey") % 7 == 0, "GOG").otherwise("")
+    a = F.concat(F.lit("ENSG"), odd, F.col("l_suppkey").cast("string"))
+    b = F.concat(F.when(F.col("l_partkey") % 5 == 0, "MUS").otherwise("ENSG"), F.col("l_partkey").cast("string"))
+    return ingest.human_edges(read(spark, d, "lineitem").select(a.alias("from"), b.alias("to")))
+
+
+@query("""SELECT vec_id AS "from", unnest(embedding)::DOUBLE AS "to" FROM embeddings""")
+def unnest_list(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.struct(x.cast("double").alias("value"))).alias("items"))
+    return ingest.unnested(e, "vec_id", "items", "value")
+
+
+@query("""SELECT 'N' || n_nationkey AS "from", 'R' || n_regionkey AS "to", 'child_of' AS relationship FROM nation
+UNION ALL SELECT 'N' || n_nationkey, unnest(['R' || n_regionkey, 'W']), 'descendant_of' FROM nation UNION ALL SELECT 'N' || n_nationkey, 'X' || n_nationkey, 'parent_of' FROM nation WHERE n_nationkey % 2 = 0""")
+def unpivot_relations(spark, d):
+    up, none = named("R", "n_regionkey"), F.array().cast("array<string>")
+    n = read(spark, d, "nation").select(
+        named("N", "n_nationkey").alias("id"), F.array(up).alias("parents"), F.array(up, F.lit("W")).alias("ancestors"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.array(named("X", "n_nationkey"))).alias("children"), none.alias("descendants"),
+    )
+    return ingest.unpivoted_relations(n)
+
+
+@query("""SELECT event_id, event_type, json_extract(props, '$.k')::BIGINT AS k FROM events""")
+def nested_expand(spark, d):
+    e = read(spark, d, "events").select("event_id", "event_type", F.from_json("props", "k long").alias("interactionResources"))
+    return ingest.expanded(e)
+
+
+@query("""WITH ids AS (SELECT c_name AS symbol, min('C' || c_custkey) AS id FROM customer WHERE c_name IS NOT NULL GROUP BY 1),
+raw AS (SELECT a.c_name AS a, o_orderpriority AS type, b.c_name AS b FROM orders JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN customer b ON b.c_custkey = o_orderkey % 200)
+SELECT DISTINCT x.id AS "from", y.id AS "to", type FROM raw JOIN ids x ON a = x.symbol JOIN ids y ON b = y.symbol""")
+def symbol_translate(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_name")
+    o = read(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 200).alias("other"), F.col("o_orderpriority").alias("INTERACTION_TYPE"))
+    raw = o.join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("PARTICIPANT_A")), "o_custkey")
+    raw = raw.join(c.select(F.col("c_custkey").alias("other"), F.col("c_name").alias("PARTICIPANT_B")), "other", "left")
+    return ingest.interactions_pc(raw, c.select(named("C", "c_custkey").alias("ensembl_id"), F.col("c_name").alias("symbol")))
+
+
+@query("""SELECT 'ENSG' || l_suppkey AS "from", 'ENSG' || l_partkey % 50 AS "to", l_discount AS intact_score, bool_or(l_returnflag = 'R') AS physical_association
+FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3""")
+def any_type_contains(spark, d):
+    kind = F.when(F.col("l_returnflag") == "R", "physical association (test)").otherwise("colocalization")
+    base = F.when(F.col("l_linestatus") == "F", "intact").otherwise("string")
+    rows = read(spark, d, "lineitem").select(
+        named("ENSG", "l_suppkey").alias("targetA"), F.concat(F.lit("ENSG"), (F.col("l_partkey") % 50).cast("string")).alias("targetB"),
+        F.col("l_discount").alias("interactionScore"), kind.alias("interactionTypeShortName"), F.struct(base.alias("sourceDatabase")).alias("interactionResources"),
+    )
+    return ingest.interactions_intact(rows)
+
+
+@query(f"""WITH {_TRADE} SELECT "from", "to", bool_or(l_returnflag = 'A') AS "A", bool_or(l_returnflag = 'N') AS "N", bool_or(l_returnflag = 'R') AS "R" FROM trade GROUP BY 1, 2""")
+def combined_pivot(spark, d):
+    return ingest.source_flags(trade(spark, d).select("from", "to", F.col("l_returnflag").alias("source")), ("A", "N", "R"))
+
+
+@query()
+def obo_relations(spark, d):
+    """Nations and regions as stanzas of an ontology file, written and parsed again."""
+    import uuid
+
+    from kinweave.functions.durable import shared_folder
+
+    n = read(spark, d, "nation")
+    lines = F.concat(
+        F.lit("[Term]\nid: N:"), F.col("n_nationkey").cast("string"), F.lit("\nname: "), "n_name", F.lit("\nnamespace: place\nis_a: R:"),
+        F.col("n_regionkey").cast("string"), F.lit(" ! region\nrelationship: part_of W:1 ! world"),
+    )
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    n.select(lines.alias("value")).write.option("lineSep", "\n\n").text(path)
+    return ontology.parse_obo(spark, path)["term_relations"]
+
+
+# ---------------------------------------------------------------- networks
+
+
+@query(f'WITH {_NET} SELECT "from", "to", type FROM net')
+def typed_network(spark, d):
+    return bundle(spark, d).network()
+
+
+@query(f'WITH {_FILTERED} SELECT "from", "to", type FROM f')
+def filtered_network(spark, d):
+    return bundle(spark, d).filtered(some_genes(spark, d), warn=False).gwn
+
+
+@query(f"""WITH {_FILTERED}, r AS (SELECT "from" AS name FROM p UNION SELECT "to" FROM p UNION SELECT "from" FROM a)
+SELECT 'gene' AS kind, name FROM r UNION ALL SELECT 'missing', gene FROM genes WHERE gene NOT IN (FROM r)
+UNION ALL SELECT 'pathway', x FROM (SELECT "to" AS x FROM a UNION SELECT "from" FROM hier UNION SELECT "to" FROM hier)""")
+def represented_and_missing(spark, d):
+    f = bundle(spark, d).filtered(some_genes(spark, d), warn=False)
+    kind = lambda df, name, what: df.select(F.lit(what).alias("kind"), F.col(name).alias("name"))
+    return kind(f.represented_genes, "gene", "gene").union(kind(f.missing_genes, "gene", "missing")).union(kind(f.represented_pathways, "pathway", "pathway"))
+
+
+@query(f"""WITH {_NET} SELECT (SELECT count(*) FROM inter) + (SELECT count(*) FROM ann) + (SELECT count(*) FROM hier) AS n_edges,
+(SELECT count(*) FROM (SELECT "from" FROM net UNION SELECT "to" FROM net)) AS n_nodes""")
+def network_size(spark, d):
+    b = bundle(spark, d)
+    return spark.createDataFrame([(b.n_edges, b.n_nodes)], "n_edges long, n_nodes long")
+
+
+@query(f"""WITH {_TRADE} SELECT "from", "to", min(o_orderpriority) AS source FROM trade GROUP BY 1, 2""")
+def first_source_wins(spark, d):
+    order = tuple(sorted(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]))
+    return network.first_source_wins(trade(spark, d).select("from", "to", F.col("o_orderpriority").alias("source")), order)
+
+
+@query(f"WITH {_NET} SELECT type, count(*) AS n FROM net GROUP BY 1")
+def edge_type_counts(spark, d):
+    return bundle(spark, d).network().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_INTER} SELECT least("from", "to") AS "from", greatest("from", "to") AS "to", max(score) AS weight FROM
+(SELECT "from", "to", score FROM inter UNION ALL SELECT "to", "from", score / 2 FROM inter) GROUP BY 1, 2""")
+def prepared_edges(spark, d):
+    i = interactions(spark, d).select("from", "to", F.col("score").alias("weights"))
+    return graph.prepare_edges(i.union(i.select("to", "from", F.col("weights") / 2)))
+
+
+@query(f"""WITH {_NET} SELECT node, count(*) AS degree FROM (SELECT "from" AS node FROM net WHERE type = 'interaction' UNION ALL SELECT "to" FROM net WHERE type = 'interaction') GROUP BY 1""")
+def node_degree(spark, d):
+    return graph.node_degree(bundle(spark, d).network().where("type = 'interaction'"))
+
+
+@query(f"""WITH {_NET}, dg AS (SELECT type, node, count(*) AS n FROM (SELECT type, "from" AS node FROM net UNION ALL SELECT type, "to" FROM net) GROUP BY 1, 2)
+SELECT type, min(n) AS minimum, round(quantile_cont(n::DOUBLE, 0.25), 6) AS q1, round(quantile_cont(n::DOUBLE, 0.5), 6) AS median, round(quantile_cont(n::DOUBLE, 0.75), 6) AS q3, max(n) AS maximum, round(avg(n), 6) AS mean FROM dg GROUP BY 1""")
+def degree_summary(spark, d):
+    return rounded(graph.degree_summary(bundle(spark, d).network()))
+
+
+@query(f"""WITH {_SPARSE} SELECT "from" AS node, "to" AS neighbour FROM sparse WHERE "from" <> "to" UNION SELECT "to", "from" FROM sparse WHERE "from" <> "to" """)
+def adjacency(spark, d):
+    return graph.adjacency(sparse(spark, d))
+
+
+_COMPONENTS = f"""WITH RECURSIVE {_SPARSE}, adj AS (SELECT "from" AS a, "to" AS b FROM sparse UNION SELECT "to", "from" FROM sparse),
+reach AS (SELECT a AS node, a AS other FROM adj UNION SELECT reach.node, adj.b FROM reach JOIN adj ON reach.other = adj.a),
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
+
+
+@query(f"{_COMPONENTS} SELECT node, component FROM comp")
+def components(spark, d):
+    return graph.components(sparse(spark, d))
+
+
+@query(f"""{_COMPONENTS}, big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
+SELECT "from", "to" FROM sparse JOIN comp ON "from" = node JOIN big USING (component)""")
+def largest_component(spark, d):
+    return graph.largest_component(sparse(spark, d))
+
+
+# ---------------------------------------------------------------- similarity and statistics
+
+
+def replicates(spark, d) -> DataFrame:
+    """rep, vec_id, label, embedding: three slices of twenty dimensions."""
+    e = read(spark, d, "embeddings")
+    parts = F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.slice("embedding", 1 + 20 * (r - 1), 20).alias("embedding")) for r in (1, 2, 3)])).alias("x")
+    return e.select("vec_id", "label", parts).select("x.rep", "vec_id", "label", "x.embedding")
+
+
+def observed(spark, d) -> DataFrame:
+    """rep, gene, pathway, similarity of the vectors of a label: those divisible by five against the others."""
+    e = read(spark, d, "embeddings").select("vec_id", "label")
+    genes = e.where("vec_id % 5 = 0").select("label", named("V", "vec_id").alias("gene"))
+    pairs = genes.join(e.where("vec_id % 5 <> 0").select("label", named("V", "vec_id").alias("pathway")), "label")
+    return stats.pair_cosine(pairs, replicates(spark, d).select("rep", named("V", "vec_id").alias("node"), "embedding"))
+
+
+def null_values(spark, d) -> DataFrame:
+    """similarity of a gene and the pathways among the seven next vectors, whatever their label."""
+    r = replicates(spark, d)
+    genes = r.where("vec_id % 5 = 0").select("rep", F.col("embedding").alias("a"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 7)).alias("vec_id"))
+    return genes.join(r.where("vec_id % 5 <> 0"), ["rep", "vec_id"]).select(cosine(F.col("a"), F.col("embedding")).alias("similarity"))
+
+
+def tested(spark, d) -> DataFrame:
+    return stats.replicate_statistics(observed(spark, d), null_values(spark, d))
+
+
+def association(spark, d) -> DataFrame:
+    return rounded(stats.combine_replicates(tested(spark, d)))
+
+
+_COS = "list_dot_product(g.e, p.e) / (sqrt(list_dot_product(g.e, g.e)) * sqrt(list_dot_product(p.e, p.e)))"
+_SIM = f"""emb AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+rep AS (SELECT r AS rep, vec_id, label, e[1 + 20 * (r - 1):20 * r] AS e FROM emb, generate_series(1, 3) AS t(r)),
+sim AS (SELECT g.rep, 'V' || g.vec_id AS gene, 'V' || p.vec_id AS pathway, {_COS} AS similarity FROM rep g JOIN rep p ON g.rep = p.rep AND g.label = p.label WHERE g.vec_id % 5 = 0 AND p.vec_id % 5 <> 0),
+nul AS (SELECT round({_COS}, 9) AS v FROM rep g JOIN rep p ON g.rep = p.rep AND p.vec_id - g.vec_id BETWEEN 1 AND 7 WHERE g.vec_id % 5 = 0 AND p.vec_id % 5 <> 0)"""
+_P = _SIM + """, run AS (SELECT v, z, sum(z) OVER (ORDER BY v, z ROWS UNBOUNDED PRECEDING) AS rank FROM (SELECT v, 1 AS z FROM nul UNION ALL SELECT DISTINCT round(similarity, 9), 0 FROM sim)),
+pv AS (SELECT sim.*, greatest(1 - rank::DOUBLE / (SELECT count(*) FROM nul), 1e-16) AS pval FROM sim JOIN run ON round(similarity, 9) = v AND z = 0)"""
+_BH = _P + """, raw AS (SELECT *, (count(*) OVER (PARTITION BY rep))::DOUBLE / count(*) OVER (PARTITION BY rep ORDER BY pval) * pval AS raw1,
+  (count(*) OVER (PARTITION BY rep, gene))::DOUBLE / count(*) OVER (PARTITION BY rep, gene ORDER BY pval) * pval AS raw2 FROM pv),
+bh AS (SELECT *, least(1.0::DOUBLE, min(raw1) OVER (PARTITION BY rep ORDER BY pval RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS global_fdr,
+  least(1.0::DOUBLE, min(raw2) OVER (PARTITION BY rep, gene ORDER BY pval RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS gene_fdr FROM raw)"""
+
+
+def _log_stats_sql(value: str, name: str) -> str:
+    g = f"greatest(0::DOUBLE, least(1::DOUBLE, exp(avg(ln({value} + 1e-16))) - 1e-16))"
+    step = f"exp(coalesce(stddev_samp(ln({value} + 1e-16)), 0) * 1.96 / sqrt(count({value})))"
+    bound = lambda x: f"round(CASE WHEN count({value}) <= 1 THEN 1e-16 ELSE greatest(0::DOUBLE, least(1::DOUBLE, {x})) END, 6)"
+    return f"round({g}, 6) AS avg_{name}, {bound(f'{g} / {step}')} AS {name}_ci_lower, {bound(f'{g} * {step}')} AS {name}_ci_upper"
+
+
+_STATS = _BH + f""", st AS (SELECT gene, pathway, round(avg(similarity), 6) AS similarity, round(coalesce(stddev_samp(similarity) / sqrt(count(*)), 0), 6) AS sem_sim,
+{_log_stats_sql('pval', 'pval')}, {_log_stats_sql('global_fdr', 'global_fdr')}, {_log_stats_sql('gene_fdr', 'gene_fdr')} FROM bh GROUP BY gene, pathway)"""
+
+
+@query(f"WITH {_SIM} SELECT rep, gene, pathway, round(similarity, 6) AS similarity FROM sim")
+def pair_cosine(spark, d):
+    return rounded(observed(spark, d))
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT a.label = b.label AS same, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id)
+SELECT round(avg(c) FILTER (same), 6) AS within_mean, round(avg(c) FILTER (NOT same), 6) AS between_mean FROM p""")
+def within_between(spark, d):
+    e = read(spark, d, "embeddings")
+    return rounded(stats.evaluate_clusters(e.select(F.col("vec_id").alias("node"), "embedding"), e.select(F.col("vec_id").alias("node"), F.col("label").alias("cluster"))))
+
+
+@query(f"WITH {_P} SELECT rep, gene, pathway, round(pval, 6) AS pval FROM pv")
+def empirical_pvalue(spark, d):
+    return rounded(stats.empirical_p(observed(spark, d), null_values(spark, d)).select("rep", "gene", "pathway", "pval"))
+
+
+@query(f"WITH {_BH} SELECT rep, gene, pathway, round(global_fdr, 6) AS global_fdr FROM bh")
+def bh_global(spark, d):
+    return rounded(tested(spark, d).select("rep", "gene", "pathway", "global_fdr"))
+
+
+@query(f"WITH {_BH} SELECT rep, gene, pathway, round(gene_fdr, 6) AS gene_fdr FROM bh")
+def bh_per_gene(spark, d):
+    return rounded(tested(spark, d).select("rep", "gene", "pathway", "gene_fdr"))
+
+
+@query(f"WITH {_STATS} SELECT * FROM st")
+def association_stats(spark, d):
+    return association(spark, d)
+
+
+@query(f"""WITH {_INTER} SELECT "from" AS gene, {_log_stats_sql('score', 'score')} FROM inter GROUP BY 1""")
+def log_statistics(spark, d):
+    return rounded(interactions(spark, d).groupBy(F.col("from").alias("gene")).agg(*log_stats("score", "score")))
+
+
+@query(f"WITH {_STATS} SELECT * FROM st ORDER BY similarity DESC, gene, pathway LIMIT 10")
+def top_associations(spark, d):
+    return association(spark, d).orderBy(F.desc("similarity"), "gene", "pathway").limit(10)
+
+
+@query(f"""WITH {_STATS}, dg AS (SELECT 'V' || l_suppkey AS gene, 2 * count(*) AS degree FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_suppkey % 10 = 0) GROUP BY 1)
+SELECT st.gene, round(avg((avg_gene_fdr <= 0.25)::INT), 6) AS ratio, count(*) AS connections, coalesce(max(degree), 0) AS degree FROM st LEFT JOIN dg ON st.gene = dg.gene GROUP BY 1""")
+def enrichment_ratio(spark, d):
+    lines = read(spark, d, "lineitem").where("l_suppkey % 10 = 0").select("l_suppkey", "l_orderkey").distinct()
+    loops = lines.select(named("V", "l_suppkey").alias("from"), named("V", "l_suppkey").alias("to"))
+    return rounded(report.enrichment(association(spark, d), loops))
+
+
+@query(f"""WITH {_SIM}, v AS (SELECT 'null' AS sample, v AS x FROM nul UNION ALL SELECT 'actual', round(similarity, 9) FROM sim),
+w AS (SELECT min(x) AS low, (max(x) - min(x)) / 50 AS w FROM v), t AS (SELECT sample, count(*) AS n FROM v GROUP BY 1),
+b AS (SELECT sample, least(floor((x - low) / w), 49)::INT AS bin, max(w) AS w, count(*) AS c FROM v, w GROUP BY 1, 2)
+SELECT b.sample, bin, c AS "count", round(c / (n * w), 6) AS density FROM b JOIN t ON b.sample = t.sample""")
+def similarity_histogram(spark, d):
+    x = F.round("similarity", 9).alias("similarity")
+    both = null_values(spark, d).select(F.lit("null").alias("sample"), x).union(observed(spark, d).select(F.lit("actual"), x))
+    return rounded(report.histogram(both))
+
+
+# ---------------------------------------------------------------- synthetic graphs, null graphs, walks
+
+_EDGES = """SELECT printf('node_%04d', u) AS "from", printf('node_%04d', v) AS "to", 'interaction' AS edge_type FROM """
+
+
+@query(_EDGES + "(SELECT u, v FROM generate_series(1, 40) AS a(u), generate_series(1, 40) AS b(v) WHERE u < v AND ((u <= 20) = (v <= 20) OR (u = 20 AND v = 21)))")
+def barbell(spark, d):
+    return synthetic.node2vec_test_data(spark, "barbell", 20).edges
+
+
+@query(_EDGES + f"""(SELECT u, v FROM generate_series(1, 50) AS a(u), generate_series(1, 50) AS b(v) WHERE u < v AND (u - 1) // 10 = (v - 1) // 10
+UNION ALL SELECT (a - 1) * 10 + 1 + floor({_u("'42'", "'left'", "a", "b")} * 10)::BIGINT, (b - 1) * 10 + 1 + floor({_u("'42'", "'right'", "a", "b")} * 10)::BIGINT
+FROM generate_series(1, 5) AS x(a), generate_series(1, 5) AS y(b) WHERE a < b AND {_u("'42'", "'bridge'", "a", "b")} < 0.5)""")
+def caveman(spark, d):
+    return synthetic.node2vec_test_data(spark, "cavemen", 10, 5, p_between=0.5).edges
+
+
+@query(_EDGES + f"""(SELECT u, v FROM generate_series(1, 30) AS a(u), generate_series(1, 30) AS b(v)
+WHERE u < v AND {_u("'42'", "u", "v")} < CASE WHEN (u - 1) // 10 = (v - 1) // 10 THEN 0.8 ELSE 0.05 END)""")
+def stochastic_block(spark, d):
+    return synthetic.node2vec_test_data(spark, "stochastic", 10, 3).edges
+
+
+@query(f"""WITH {_SPARSE}, dg AS (SELECT node, count(*) AS n FROM (SELECT "from" AS node FROM sparse UNION ALL SELECT "to" FROM sparse) GROUP BY 1),
+stubs AS (SELECT node, unnest(generate_series(1, n)) AS stub FROM dg), placed AS (SELECT node, row_number() OVER (ORDER BY {_u("'7'", "node", "stub")}, node) - 1 AS i FROM stubs),
+pairs AS (SELECT max(node) FILTER (i % 2 = 0) AS a, max(node) FILTER (i % 2 = 1) AS b FROM placed GROUP BY i // 2)
+SELECT DISTINCT least(a, b) AS "from", greatest(a, b) AS "to", 1.0::DOUBLE AS weight FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b""")
+def configuration_model(spark, d):
+    return graph.configuration_model(sparse(spark, d), 7)
+
+
+def _walk_sql(steps: int) -> str:
+    sql = f"""WITH {_SPARSE}, adj AS (SELECT "from" AS node, "to" AS nb FROM sparse UNION SELECT "to", "from" FROM sparse),
+w0 AS (SELECT node AS start, w AS walk_no, [node] AS path FROM (SELECT DISTINCT node FROM adj), generate_series(1, 2) AS t(w))"""
+    for i in range(1, steps):
+        bias = "CASE WHEN len(path) < 2 THEN 1.0 WHEN nb = path[-2] THEN 1.0 / 0.5 WHEN EXISTS (SELECT 1 FROM adj z WHERE z.node = path[-2] AND z.nb = adj.nb) THEN 1.0 ELSE 1.0 / 2 END"
+        u = _u("'42'", "start", "walk_no", f"'{i}'", "nb")
+        sql += f""", c{i} AS (SELECT start, walk_no, path, nb, -ln(greatest({u}, 1e-300)) / ({bias}) AS race FROM w{i - 1} JOIN adj ON adj.node = path[-1]),
+w{i} AS (SELECT start, walk_no, list_append(any_value(path), arg_min(nb, race)) AS path FROM c{i} GROUP BY 1, 2)"""
+    return sql + f" SELECT start, walk_no, array_to_string(path, ' ') AS path FROM w{steps - 1}"
+
+
+@query(_walk_sql(5))
+def random_walks(spark, d):
+    found = walks.random_walks(graph.neighbours(sparse(spark, d)), 2, 5, p=0.5, q=2.0)
+    return found.select("start", "walk_no", F.array_join("path", " ").alias("path"))
+
+
+# ---------------------------------------------------------------- trained results: rows only
+
+
+@query()
+def node2vec_embedding(spark, d):
+    edges = synthetic.node2vec_test_data(spark, "barbell", 8).edges
+    return node2vec(edges, params=node2vec_params(walks_per_node=10, walk_length=10, n_epochs=3))
+
+
+@query()
+def null_similarities(spark, d):
+    edges = synthetic.node2vec_test_data(spark, "stochastic", 8, 3).edges
+    return embed.null_similarities(edges, association_params(walks_per_node=5, n_epochs=1), 8, 2, 42)
+
+
+@query()
+def synthetic_association_data(spark, d):
+    return synthetic.association_data(spark, SyntheticParams()).full_data
+
+
+@query()
+def pca_2d(spark, d):
+    return report.pca_2d(read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding"))
