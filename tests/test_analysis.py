@@ -1,0 +1,47 @@
+import pytest
+from pyspark.sql import functions as F
+
+from kinweave.operators.stats import STATISTICS, evaluate_clusters
+from kinweave.params import SyntheticParams, association_params, node2vec_params
+from kinweave.plans import report, synthetic
+from kinweave.plans.analysis import Analysis, node2vec
+
+
+@pytest.mark.parametrize("kind,n,k,p", [("barbell", 10, 2, 0.05), ("cavemen", 8, 3, 0.5)])
+def test_embedding_separates_clusters(spark, kind, n, k, p):
+    g = synthetic.node2vec_test_data(spark, kind, n, k, p_between=p)
+    assert g.node_labels.groupBy("cluster").count().count() == k
+    params = node2vec_params(walks_per_node=20, walk_length=16, n_epochs=8, lr=0.05)
+    vectors = node2vec(g.edges, params=params)
+    means = evaluate_clusters(vectors, g.node_labels).first()
+    assert means.within_mean >= 0.3 and means.between_mean < means.within_mean
+
+
+def test_shapes_of_synthetic_graphs(spark):
+    assert synthetic.node2vec_test_data(spark, "barbell", 20).edges.count() == 381
+    with pytest.raises(ValueError):
+        synthetic.node2vec_test_data(spark, "ring")
+    data = synthetic.association_data(spark, SyntheticParams())
+    assert data.full_data.groupBy("type").count().count() == 3
+    per_gene = data.gene_to_pathways.groupBy("from").count()
+    assert per_gene.count() == 150 + 150 + 9 * 16 and per_gene.agg(F.max("count")).first()[0] <= 25
+
+
+def test_pipeline(spark):
+    params = SyntheticParams(n_signal_genes=20, n_noise_genes=20, n_roots=4, depth=2, p_ppi=0.3, min_annotations=4, max_annotations=6, min_noise_subtrees=4)
+    data = synthetic.association_data(spark, params)
+    a = Analysis(data.full_data, data.gene_to_pathways, data.gene_ids, data.pathway_ids)
+    for step in (a.with_null, a.with_statistics, a.stats):
+        with pytest.warns(UserWarning):
+            step()
+    walks = association_params(walks_per_node=20, walk_length=8, n_epochs=4, lr=0.05)
+    a = a.with_embedding(n_graph=2, params=walks).with_null(n_perm=1).with_statistics()
+    assert a.embedding.groupBy("rep").count().count() == 2
+    assert tuple(a.stats().columns) == STATISTICS
+    kind = F.when(F.col("gene").startswith("gene_signal"), "signal").when(F.col("gene").startswith("gene_noise"), "noise")
+    rows = {r.kind: r for r in a.statistics.groupBy(kind.alias("kind")).agg(F.avg("similarity").alias("s"), F.avg("avg_pval").alias("p")).collect()}
+    assert rows["signal"].s > rows["noise"].s and rows["signal"].p < rows["noise"].p
+    assert "statistics: yes" in a.describe() and a.degree_distribution().count() == 3
+    plot = report.similarity_plot_data(a)
+    assert {r[0] for r in plot.select("sample").distinct().collect()} == {"perm_1", "actual"}
+    assert report.result_plot_data(a).agg(F.max("ratio")).first()[0] <= 1
