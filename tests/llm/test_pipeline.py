@@ -1,0 +1,65 @@
+import random
+from collections import Counter
+
+import numpy as np
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from kinweave.llm.encoding import tokenizer_path
+
+
+def corpus():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(60)
+    rows, toxic = [], set()
+    for i in range(400):
+        rows.append([i, text(rng.randint(40, 120)), "en", f"s{i % 3}"])
+        if i % 8 == 0:
+            toxic.add(i)
+            rows[-1][1] = rows[-1][1].replace(" ", " dreadful. ", 1).replace(" ", " hateful ", 3)
+    for i in range(400, 404):
+        rows.append([i, rows[i - 399][1], "en", "s0"])  # copies of 1 to 4
+    for i in range(410, 415):
+        rows.append([i, f"{text(80)} {passage} {text(70)}", "en", "s1"])
+    for i in range(420, 440):
+        rows.append([i, " ".join(word() + "###" for _ in range(50)), "en", "s2"])
+    rows += [[500, None, "en", "s0"], [501, "short", None, None], [502, "", "en", "s1"]]
+    return rows, toxic, passage
+
+
+def test_stages(spark, tmp_path):
+    rows, toxic, passage = corpus()
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = {i for i, t, *_ in rows if i < 415}
+    now, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        kept.append({r.doc_id: r.text for r in now.collect()})
+    assert set(kept[0]) == clean
+    assert set(kept[1]) == clean - toxic
+    copies = {400 + k for k in range(4)}
+    assert set(kept[2]) == clean - toxic - copies
+    for i, text in kept[3].items():
+        assert text == (kept[2][i].replace(f"{passage} ", "") if 410 <= i < 415 else kept[2][i])
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    count = Counter()
+    for r in got:
+        count[r.doc_id] += r.length
+    assert count == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept[3].items()}
+    fill = Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 4096 and np.mean(list(fill.values())) > 3000
+
+
+def test_empty(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
