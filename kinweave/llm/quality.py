@@ -32,7 +32,7 @@ class QualityRules:
     reach: int = 3
     min_group: int = 200
     spread: dict = field(
-        default_factory=lambda: {"symbols": 50, "dup_lines": 250, "repeats": 100, "word_length": 300}
+        default_factory=lambda: {"symbols": 50, "dup_lines": 250, "repeats": 200, "word_length": 300}
     )
 
 
@@ -226,7 +226,7 @@ m AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 x AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS m1, 1000 * n_dup_lines // greatest(n_lines, 1) AS m2,
         1000 * n_repeat_words // greatest(n_words, 1) AS m3, 100 * word_chars // greatest(n_words, 1) AS m4 FROM m),
-u AS (SELECT lang, source, unnest([{'k': 1, 'v': m1, 's': 50}, {'k': 2, 'v': m2, 's': 250}, {'k': 3, 'v': m3, 's': 100}, {'k': 4, 'v': m4, 's': 300}]) AS z FROM x),
+u AS (SELECT lang, source, unnest([{'k': 1, 'v': m1, 's': 50}, {'k': 2, 'v': m2, 's': 250}, {'k': 3, 'v': m3, 's': 200}, {'k': 4, 'v': m4, 's': 300}]) AS z FROM x),
 s AS (SELECT lang, source, z.k AS k, z.s AS s, z.v - z.v % (1::BIGINT << greatest(length(bin(z.v)) - 6, 0)) AS value FROM u),
 g AS (SELECT DISTINCT lang, source FROM x),
 l AS (SELECT 1 AS lv, g.lang, g.source, k, s, value FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
