@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.functions.durable import shared_folder
+from kinweave.functions.shipping import ship
 from kinweave.llm import packing, quality, simhash, substring, toxicity
 from kinweave.llm.encoding import tokenizer_path
 
@@ -21,21 +22,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic by a model fitted to their labels."""
+    ship(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words or more that occur again; those without any word left stay, empty."""
+    ship(spark)
     return substring.remove_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
