@@ -33,12 +33,14 @@ FOLD = bytes(_FOLD)
 @dataclass(frozen=True)
 class ToxicityParams:
     """max_documents, max_bytes: bounds of the labelled sample that is fitted; min_documents: that a feature
-    must occur in; min_z: of its association with the label; max_features: features with weights."""
+    must occur in; min_z, min_phi: of its association with the label (the correlation, times the square root
+    of the number of documents and as it is); max_features: features with weights."""
 
     max_documents: int = 6000
     max_bytes: int = 64 << 20
-    min_documents: int = 4
-    min_z: float = 4.0
+    min_documents: int = 3
+    min_z: float = 2.5
+    min_phi: float = 0.07
     max_features: int = 4096
     steps: int = 300
     rate: float = 0.1
@@ -51,9 +53,9 @@ def sentences(text: str | None) -> list[list[bytes]]:
 
 
 def features(word: bytes) -> set[bytes]:
-    """A word and its beginnings of three to six characters, marked by a hyphen."""
+    """A word and its proper beginnings of three to nine characters, marked by a hyphen."""
     text = word.decode(errors="replace")
-    return {word, *(text[:n].encode() + b"-" for n in (3, 4, 5, 6) if len(text) >= n)}
+    return {word, *(text[:n].encode() + b"-" for n in range(3, 10) if len(text) > n)}
 
 
 class _Sums(dict):
@@ -114,7 +116,8 @@ def fit(texts: list[str], labels: list[int], params: ToxicityParams) -> Model:
         for w, (n, pos) in seen.items()
         if n >= params.min_documents
     }
-    chosen = sorted((w for w in z if z[w] >= params.min_z), key=lambda w: (-z[w], w))[: params.max_features]
+    least = max(params.min_z, params.min_phi * len(y) ** 0.5)
+    chosen = sorted((w for w in z if z[w] >= least), key=lambda w: (-z[w], w))[: params.max_features]
     index = {w: k for k, w in enumerate(chosen)}
     sentence, feature, doc = [], [], []
     for d, own in enumerate(bags):
