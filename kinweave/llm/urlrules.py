@@ -37,7 +37,7 @@ class MiningParams:
 
     min_support: float = 0.005
     min_count: int = 5
-    min_confidence: float = 0.5
+    min_confidence: float = 0.7
     min_lift: float = 1.5
     max_tokens: int = 4
 
