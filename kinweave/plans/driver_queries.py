@@ -322,7 +322,7 @@ def association(spark, d) -> DataFrame:
 
 _COS = "list_dot_product(g.e, p.e) / (sqrt(list_dot_product(g.e, g.e)) * sqrt(list_dot_product(p.e, p.e)))"
 _SIM = f"""emb AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-rep AS (SELECT r AS rep, vec_id, label, e[1 + 20 * (r - 1):20 * r] AS e FROM emb, generate_series(1, 3) AS t(r)),
+rep AS (SELECT r::INT AS rep, vec_id, label, e[1 + 20 * (r - 1):20 * r] AS e FROM emb, generate_series(1, 3) AS t(r)),
 sim AS (SELECT g.rep, 'V' || g.vec_id AS gene, 'V' || p.vec_id AS pathway, {_COS} AS similarity FROM rep g JOIN rep p ON g.rep = p.rep AND g.label = p.label WHERE g.vec_id % 5 = 0 AND p.vec_id % 5 <> 0),
 nul AS (SELECT round({_COS}, 9) AS v FROM rep g JOIN rep p ON g.rep = p.rep AND p.vec_id - g.vec_id BETWEEN 1 AND 7 WHERE g.vec_id % 5 = 0 AND p.vec_id % 5 <> 0)"""
 _P = _SIM + """, run AS (SELECT v, z, sum(z) OVER (ORDER BY v, z ROWS UNBOUNDED PRECEDING) AS rank FROM (SELECT v, 1 AS z FROM nul UNION ALL SELECT DISTINCT round(similarity, 9), 0 FROM sim)),
@@ -438,7 +438,7 @@ def configuration_model(spark, d):
 
 def _walk_sql(steps: int) -> str:
     sql = f"""WITH {_SPARSE}, adj AS (SELECT "from" AS node, "to" AS nb FROM sparse UNION SELECT "to", "from" FROM sparse),
-w0 AS (SELECT node AS start, w AS walk_no, [node] AS path FROM (SELECT DISTINCT node FROM adj), generate_series(1, 2) AS t(w))"""
+w0 AS (SELECT node AS start, w::INT AS walk_no, [node] AS path FROM (SELECT DISTINCT node FROM adj), generate_series(1, 2) AS t(w))"""
     for i in range(1, steps):
         bias = "CASE WHEN len(path) < 2 THEN 1.0 WHEN nb = path[-2] THEN 1.0 / 0.5 WHEN EXISTS (SELECT 1 FROM adj z WHERE z.node = path[-2] AND z.nb = adj.nb) THEN 1.0 ELSE 1.0 / 2 END"
         u = _u("'42'", "start", "walk_no", f"'{i}'", "nb")
