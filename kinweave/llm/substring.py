@@ -169,9 +169,9 @@ def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
     kept = "row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ">"
     schema = f"{kept}, n_words long, n_removed long, factors array<struct<start:int,length:int>>, kept_text string"
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.col("row.text").alias("text"), F.xxhash64("row.doc_id", "row.text").alias("doc_key")
+        "row", F.xxhash64("row.doc_id", "row.text").alias("doc_key")
     )
-    found = duplicate_windows(held.select("doc_key", "text"), span)
+    found = duplicate_windows(held.select("doc_key", F.col("row.text").alias("text")), span)
     spans = found.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n_windows")).alias("spans"))
 
     def run(batches):
@@ -191,7 +191,8 @@ def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 "kept_text": pa.array(kept_text, pa.string()),
             })
 
-    return held.join(spans, "doc_key", "left").select("row", "text", "spans").mapInArrow(run, schema)
+    joined = held.join(spans, "doc_key", "left").select("row", F.col("row.text").alias("text"), "spans")
+    return joined.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -223,7 +224,7 @@ g AS (SELECT doc_id, i, md5(list_aggregate(words[i:i + 34], 'string_agg', ' '))
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS p FROM r) GROUP BY doc_id),
 p AS (SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM w),
-x AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM p
+x AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.k) AS kept FROM p
       LEFT JOIN (SELECT doc_id, unnest(gone) AS k FROM c) AS c ON p.doc_id = c.doc_id AND p.k = c.k WHERE c.k IS NULL GROUP BY p.doc_id),
 runs AS (SELECT doc_id, count(*) AS n_factors FROM
   (SELECT doc_id, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS step FROM (SELECT doc_id, unnest(gone) AS k FROM c)) WHERE step IS NULL OR step > 1 GROUP BY doc_id)
