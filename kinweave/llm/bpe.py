@@ -26,7 +26,7 @@ UNEVEN = re.compile(r"\s[ \n]|\x00")
 NO_RANK = np.int32(2**31 - 1)
 CHUNK = 1 << 16
 LONG = 96
-MEMO = 150_000
+MEMO = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -100,21 +100,28 @@ class MergeTable:
         slot[wrong] = size
         return slot.reshape(left.shape)
 
-    def encode_many(self, pretokens: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each pre-token, merged together by rank, the leftmost of equal ranks first."""
-        out: list = [None] * len(pretokens)
+    def encode_many(self, pretokens: list[bytes]) -> list[bytes]:
+        """Token ids of each pre-token, as little-endian 32-bit integers."""
+        out: list = [b""] * len(pretokens)
         order = sorted(range(len(pretokens)), key=lambda i: len(pretokens[i]))
         low = 0
         while low < len(order):
             high = min(len(order), low + max(1, (1 << 15) // max(1, len(pretokens[order[low]]))))
             while high - low > 1 and len(pretokens[order[high - 1]]) > 2 * max(4, len(pretokens[order[low]])):
                 high = (low + high) // 2
-            for i, ids in zip(order[low:high], self._merge([pretokens[i] for i in order[low:high]]), strict=True):
-                out[i] = ids
+            ids, count = self._merge([pretokens[i] for i in order[low:high]])
+            data, row = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
+            for k, (i, n) in enumerate(zip(order[low:high], count.tolist(), strict=True)):
+                out[i] = data[k * row : k * row + 4 * n]
             low = high
         return out
 
-    def _merge(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode_one(self, pretoken: bytes) -> np.ndarray:
+        ids, count = self._merge([pretoken])
+        return ids[0, : count[0]]
+
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word in a row, and their number. The pair of least rank is merged first, the leftmost of equal ones."""
         count = np.fromiter(map(len, words), np.int64, len(words))
         width = max(1, int(count.max()))
         ids = np.full((len(words), width + 1), -1, np.int64)
@@ -148,7 +155,7 @@ class MergeTable:
                 touched = at >= 0
                 ranks[np.flatnonzero(touched), at[touched]] = fresh[touched]
             rank[active] = ranks
-        return [ids[i, : count[i]].astype("<u4") for i in range(len(words))]
+        return ids, count
 
     def _at(self, ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.find(ids[rows, at], ids[rows, at + 1])
@@ -157,7 +164,7 @@ class MergeTable:
         """Stable tokens of a pre-token of any length, window by window."""
         window, at = 512 + self.lookahead, 0
         while True:
-            ids = self._merge([pretoken[at : at + window]])[0]
+            ids = self.encode_one(pretoken[at : at + window])
             if at + window >= len(pretoken):
                 yield ids
                 return
@@ -222,23 +229,22 @@ class Transducer:
 
     def learn(self, wanted: set[str]) -> None:
         """Puts the units into the young memo; when that is full it becomes the old one."""
-        missing = wanted - self.young.keys()
+        missing = [u for u in wanted if u not in self.young]
         if len(self.young) + len(missing) > MEMO:
-            self.old, self.young = self.young, {"": b""}
-            missing = wanted - self.young.keys()
-        fresh = []
+            self.old, self.young, missing = self.young, {"": b""}, list(wanted)
+        cut = {}
         for unit in missing:
             known = self.old.get(unit)
             if known is None:
-                fresh.append(unit)
+                simple = unit[:1] == " " and unit[1:].isalpha()
+                cut[unit] = [unit.encode()] if simple else [p.encode() for p in PATTERN.findall(unit)]
             else:
                 self.young[unit] = known
-        parts = [[p.encode() for p in PATTERN.findall(u)] for u in fresh]
-        short = list({p for own in parts for p in own if len(p) <= LONG})
-        ids = dict(zip(short, (x.tobytes() for x in self.table.encode_many(short)), strict=True))
-        for unit, own in zip(fresh, parts, strict=True):
+        short = list({p for own in cut.values() for p in own if len(p) <= LONG})
+        ids = dict(zip(short, self.table.encode_many(short), strict=True))
+        for unit, own in cut.items():
             self.young[unit] = b"".join(
-                ids[p] if len(p) <= LONG else b"".join(x.tobytes() for x in self.table.encode_long(p)) for p in own
+                ids[p] if len(p) <= LONG else b"".join(x.astype("<u4").tobytes() for x in self.table.encode_long(p)) for p in own
             )
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:

@@ -33,7 +33,7 @@ END_ID = 2
 PIECE = 256
 #: Mean windows in a cell; what a task holds is a few times this.
 CELL_WINDOWS = 128
-MEMO = 150_000
+MEMO = 300_000
 #: Words of Latin-1 without white space or controls: for them lower-casing is all there is to normalization.
 PLAIN = re.compile("[!-~\xa1-\xff]+")
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -54,28 +54,32 @@ class WordEncoder:
         self.old: dict[bytes, bytes] = {}
 
     def learn(self, wanted: set[bytes]) -> None:
-        missing = wanted - self.young.keys()
+        missing = [w for w in wanted if w not in self.young]
         if len(self.young) + len(missing) > MEMO:
-            self.old, self.young = self.young, {}
-            missing = wanted
-        fresh = []
+            self.old, self.young, missing = self.young, {}, list(wanted)
+        single, split, other = {}, {}, []
         for word in missing:
             known = self.old.get(word)
-            if known is None:
-                fresh.append(word)
-            else:
+            if known is not None:
                 self.young[word] = known
-        plain, other = {}, []
-        for word in fresh:
-            text = word.decode()
-            if len(word) <= LONG and PLAIN.fullmatch(text) and "<|" not in text:
-                plain[word] = [p.encode() for p in PRETOKEN.findall(text.lower())]
+            elif word.isalpha() and len(word) <= LONG:
+                single[word] = word.lower()
             else:
-                other.append(word)
-        parts = list({p for own in plain.values() for p in own})
-        ids = dict(zip(parts, (x.tobytes() for x in self.table.encode_many(parts)), strict=True))
-        for word, own in plain.items():
-            self.young[word] = b"".join(map(ids.__getitem__, own))
+                text = word.decode()
+                if len(word) <= LONG and PLAIN.fullmatch(text) and "<|" not in text:
+                    text = text.lower()
+                    if text.isalpha():
+                        single[word] = text.encode()
+                    else:
+                        split[word] = tuple(p.encode() for p in PRETOKEN.findall(text))
+                else:
+                    other.append(word)
+        parts = list(set(single.values()).union(*split.values()))
+        ids = dict(zip(parts, self.table.encode_many(parts), strict=True))
+        for word, own in single.items():
+            self.young[word] = ids[own]
+        for word, several in split.items():
+            self.young[word] = b"".join(map(ids.__getitem__, several))
         for word, found in zip(other, self.library.encode_batch([w.decode() for w in other], add_special_tokens=False), strict=True):
             self.young[word] = np.array(found.ids, "<u4").tobytes()
 
