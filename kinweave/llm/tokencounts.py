@@ -20,92 +20,107 @@ from kinweave.llm.words import slices
 EDITS = "array<struct<at:int,removed:int,inserted:string>>"
 
 
-def leaves(coder: Transducer, text: str) -> tuple[list[str], list[int]]:
-    """The units of a text and the token count of each. Special tokens are units of their own."""
-    cut: list[str] = []
-    counts: list[int] = []
-    for segment, special in coder.segments(text):
-        own = [segment] if special is not None else [u for u in units(segment) if u]
-        if special is None:
-            coder.learn(set(own))
-        cut += own
-        counts += [1] if special is not None else [len(coder.young[u]) // 4 for u in own]
-    return cut, counts
+def cut(coder: Transducer, text: str) -> list[str]:
+    """The units of a text. Special tokens are units of their own."""
+    parts = coder.segments(text)
+    if len(parts) == 1 and parts[0][1] is None:
+        return [u for u in units(text) if u]
+    return [u for segment, special in parts for u in ([segment] if special is not None else units(segment)) if u]
+
+
+def learn(coder: Transducer, parts: list[list[str]]) -> None:
+    """Encodes the new units among all ``parts`` at once."""
+    coder.learn(set().union(*parts).difference(coder.table.special))
+
+
+def counts(coder: Transducer, parts: list[str]) -> list[int]:
+    """Tokens of each unit; the units must have been learned."""
+    young, special = coder.young, coder.table.special
+    return [len(young[u]) // 4 if u in young else (1 if u in special else 0) for u in parts]
 
 
 class Tree:
     """A segment tree over slots, each with the text, characters and tokens of one or more units.
 
-    ``sums[1]`` is the root; slot i is ``sums[size + i]``. An edit refills the first touched slot and
-    empties the others, so slots never move.
+    ``chars[1]`` and ``tokens[1]`` are the totals; slot i is at ``size + i``. An edit refills the first
+    touched slot and empties the others, so slots never move.
     """
 
-    def __init__(self, texts: list[str], counts: list[int]):
-        self.texts = texts
-        self.size = 1 << max(0, len(texts) - 1).bit_length()
-        self.sums = np.zeros((2 * self.size, 2), np.int64)
-        if texts:
-            self.sums[self.size : self.size + len(texts), 0] = [len(t) for t in texts]
-            self.sums[self.size : self.size + len(texts), 1] = counts
+    def __init__(self, texts: list[str], n_tokens: list[int]):
+        self.texts = texts or [""]
+        self.size = 1 << (len(self.texts) - 1).bit_length()
+        self.chars, self.tokens = self._summed(list(map(len, self.texts))), self._summed(n_tokens or [0])
+
+    def _summed(self, values: list[int]) -> list[int]:
+        sums = np.zeros(2 * self.size, np.int64)
+        sums[self.size : self.size + len(values)] = values
         half = self.size
         while half > 1:
-            self.sums[half // 2 : half] = self.sums[half : 2 * half].reshape(-1, 2, 2).sum(1)
+            sums[half // 2 : half] = sums[half : 2 * half].reshape(-1, 2).sum(1)
             half //= 2
-
-    @property
-    def characters(self) -> int:
-        return int(self.sums[1, 0])
-
-    @property
-    def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return sums.tolist()
 
     def slot(self, at: int) -> tuple[int, int]:
         """The slot of the character at ``at`` (the last that has any, at the end), and the characters before it."""
-        at, node, before = min(at, self.characters - 1), 1, 0
+        at, node, before = min(at, self.chars[1] - 1), 1, 0
         while node < self.size:
             node *= 2
-            if at - before >= self.sums[node, 0]:
-                before += int(self.sums[node, 0])
+            if at - before >= self.chars[node]:
+                before += self.chars[node]
                 node += 1
         return node - self.size, before
 
-    def put(self, slot: int, text: str, count: int) -> None:
+    def put(self, slot: int, text: str, n_tokens: int) -> None:
         self.texts[slot] = text
         node = self.size + slot
-        change = np.array([len(text), count]) - self.sums[node]
+        more_chars, more_tokens = len(text) - self.chars[node], n_tokens - self.tokens[node]
         while node:
-            self.sums[node] += change
+            self.chars[node] += more_chars
+            self.tokens[node] += more_tokens
             node //= 2
 
-    def edit(self, coder: Transducer, at: int, removed: int, inserted: str) -> int:
-        """Replaces ``removed`` characters from ``at`` by ``inserted``; returns how many characters were encoded again.
+    def region(self, at: int, removed: int, inserted: str, reach: int) -> tuple[int, int, str]:
+        """First and last slot whose tokens an edit can change, and their text after it.
 
-        Places beyond the text are moved to its end. The region grows while a special token could cross its edge.
+        ``removed`` characters from ``at`` are replaced by ``inserted``; places beyond the text are moved to its
+        end. Besides the slots that it overlaps the region has one on each side of them, and all within
+        ``reach`` characters, so that a special token that forms or breaks lies inside.
         """
-        if not self.texts:
-            self.texts, self.size, self.sums = [""], 1, np.zeros((2, 2), np.int64)
-        at = max(0, min(at, self.characters))
-        end = max(at, min(at + removed, self.characters))
-        reach = max([0, *map(len, coder.table.special)])
-        low = high = 0
-        before = 0
-        if self.characters:
+        length = self.chars[1]
+        at = max(0, min(at, length))
+        end = max(at, min(at + removed, length))
+        low = high = before = 0
+        if length:
             low, before = self.slot(max(0, at - reach - 1))
             if before:
                 low, before = self.slot(before - 1)
-            high, start = self.slot(min(self.characters - 1, end + reach))
-            after = start + int(self.sums[self.size + high, 0])
-            if after < self.characters:
+            high, start = self.slot(min(length - 1, end + reach))
+            after = start + self.chars[self.size + high]
+            if after < length:
                 high, _ = self.slot(after)
-        region = "".join(self.texts[low : high + 1])
-        region = region[: at - before] + inserted + region[end - before :]
-        _, counts = leaves(coder, region)
+        text = "".join(self.texts[low : high + 1])
+        return low, high, text[: at - before] + inserted + text[end - before :]
+
+    def refill(self, low: int, high: int, text: str, n_tokens: int) -> None:
         for slot in range(low + 1, high + 1):
-            if self.sums[self.size + slot].any():
+            if self.chars[self.size + slot]:
                 self.put(slot, "", 0)
-        self.put(low, region, sum(counts))
-        return len(region)
+        self.put(low, text, n_tokens)
+
+
+def edit_all(coder: Transducer, trees: list[Tree], edits: list) -> list[int]:
+    """Applies one edit (at, removed, inserted), or None, to each tree; characters that were encoded again, by tree.
+
+    The regions of all trees are encoded together.
+    """
+    reach = max([0, *map(len, coder.table.special)])
+    regions = [None if e is None else t.region(*e, reach) for t, e in zip(trees, edits, strict=True)]
+    parts = [[] if r is None else cut(coder, r[2]) for r in regions]
+    learn(coder, parts)
+    for tree, r, own in zip(trees, regions, parts, strict=True):
+        if r is not None:
+            tree.refill(*r, sum(counts(coder, own)))
+    return [0 if r is None else len(r[2]) for r in regions]
 
 
 def recount(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
@@ -118,15 +133,17 @@ def recount(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
 
     def run(batches):
         coder = transducer(path)
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             texts = batch.column("text").to_pylist()
-            coder.learn({u for t in texts for s, special in coder.segments(t) if special is None for u in units(s)})
-            out = []
-            for text, own in zip(texts, batch.column("edits").to_pylist(), strict=True):
-                tree = Tree(*leaves(coder, text))
-                before, n_units = tree.tokens, len(tree.texts)
-                again = sum(tree.edit(coder, e["at"] or 0, e["removed"] or 0, e["inserted"] or "") for e in own or [] if e)
-                out.append((before, tree.tokens, n_units, tree.characters, again))
+            edits = [[(e["at"] or 0, e["removed"] or 0, e["inserted"] or "") for e in own or [] if e] for own in batch.column("edits").to_pylist()]
+            parts = [cut(coder, t) for t in texts]
+            learn(coder, parts)
+            trees = [Tree(p, counts(coder, p)) for p in parts]
+            first = [(t.tokens[1], len(p)) for t, p in zip(trees, parts, strict=True)]
+            again = np.zeros(len(trees), np.int64)
+            for k in range(max(map(len, edits), default=0)):
+                again += edit_all(coder, trees, [e[k] if k < len(e) else None for e in edits])
+            out = [(n, t.tokens[1], u, t.chars[1], a) for (n, u), t, a in zip(first, trees, again.tolist(), strict=True)]
             columns = np.array(out, np.int64).reshape(-1, 5).T
             yield pa.record_batch(
                 [batch.column("doc_id"), *map(pa.array, columns)],

@@ -16,27 +16,32 @@ def apply(text, edits):
     return text
 
 
+def tree_of(coder, text):
+    parts = tokencounts.cut(coder, text)
+    tokencounts.learn(coder, [parts])
+    return tokencounts.Tree(parts, tokencounts.counts(coder, parts))
+
+
 def test_edits_match_full_encoding():
     rng = random.Random(1)
     library, coder = Tokenizer.from_file(PATH), transducer(PATH)
     alphabet = list("abc the ing \n\t.,'s1") + ["é", "🙂", "  ", "<|endoftext|>", "<|endof", "text|>"]
     make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
-    for _ in range(150):
-        text = make(rng.choice([0, 1, 5, 60, 400]))
-        tree, now = tokencounts.Tree(*tokencounts.leaves(coder, text)), text
-        assert tree.tokens == len(library.encode(text, add_special_tokens=False).ids)
-        for _ in range(6):
-            edit = (rng.randint(-2, len(now) + 3), rng.choice([0, 1, 5, 50, 10**6]), make(rng.choice([0, 0, 1, 3, 30])))
-            tree.edit(coder, *edit)
-            now = apply(now, [edit])
-            assert "".join(tree.texts) == now
-            assert (tree.tokens, tree.characters) == (len(library.encode(now, add_special_tokens=False).ids), len(now))
+    texts = [make(rng.choice([0, 1, 5, 60, 400])) for _ in range(150)]
+    trees = [tree_of(coder, t) for t in texts]
+    for _ in range(6):
+        for text, tree in zip(texts, trees, strict=True):
+            assert "".join(tree.texts) == text
+            assert (tree.tokens[1], tree.chars[1]) == (len(library.encode(text, add_special_tokens=False).ids), len(text))
+        edits = [(rng.randint(-2, len(t) + 3), rng.choice([0, 1, 5, 50, 10**6]), make(rng.choice([0, 0, 1, 3, 30]))) if rng.random() < 0.9 else None for t in texts]
+        tokencounts.edit_all(coder, trees, edits)
+        texts = [t if e is None else apply(t, [e]) for t, e in zip(texts, edits, strict=True)]
 
 
 def test_only_the_region_is_encoded_again():
     coder = transducer(PATH)
-    tree = tokencounts.Tree(*tokencounts.leaves(coder, "some words here and there " * 4000))
-    assert tree.edit(coder, 50_000, 3, "x") < 120
+    tree = tree_of(coder, "some words here and there " * 4000)
+    assert tokencounts.edit_all(coder, [tree], [(50_000, 3, "x")])[0] < 120
 
 
 def test_table(spark):
