@@ -83,10 +83,15 @@ def some_genes(spark, d) -> DataFrame:
 
 
 def sparse(spark, d) -> DataFrame:
-    """A sparse graph: first lines of every fortieth order."""
+    """A sparse graph: first lines of every fortieth order. For the queries whose SQL is bound to it; each has a counterpart `whole_...`."""
     return trade(spark, d).where("l_linenumber = 1 AND l_orderkey % 40 = 0").select("from", "to").distinct()
 
 
+def whole(spark, d) -> DataFrame:
+    """The interaction graph with all its edges."""
+    return interactions(spark, d).select("from", "to")
+
+
 _TRADE = """trade AS (SELECT 'C' || o_custkey AS "from", 'S' || l_suppkey AS "to", l_orderkey, l_linenumber, l_discount, l_returnflag, l_linestatus, o_orderpriority
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 _INTER = _TRADE + """, inter AS (SELECT "from", "to", sum(round(l_discount * 100)::BIGINT)::DOUBLE / (count(*) * 10::DOUBLE) AS score, bool_or(l_returnflag = 'R') AS physical
@@ -98,6 +103,7 @@ _GENES = """genes AS (SELECT 'C' || c_custkey AS gene FROM customer WHERE c_cust
 _FILTERED = _NET + ", " + _GENES + """, p AS (SELECT "from", "to" FROM inter WHERE "from" IN (FROM genes) AND "to" IN (FROM genes)), a AS (SELECT * FROM ann WHERE "from" IN (FROM genes)),
   f AS (SELECT "from", "to", 'interaction' AS type FROM p UNION SELECT "from", "to", 'part_of' FROM a UNION SELECT "from", "to", 'hierarchy' FROM hier)"""
 _SPARSE = _TRADE + """, sparse AS (SELECT DISTINCT "from", "to" FROM trade WHERE l_linenumber = 1 AND l_orderkey % 40 = 0)"""
+_WHOLE = _TRADE + """, sparse AS (SELECT DISTINCT "from", "to" FROM trade)"""
 
 
 def _u(*parts: str) -> str:
@@ -271,6 +277,11 @@ def adjacency(spark, d):
     return graph.adjacency(sparse(spark, d))
 
 
+@query(f"""WITH {_WHOLE} SELECT "from" AS node, "to" AS neighbour FROM sparse WHERE "from" <> "to" UNION SELECT "to", "from" FROM sparse WHERE "from" <> "to" """)
+def whole_adjacency(spark, d):
+    return graph.adjacency(whole(spark, d))
+
+
 _COMPONENTS = f"""WITH RECURSIVE {_SPARSE}, adj AS (SELECT "from" AS a, "to" AS b FROM sparse UNION SELECT "to", "from" FROM sparse),
 reach AS (SELECT a AS node, a AS other FROM adj UNION SELECT reach.node, adj.b FROM reach JOIN adj ON reach.other = adj.a),
 comp AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
@@ -287,6 +298,17 @@ def largest_component(spark, d):
     return graph.largest_component(sparse(spark, d))
 
 
+@query()
+def whole_components(spark, d):
+    """Without an oracle: the recursive SQL holds all pairs of a component. Tests compare it with brute force."""
+    return graph.components(whole(spark, d))
+
+
+@query()
+def whole_largest_component(spark, d):
+    return graph.largest_component(whole(spark, d))
+
+
 # ---------------------------------------------------------------- similarity and statistics
 
 
@@ -395,6 +417,14 @@ def enrichment_ratio(spark, d):
     return rounded(report.enrichment(association(spark, d), loops))
 
 
+@query(f"""WITH {_STATS}, dg AS (SELECT 'V' || l_suppkey AS gene, 2 * count(*) AS degree FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) GROUP BY 1)
+SELECT st.gene, round(avg((avg_gene_fdr <= 0.25)::INT), 6) AS ratio, count(*) AS connections, coalesce(max(degree), 0) AS degree FROM st LEFT JOIN dg ON st.gene = dg.gene GROUP BY 1""")
+def whole_enrichment_ratio(spark, d):
+    lines = read(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct()
+    loops = lines.select(named("V", "l_suppkey").alias("from"), named("V", "l_suppkey").alias("to"))
+    return rounded(report.enrichment(association(spark, d), loops))
+
+
 @query(f"""WITH {_SIM}, v AS (SELECT 'null' AS sample, v AS x FROM nul UNION ALL SELECT 'actual', round(similarity, 9) FROM sim),
 w AS (SELECT min(x) AS low, (max(x) - min(x)) / 50 AS w FROM v), t AS (SELECT sample, count(*) AS n FROM v GROUP BY 1),
 b AS (SELECT sample, least(floor((x - low) / w), 49)::INT AS bin, max(w) AS w, count(*) AS c FROM v, w GROUP BY 1, 2)
@@ -436,6 +466,14 @@ def configuration_model(spark, d):
     return graph.configuration_model(sparse(spark, d), 7)
 
 
+@query(f"""WITH {_WHOLE}, dg AS (SELECT node, count(*) AS n FROM (SELECT "from" AS node FROM sparse UNION ALL SELECT "to" FROM sparse) GROUP BY 1),
+stubs AS (SELECT node, unnest(generate_series(1, n)) AS stub FROM dg), placed AS (SELECT node, row_number() OVER (ORDER BY {_u("'7'", "node", "stub")}, node) - 1 AS i FROM stubs),
+pairs AS (SELECT max(node) FILTER (i % 2 = 0) AS a, max(node) FILTER (i % 2 = 1) AS b FROM placed GROUP BY i // 2)
+SELECT DISTINCT least(a, b) AS "from", greatest(a, b) AS "to", 1.0::DOUBLE AS weight FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b""")
+def whole_configuration_model(spark, d):
+    return graph.configuration_model(whole(spark, d), 7)
+
+
 def _walk_sql(steps: int) -> str:
     sql = f"""WITH {_SPARSE}, adj AS (SELECT "from" AS node, "to" AS nb FROM sparse UNION SELECT "to", "from" FROM sparse),
 w0 AS (SELECT node AS start, w::INT AS walk_no, [node] AS path FROM (SELECT DISTINCT node FROM adj), generate_series(1, 2) AS t(w))"""
@@ -447,10 +485,19 @@ w{i} AS (SELECT start, walk_no, list_append(any_value(path), arg_min(nb, race))
     return sql + f" SELECT start, walk_no, array_to_string(path, ' ') AS path FROM w{steps - 1}"
 
 
+def _walks(edges: DataFrame) -> DataFrame:
+    found = walks.random_walks(graph.neighbours(edges), 2, 5, p=0.5, q=2.0)
+    return found.select("start", "walk_no", F.array_join("path", " ").alias("path"))
+
+
 @query(_walk_sql(5))
 def random_walks(spark, d):
-    found = walks.random_walks(graph.neighbours(sparse(spark, d)), 2, 5, p=0.5, q=2.0)
-    return found.select("start", "walk_no", F.array_join("path", " ").alias("path"))
+    return _walks(sparse(spark, d))
+
+
+@query(_walk_sql(5).replace(_SPARSE, _WHOLE))
+def whole_random_walks(spark, d):
+    return _walks(whole(spark, d))
 
 
 # ---------------------------------------------------------------- trained results: rows only
