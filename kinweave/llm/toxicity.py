@@ -3,7 +3,9 @@
 A document is a bag of sentences of which only the document's label is known. A sentence's probability is
 a logistic function of its words; the document's is their noisy-or, 1 - prod(1 - p). Weights are fitted
 to document labels through the noisy-or, so that they settle on the words of the offending sentences,
-which scoring then points out.
+which scoring then points out. Scoring with a fitted model gives a document the probability of one neutral
+sentence, and a sentence adds what its words raise it above that, so that neutral sentences add nothing however
+many they are. In fitting they count in full: that is what draws the bias down, and weights are surer for it.
 """
 
 from __future__ import annotations
@@ -74,10 +76,12 @@ class _Sums(dict):
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of words and beginnings (bytes), and the bias of a sentence."""
+    """Weights of words and beginnings (bytes), and the bias of a sentence. above: a sentence adds only what lies
+    above a neutral one, and one neutral sentence counts for the document; else each counts in full."""
 
     weights: dict
     bias: float
+    above: bool = False
 
     def summed(self) -> _Sums:
         return _Sums(self.weights)
@@ -87,13 +91,16 @@ class Model:
         get, total, worst, best, over = (sums if sums is not None else self.summed()).__getitem__, 0.0, -1, 0.0, 0
         base = float(np.logaddexp(0.0, self.bias))
         for k, words in enumerate(sentences(text)):
+            if self.above and not k:
+                total = base
             s = sum(map(get, sorted(set(words))))
             if s:
-                total += float(np.logaddexp(0.0, s + self.bias))
+                own = float(np.logaddexp(0.0, s + self.bias))
+                total += max(0.0, own - base) if self.above else own
                 if s > best:
                     worst, best = k, s
                 over += s + self.bias > 0
-            else:
+            elif not self.above:
                 total += base
         return -float(np.expm1(-total)), worst, over
 
@@ -102,7 +109,7 @@ def fit(texts: list[str], labels: list[int], params: ToxicityParams) -> Model:
     """Fits the noisy-or of sentence probabilities to document labels by gradient descent, with soft thresholding."""
     y = np.array(labels, np.float64)
     if not 0 < y.sum() < len(y):
-        return Model({}, -20.0)
+        return Model({}, -20.0, True)
     bags = [sentences(t) for t in texts]
     seen: dict[bytes, list[int]] = {}
     for own, label in zip(bags, labels, strict=True):
@@ -141,14 +148,15 @@ def fit(texts: list[str], labels: list[int], params: ToxicityParams) -> Model:
         w = w - move[:-1]
         w = np.maximum(np.abs(w) - params.rate * params.l1, 0) * np.sign(w)
         b = min(b - move[-1], -4.0)
-    return Model({c: float(x) for c, x in zip(chosen, w, strict=True) if abs(x) > 0.05}, float(b))
+    return Model({c: float(x) for c, x in zip(chosen, w, strict=True) if abs(x) > 0.05}, float(b), True)
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None) -> Model:
     """Fits a model on a bounded sample of ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` mark.
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are left out. The sample is the first rows by hash of
-    doc_id, up to the bounds of ``params``. Null labels and texts are left out.
+    doc_id, up to the bounds of ``params``; a document that would pass max_bytes is skipped, the next ones are not.
+    Null labels and texts are left out.
     """
     params = params or ToxicityParams()
     crc = F.crc32(F.col("id").cast("string")) % 4
@@ -158,10 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
     sample = durable(texts.join(chosen, "id").select("id", "label", "text"))
-    sizes = sample.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id").limit(params.max_documents).collect()
-    upto = np.cumsum([r.n for r in sizes])
-    keep = {r.id for r, u in zip(sizes, upto, strict=True) if u <= params.max_bytes}
-    rows = sorted((r for r in sample.where(F.col("id").isin(*keep)).collect()), key=lambda r: (r.id, r.text)) if len(keep) < len({r.id for r in sizes}) else sorted(sample.collect(), key=lambda r: (r.id, r.text))
+    sizes = sample.groupBy("id").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).orderBy(F.xxhash64("id"), "id").collect()
+    keep, held = [], 0
+    for r in sizes:
+        if held + r.n <= params.max_bytes:
+            keep.append(r.id)
+            held += r.n
+    few = sample if len(keep) == len(sizes) else sample.where(F.col("id").isin(keep))
+    rows = sorted(few.collect(), key=lambda r: (r.id, r.text))
     return fit([r.text for r in rows], [r.label for r in rows], params)
 
 
