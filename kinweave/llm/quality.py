@@ -2,14 +2,16 @@
 
 Every document gets a few whole-number measures. Per language and source, each measure is summed up in a
 mergeable quantile sketch: counts of values rounded to a relative precision of 1/32. Sketches are tables of
-counts, so merging is addition and the result does not depend on partitioning. Fences at the quartiles
-plus a multiple of their distance replace fixed cutoffs; a group with too few documents uses its
-language's merged sketch, then the merged sketch of all. Fences are joined back to the documents.
+counts, so merging is addition and the result does not depend on partitioning. Instead of fixed cutoffs a
+document is held against fences of its own group: an outer decile plus a multiple of its distance from the
+median. What a count may exceed a fence by chance is its own counting error, so that a short text does not fail
+by one line and a long one does not hide behind a rate. A group with too few documents uses its language's
+merged sketch, then the merged sketch of all. Fences are joined back to the documents.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,17 +25,36 @@ SALTS = 16
 
 @dataclass(frozen=True)
 class QualityRules:
-    """reach: quartile distances from the outer quartile to the fence. spread: least distance of a fence
-    from its quartile, in the measure's own unit, for groups whose quartiles coincide. min_group:
-    documents below which a group uses the sketch merged one level up."""
+    """percent: the outer quantile of a fence. reach: how often its distance from the median is added to it. errors:
+    standard errors of its count that a document may lie beyond a fence. min_group: documents below which a
+    group uses the sketch merged one level up."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
+    percent: int = 90
     reach: int = 3
+    errors: int = 3
     min_group: int = 200
-    spread: dict = field(
-        default_factory=lambda: {"symbols": 50, "dup_lines": 250, "repeats": 200, "word_length": 300}
-    )
+
+
+@dataclass(frozen=True)
+class Measure:
+    """``per`` times ``count`` by ``base``, rounded down. clump: how many come together, as the words of a repeated window do.
+    both: there is a low fence too."""
+
+    count: str
+    base: str
+    per: int
+    clump: int = 1
+    both: bool = False
+
+
+MEASURES = {
+    "dup_lines": Measure("n_dup_lines", "n_lines", 1000),
+    "repeats": Measure("n_repeat_words", "n_words", 1000, clump=10),
+    "symbols": Measure("n_symbols", "word_chars", 1000),
+    "word_length": Measure("word_chars", "n_words", 100, both=True),
+}
 
 
 def _words(text: Column) -> Column:
@@ -90,31 +111,23 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def _measures() -> dict[str, Column]:
-    """Whole-number measures: symbols a 1000 word characters, repeated lines and words a 1000, word length in hundredths."""
-    per = lambda a, b, k: F.expr(f"{k} * {a} div greatest({b}, 1)")
-    return {
-        "symbols": per("n_symbols", "word_chars", 1000),
-        "dup_lines": per("n_dup_lines", "n_lines", 1000),
-        "repeats": per("n_repeat_words", "n_words", 1000),
-        "word_length": per("word_chars", "n_words", 100),
-    }
-
-
 def base_failed(rules: QualityRules) -> Column:
     return (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     )
 
 
-def sketch(measured: DataFrame) -> DataFrame:
-    """Quantile sketches by lang and source: lang, source, measure, value, n. Add ``n`` to merge sketches."""
-    values = F.explode(
-        F.create_map(*[x for name, c in _measures().items() for x in (F.lit(name), c)])
-    ).alias("measure", "exact")
+def sketch(measured: DataFrame, rules: QualityRules | None = None) -> DataFrame:
+    """Quantile sketches by lang and source of the documents that pass the base rules: lang, source, measure, value, n.
+
+    Add ``n`` to merge sketches.
+    """
+    exact = {name: F.expr(f"{m.per} * {m.count} div greatest({m.base}, 1)") for name, m in MEASURES.items()}
+    values = F.explode(F.create_map(*[x for name, c in exact.items() for x in (F.lit(name), c)])).alias("measure", "exact")
     shift = F.greatest(F.length(F.bin("exact")) - 6, F.lit(0))
     return (
-        measured.select(F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), values)
+        measured.where(~base_failed(rules or QualityRules()))
+        .select(F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), values)
         .withColumn("value", _rounded("exact", shift))
         .groupBy("lang", "source", "measure", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -128,8 +141,9 @@ def _rounded(name: str, shift: Column) -> Column:
 
 
 def fences(sketches: DataFrame, rules: QualityRules) -> DataFrame:
-    """One row for each (lang, source) with its fences: lang, source, low_<m>, high_<m>."""
+    """One row for each (lang, source) with its fences: lang, source, low_<m> (where the measure has one), high_<m>."""
     found = sketches.select("lang", "source").distinct()
+    names = [f"{side}_{m}" for m in sorted(MEASURES) for side in ("low", "high") if side == "high" or MEASURES[m].both]
     levels = []
     for keys in (["lang", "source"], ["lang"], []):
         merged = sketches.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
@@ -139,17 +153,15 @@ def fences(sketches: DataFrame, rules: QualityRules) -> DataFrame:
             F.sum("n").over(by.orderBy("value")).alias("upto"), F.sum("n").over(by).alias("total"),
         )
         at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("value")))  # noqa: E731, B023
-        quartiles = ranked.groupBy(*keys, "measure").agg(
-            at(25).alias("q1"), at(75).alias("q3"), F.max("total").alias("total")
+        middle = ranked.groupBy(*keys, "measure").agg(
+            at(100 - rules.percent).alias("low"), at(50).alias("mid"), at(rules.percent).alias("high"), F.max("total").alias("total")
         )
-        picked = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
-        wide = []
-        for m, spread in sorted(rules.spread.items()):
-            reach = rules.reach * (picked(m, "q3") - picked(m, "q1")) + spread
-            wide += [(picked(m, "q1") - reach).alias(f"low_{m}"), (picked(m, "q3") + reach).alias(f"high_{m}")]
-        levels.append(quartiles.groupBy(*keys).agg(*wide, F.max("total").alias("total")))
+        fence = lambda side, m: F.max(
+            F.when(F.col("measure") == m, F.col(side) + rules.reach * (F.col(side) - F.col("mid")))
+        ).alias(f"{side}_{m}")
+        wide = [fence(*n.split("_", 1)) for n in names]
+        levels.append(middle.groupBy(*keys).agg(*wide, F.max("total").alias("total")))
     own, by_lang, whole = levels
-    names = [x for m in sorted(rules.spread) for x in (f"low_{m}", f"high_{m}")]
     flat = lambda df, n: df.select(*[c for c in ("lang", "source") if c in df.columns], F.struct(*names, "total").alias(n))
     a, b, c = flat(own, "own"), flat(by_lang, "mid"), flat(whole, "top")
     joined = (
@@ -166,39 +178,49 @@ def fences(sketches: DataFrame, rules: QualityRules) -> DataFrame:
     )
 
 
+def _beyond(rules: QualityRules) -> Column:
+    """Whether a document lies beyond a fence by more than its counting error. Null without fences."""
+    out = F.lit(False)
+    for name, m in sorted(MEASURES.items()):
+        error = rules.errors * F.sqrt(m.clump * F.col(m.count))
+        expected = lambda side: F.col(f"{side}_{name}") * F.col(m.base) / F.lit(float(m.per))  # noqa: E731, B023
+        out |= F.col(m.count) - expected("high") > error
+        if m.both:
+            out |= expected("low") - F.col(m.count) > error
+    return out
+
+
 def judge(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
     """Judges every row of ``docs`` (doc_id, text, lang, source, and any others).
 
     Returns ``row`` (a struct of all input columns), the counts of `measure`, base_failed and kept. A row
-    is kept if it passes the base rules and lies within all fences of its language and source. Null
-    languages and sources are groups of their own. Repeated rows are judged alike; an empty table gives
-    an empty result. The fences go to the documents salted, so that a group of any size is spread; Spark
-    broadcasts them only while their table is known to be small.
+    is kept if it passes the base rules and does not lie beyond a fence of its language and source. Null
+    languages and sources are groups of their own; a null or empty text fails the base rules, a text of any length
+    is measured whole. Repeated rows are judged alike; an empty table gives an empty result. The fences go to the
+    documents salted, so that a group of any size is spread; Spark broadcasts them only while their table is
+    known to be small.
     """
-    return _judged(measure(docs), rules or QualityRules())
+    return _judged(durable(measure(docs)), rules or QualityRules())
 
 
 def _judged(measured: DataFrame, rules: QualityRules) -> DataFrame:
     table = durable(
-        fences(durable(sketch(measured)), rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        fences(durable(sketch(measured, rules)), rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     salt = F.pmod(F.xxhash64("row.doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
-    left = measured.select("*", *[c.alias(f"m_{n}") for n, c in _measures().items()], salt.alias("salt")).alias("d")
-    joined = left.join(
+    joined = measured.withColumn("salt", salt).alias("d").join(
         table.alias("t"), F.expr("d.row.lang <=> t.lang AND d.row.source <=> t.source AND d.salt = t.salt"), "left"
     )
-    inside = F.lit(True)
-    for m in sorted(rules.spread):
-        inside &= F.col(f"m_{m}").between(F.col(f"low_{m}"), F.col(f"high_{m}"))
+    failed = base_failed(rules)
     return joined.select(
         "row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-        base_failed(rules).alias("base_failed"),
-        (~base_failed(rules) & F.coalesce(inside, F.lit(True))).alias("kept"),
+        failed.alias("base_failed"),
+        (~failed & ~F.coalesce(_beyond(rules), F.lit(False))).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
-    """The rows that `judge` keeps, with the columns of ``docs``."""
+    """The rows that `judge` keeps, with the columns of ``docs``. Nulls, empty and long texts, repeated rows: as there."""
     return judge(docs, rules).where("kept").select("row.*")
 
 
@@ -224,22 +246,23 @@ m AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
-x AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS m1, 1000 * n_dup_lines // greatest(n_lines, 1) AS m2,
-        1000 * n_repeat_words // greatest(n_words, 1) AS m3, 100 * word_chars // greatest(n_words, 1) AS m4 FROM m),
-u AS (SELECT lang, source, unnest([{'k': 1, 'v': m1, 's': 50}, {'k': 2, 'v': m2, 's': 250}, {'k': 3, 'v': m3, 's': 200}, {'k': 4, 'v': m4, 's': 300}]) AS z FROM x),
-s AS (SELECT lang, source, z.k AS k, z.s AS s, z.v - z.v % (1::BIGINT << greatest(length(bin(z.v)) - 6, 0)) AS value FROM u),
-g AS (SELECT DISTINCT lang, source FROM x),
-l AS (SELECT 1 AS lv, g.lang, g.source, k, s, value FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
-      UNION ALL SELECT 2, g.lang, g.source, k, s, value FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang
-      UNION ALL SELECT 3, g.lang, g.source, k, s, value FROM g CROSS JOIN s),
-q AS (SELECT lv, lang, source, k, s, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3, count(*) AS n FROM l GROUP BY ALL),
-c AS (SELECT lang, source, k, q1 - 3 * (q3 - q1) - s AS low, q3 + 3 * (q3 - q1) + s AS high
+x AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m),
+u AS (SELECT lang, source, unnest([{'k': 1, 'v': 1000 * n_symbols // greatest(word_chars, 1)}, {'k': 2, 'v': 1000 * n_dup_lines // greatest(n_lines, 1)},
+        {'k': 3, 'v': 1000 * n_repeat_words // greatest(n_words, 1)}, {'k': 4, 'v': 100 * word_chars // greatest(n_words, 1)}]) AS z
+      FROM x WHERE NOT base_failed),
+s AS (SELECT lang, source, z.k AS k, z.v - z.v % (1::BIGINT << greatest(length(bin(z.v)) - 6, 0)) AS value FROM u),
+g AS (SELECT DISTINCT lang, source FROM s),
+l AS (SELECT 1 AS lv, g.lang, g.source, k, value FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
+      UNION ALL SELECT 2, g.lang, g.source, k, value FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang
+      UNION ALL SELECT 3, g.lang, g.source, k, value FROM g CROSS JOIN s),
+q AS (SELECT lv, lang, source, k, quantile_disc(value, 0.1) AS lo, quantile_disc(value, 0.5) AS mid, quantile_disc(value, 0.9) AS hi, count(*) AS n FROM l GROUP BY ALL),
+c AS (SELECT lang, source, k, (lo - 3 * (mid - lo))::DOUBLE AS low, (hi + 3 * (hi - mid))::DOUBLE AS high
       FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, k ORDER BY (n < 200 AND lv < 3)::INT, lv) AS r FROM q) WHERE r = 1),
 f AS (SELECT lang, source, map_from_entries(list((k, {'low': low, 'high': high}))) AS f FROM c GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
-    AND m1 BETWEEN f[1].low AND f[1].high AND m2 BETWEEN f[2].low AND f[2].high
-    AND m3 BETWEEN f[3].low AND f[3].high AND m4 BETWEEN f[4].low AND f[4].high AS kept
-FROM x JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(NOT (
+    n_symbols - f[1].high * word_chars / 1000::DOUBLE > 3 * sqrt(n_symbols) OR n_dup_lines - f[2].high * n_lines / 1000::DOUBLE > 3 * sqrt(n_dup_lines)
+    OR n_repeat_words - f[3].high * n_words / 1000::DOUBLE > 3 * sqrt(10 * n_repeat_words)
+    OR word_chars - f[4].high * n_words / 100::DOUBLE > 3 * sqrt(word_chars) OR f[4].low * n_words / 100::DOUBLE - word_chars > 3 * sqrt(word_chars)), true) AS kept
+FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source
 """

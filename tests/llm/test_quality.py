@@ -44,10 +44,28 @@ def test_clean_stays_and_junk_goes(spark):
 def test_sketch_is_close_to_exact_and_merges(spark):
     rows = [(i, "w" * (1 + i % 97) + " b", "en", f"s{i % 5}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    measured = quality.measure(docs)
-    one = quality.sketch(measured).groupBy("measure", "value").sum("n")
+    measured, rules = quality.measure(docs), quality.QualityRules(min_words=1, min_group=1000)
+    one = quality.sketch(measured, rules).groupBy("measure", "value").sum("n")
     assert one.where("measure = 'word_length'").agg({"sum(n)": "sum"}).first()[0] == 2000
     exact = sorted(100 * (2 + i % 97) // 2 for i in range(2000))
-    row = quality.fences(quality.sketch(measured), quality.QualityRules(min_group=1000)).first()
-    q1, q3 = exact[499], exact[1499]
-    assert abs((row.high_word_length - 300 - q3) - 3 * (q3 - q1)) < 0.2 * (q3 - q1) + q3 / 8
+    row = quality.fences(quality.sketch(measured, rules), rules).first()
+    low, mid, high = exact[199], exact[999], exact[1799]
+    assert abs(row.high_word_length - (high + 3 * (high - mid))) < high / 4
+    assert abs(row.low_word_length - (low - 3 * (mid - low))) < high / 4
+
+
+def test_thresholds_adapt_to_the_source(spark):
+    """A source whose texts always hold symbols and repeated lines keeps them; the same text elsewhere goes."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(150))
+    code = lambda: "\n".join([" ".join(word() + rng.choice(["#", "|", ""]) for _ in range(10)) for _ in range(15)] + ["}"] * rng.randint(10, 20))
+    rows = [(i, prose(), "en", "books") for i in range(300)] + [(i, code(), "en", "code") for i in range(300, 600)]
+    rows += [(600, code(), "en", "books"), (601, prose(), "en", "books")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {*range(600), 601}
+    rules = quality.QualityRules()
+    own = {r.source: r for r in quality.fences(quality.sketch(quality.measure(docs), rules), rules).collect()}
+    for name in ("high_symbols", "high_dup_lines"):
+        assert own["code"][name] > own["books"][name]
