@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Hadoop paths of the tables written so far, with their file systems.
+_WRITTEN: list[tuple] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh local one where none is set (tests, local mode)."""
+    """The folder in ``spark.checkpoint.dir``. Where none is set: a fresh local one in local mode, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns the written table.
 
-    Runs ``df`` once. The result has no lineage, knows its size, and is read with column pruning.
+    Runs ``df`` once. The result has no lineage, knows its size, and is read with column pruning. It stays until
+    `release` or the end of the program.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    _WRITTEN.append((path.getFileSystem(spark._jsc.hadoopConfiguration()), path))
+    return spark.read.schema(df.schema).parquet(name)
+
+
+def mark() -> int:
+    """The number of durable tables so far, for `release`."""
+    return len(_WRITTEN)
+
+
+def release(since: int = 0) -> None:
+    """Deletes the durable tables written after `mark` gave ``since``. Call it when nothing reads them any more."""
+    while len(_WRITTEN) > since:
+        files, path = _WRITTEN.pop()
+        files.delete(path, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    try:
+        release()
+    except Exception:  # the JVM is gone, and with it a local session's folder
+        _WRITTEN.clear()

@@ -10,6 +10,9 @@ from kinweave.functions.durable import durable
 from kinweave.functions.ordered import ranged, running_sum
 from kinweave.operators.components import connected_components
 
+#: Ends of a hub that are numbered at a time.
+STUB_BLOCK = 4096
+
 
 def prepare_edges(edges: DataFrame, directed: bool = False) -> DataFrame:
     """from, to, weight: one row per edge with its greatest weight.
@@ -72,7 +75,10 @@ def stubs(edges: DataFrame, directed: bool = False) -> DataFrame:
     """node, stub: one row per edge end (per edge start if directed), without the second end of a self-loop's pair lost."""
     ends = edges.select(F.col("from").alias("node")) if directed else edges.select(F.explode(F.array("from", "to")).alias("node"))
     degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return degrees.select("node", F.explode(F.sequence(F.lit(1), F.col("degree").cast("int"))).alias("stub"))
+    # two levels, so that a hub's ends are never one long array
+    blocks = degrees.select("node", "degree", F.explode(F.sequence(F.lit(0), F.floor((F.col("degree") - 1) / STUB_BLOCK))).alias("block"))
+    low = F.col("block") * STUB_BLOCK
+    return blocks.select("node", F.explode(F.sequence(low + 1, F.least("degree", low + STUB_BLOCK))).alias("stub"))
 
 
 def configuration_model(edges: DataFrame, seed: int, directed: bool = False) -> DataFrame:
@@ -100,10 +106,3 @@ def first_of(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     chosen = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(priority)).alias("x"))
     return chosen.select(*keys, *[f"x.{c}" for c in rest])
-
-
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Adds ``index``, the place from 0 by ``order``."""
-    return running_sum(ranged(df.withColumn("one", F.lit(1)), order), [], order, "one", "upto").withColumn("index", F.col("upto") - 1).drop("one", "upto", "range_no")
-
-

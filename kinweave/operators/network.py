@@ -22,7 +22,7 @@ PATHWAY_SOURCES = ("go", "reactome")
 class Filtered:
     """A network for a set of genes; all tables are lazy."""
 
-    gwn: DataFrame
+    graph: DataFrame
     genes_to_pathways: DataFrame
     represented_genes: DataFrame
     represented_pathways: DataFrame
@@ -147,7 +147,7 @@ class NetworkBuilder:
         if self.bundle is None:
             raise ValueError("build() comes first")
         found = self.bundle.filtered(genes)
-        return Analysis(found.gwn, found.genes_to_pathways, found.represented_genes, found.represented_pathways)
+        return Analysis(found.graph, found.genes_to_pathways, found.represented_genes, found.represented_pathways)
 
     def full_network(self) -> DataFrame | None:
         if self.bundle is None:

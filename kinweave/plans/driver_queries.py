@@ -15,22 +15,28 @@ from kinweave.operators import embed, graph, network, stats, walks
 from kinweave.params import SyntheticParams, association_params, node2vec_params
 from kinweave.plans import report, synthetic
 from kinweave.plans.analysis import node2vec
-from kinweave.sources import catalog, ingest, ontology
+from kinweave.sources import catalog, ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function under its name, with its oracle if there is one."""
+def registrar(queries: dict, oracles: dict):
+    """A decorator that registers a function under its name, with its oracle if there is one."""
 
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLES[function.__name__] = sql
-        return function
+    def query(sql: str | None = None):
+        def register(function):
+            queries[function.__name__] = function
+            if sql:
+                oracles[function.__name__] = sql
+            return function
 
-    return register
+        return register
+
+    return query
+
+
+query = registrar(QUERIES, ORACLES)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +88,6 @@ def some_genes(spark, d) -> DataFrame:
     return customers.union(suppliers).union(spark.createDataFrame([("X1",), ("X2",)], "gene string"))
 
 
-def sparse(spark, d) -> DataFrame:
-    """A sparse graph: first lines of every fortieth order. For the queries whose SQL is bound to it; each has a counterpart `whole_...`."""
-    return trade(spark, d).where("l_linenumber = 1 AND l_orderkey % 40 = 0").select("from", "to").distinct()
-
-
 def whole(spark, d) -> DataFrame:
     """The interaction graph with all its edges."""
     return interactions(spark, d).select("from", "to")
@@ -102,8 +103,7 @@ _NET = _INTER + """, ann AS (SELECT 'C' || c_custkey AS "from", 'N' || c_nationk
 _GENES = """genes AS (SELECT 'C' || c_custkey AS gene FROM customer WHERE c_custkey % 3 = 0 UNION SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 UNION VALUES ('X1'), ('X2'))"""
 _FILTERED = _NET + ", " + _GENES + """, p AS (SELECT "from", "to" FROM inter WHERE "from" IN (FROM genes) AND "to" IN (FROM genes)), a AS (SELECT * FROM ann WHERE "from" IN (FROM genes)),
   f AS (SELECT "from", "to", 'interaction' AS type FROM p UNION SELECT "from", "to", 'part_of' FROM a UNION SELECT "from", "to", 'hierarchy' FROM hier)"""
-_SPARSE = _TRADE + """, sparse AS (SELECT DISTINCT "from", "to" FROM trade WHERE l_linenumber = 1 AND l_orderkey % 40 = 0)"""
-_WHOLE = _TRADE + """, sparse AS (SELECT DISTINCT "from", "to" FROM trade)"""
+_WHOLE = _TRADE + """, links AS (SELECT DISTINCT "from", "to" FROM trade)"""
 
 
 def _u(*parts: str) -> str:
@@ -197,23 +197,6 @@ def combined_pivot(spark, d):
     return ingest.source_flags(trade(spark, d).select("from", "to", F.col("l_returnflag").alias("source")), ("A", "N", "R"))
 
 
-@query()
-def obo_relations(spark, d):
-    """Nations and regions as stanzas of an ontology file, written and parsed again."""
-    import uuid
-
-    from kinweave.functions.durable import shared_folder
-
-    n = read(spark, d, "nation")
-    lines = F.concat(
-        F.lit("[Term]\nid: N:"), F.col("n_nationkey").cast("string"), F.lit("\nname: "), "n_name", F.lit("\nnamespace: place\nis_a: R:"),
-        F.col("n_regionkey").cast("string"), F.lit(" ! region\nrelationship: part_of W:1 ! world"),
-    )
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    n.select(lines.alias("value")).write.option("lineSep", "\n\n").text(path)
-    return ontology.parse_obo(spark, path)["term_relations"]
-
-
 # ---------------------------------------------------------------- networks
 
 
@@ -224,7 +207,7 @@ def typed_network(spark, d):
 
 @query(f'WITH {_FILTERED} SELECT "from", "to", type FROM f')
 def filtered_network(spark, d):
-    return bundle(spark, d).filtered(some_genes(spark, d), warn=False).gwn
+    return bundle(spark, d).filtered(some_genes(spark, d), warn=False).graph
 
 
 @query(f"""WITH {_FILTERED}, r AS (SELECT "from" AS name FROM p UNION SELECT "to" FROM p UNION SELECT "from" FROM a)
@@ -272,40 +255,25 @@ def degree_summary(spark, d):
     return rounded(graph.degree_summary(bundle(spark, d).network()))
 
 
-@query(f"""WITH {_SPARSE} SELECT "from" AS node, "to" AS neighbour FROM sparse WHERE "from" <> "to" UNION SELECT "to", "from" FROM sparse WHERE "from" <> "to" """)
+@query(f"""WITH {_WHOLE} SELECT "from" AS node, "to" AS neighbour FROM links WHERE "from" <> "to" UNION SELECT "to", "from" FROM links WHERE "from" <> "to" """)
 def adjacency(spark, d):
-    return graph.adjacency(sparse(spark, d))
-
-
-@query(f"""WITH {_WHOLE} SELECT "from" AS node, "to" AS neighbour FROM sparse WHERE "from" <> "to" UNION SELECT "to", "from" FROM sparse WHERE "from" <> "to" """)
-def whole_adjacency(spark, d):
     return graph.adjacency(whole(spark, d))
 
 
-_COMPONENTS = f"""WITH RECURSIVE {_SPARSE}, adj AS (SELECT "from" AS a, "to" AS b FROM sparse UNION SELECT "to", "from" FROM sparse),
-reach AS (SELECT a AS node, a AS other FROM adj UNION SELECT reach.node, adj.b FROM reach JOIN adj ON reach.other = adj.a),
-comp AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
+#: Labels sink to the smallest node in reach, one for each node.
+_COMPONENTS = f"""WITH RECURSIVE {_WHOLE}, adj AS (SELECT "from" AS a, "to" AS b FROM links UNION SELECT "to", "from" FROM links),
+comp(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM adj
+  UNION SELECT n.b, min(x.component) FROM comp x JOIN adj n ON x.node = n.a JOIN recurring.comp r ON r.node = n.b WHERE x.component < r.component GROUP BY n.b)"""
 
 
 @query(f"{_COMPONENTS} SELECT node, component FROM comp")
 def components(spark, d):
-    return graph.components(sparse(spark, d))
+    return graph.components(whole(spark, d))
 
 
 @query(f"""{_COMPONENTS}, big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
-SELECT "from", "to" FROM sparse JOIN comp ON "from" = node JOIN big USING (component)""")
+SELECT "from", "to" FROM links JOIN comp ON "from" = node JOIN big USING (component)""")
 def largest_component(spark, d):
-    return graph.largest_component(sparse(spark, d))
-
-
-@query()
-def whole_components(spark, d):
-    """Without an oracle: the recursive SQL holds all pairs of a component. Tests compare it with brute force."""
-    return graph.components(whole(spark, d))
-
-
-@query()
-def whole_largest_component(spark, d):
     return graph.largest_component(whole(spark, d))
 
 
@@ -319,12 +287,16 @@ def replicates(spark, d) -> DataFrame:
     return e.select("vec_id", "label", parts).select("x.rep", "vec_id", "label", "x.embedding")
 
 
-def observed(spark, d) -> DataFrame:
-    """rep, gene, pathway, similarity of the vectors of a label: those divisible by five against the others."""
+def tested_pairs(spark, d) -> DataFrame:
+    """gene, pathway: the vectors of a label, those divisible by five against the others."""
     e = read(spark, d, "embeddings").select("vec_id", "label")
     genes = e.where("vec_id % 5 = 0").select("label", named("V", "vec_id").alias("gene"))
-    pairs = genes.join(e.where("vec_id % 5 <> 0").select("label", named("V", "vec_id").alias("pathway")), "label")
-    return stats.pair_cosine(pairs, replicates(spark, d).select("rep", named("V", "vec_id").alias("node"), "embedding"))
+    return genes.join(e.where("vec_id % 5 <> 0").select("label", named("V", "vec_id").alias("pathway")), "label").select("gene", "pathway")
+
+
+def observed(spark, d) -> DataFrame:
+    """rep, gene, pathway, similarity of the tested pairs."""
+    return stats.pair_cosine(tested_pairs(spark, d), replicates(spark, d).select("rep", named("V", "vec_id").alias("node"), "embedding"))
 
 
 def null_values(spark, d) -> DataFrame:
@@ -366,6 +338,9 @@ _STATS = _BH + f""", st AS (SELECT gene, pathway, round(avg(similarity), 6) AS s
 {_log_stats_sql('pval', 'pval')}, {_log_stats_sql('global_fdr', 'global_fdr')}, {_log_stats_sql('gene_fdr', 'gene_fdr')} FROM bh GROUP BY gene, pathway)"""
 
 
+STATS_SQL = _STATS
+
+
 @query(f"WITH {_SIM} SELECT rep, gene, pathway, round(similarity, 6) AS similarity FROM sim")
 def pair_cosine(spark, d):
     return rounded(observed(spark, d))
@@ -409,17 +384,9 @@ def top_associations(spark, d):
     return association(spark, d).orderBy(F.desc("similarity"), "gene", "pathway").limit(10)
 
 
-@query(f"""WITH {_STATS}, dg AS (SELECT 'V' || l_suppkey AS gene, 2 * count(*) AS degree FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_suppkey % 10 = 0) GROUP BY 1)
-SELECT st.gene, round(avg((avg_gene_fdr <= 0.25)::INT), 6) AS ratio, count(*) AS connections, coalesce(max(degree), 0) AS degree FROM st LEFT JOIN dg ON st.gene = dg.gene GROUP BY 1""")
-def enrichment_ratio(spark, d):
-    lines = read(spark, d, "lineitem").where("l_suppkey % 10 = 0").select("l_suppkey", "l_orderkey").distinct()
-    loops = lines.select(named("V", "l_suppkey").alias("from"), named("V", "l_suppkey").alias("to"))
-    return rounded(report.enrichment(association(spark, d), loops))
-
-
 @query(f"""WITH {_STATS}, dg AS (SELECT 'V' || l_suppkey AS gene, 2 * count(*) AS degree FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) GROUP BY 1)
 SELECT st.gene, round(avg((avg_gene_fdr <= 0.25)::INT), 6) AS ratio, count(*) AS connections, coalesce(max(degree), 0) AS degree FROM st LEFT JOIN dg ON st.gene = dg.gene GROUP BY 1""")
-def whole_enrichment_ratio(spark, d):
+def enrichment_ratio(spark, d):
     lines = read(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct()
     loops = lines.select(named("V", "l_suppkey").alias("from"), named("V", "l_suppkey").alias("to"))
     return rounded(report.enrichment(association(spark, d), loops))
@@ -458,24 +425,16 @@ def stochastic_block(spark, d):
     return synthetic.node2vec_test_data(spark, "stochastic", 10, 3).edges
 
 
-@query(f"""WITH {_SPARSE}, dg AS (SELECT node, count(*) AS n FROM (SELECT "from" AS node FROM sparse UNION ALL SELECT "to" FROM sparse) GROUP BY 1),
+@query(f"""WITH {_WHOLE}, dg AS (SELECT node, count(*) AS n FROM (SELECT "from" AS node FROM links UNION ALL SELECT "to" FROM links) GROUP BY 1),
 stubs AS (SELECT node, unnest(generate_series(1, n)) AS stub FROM dg), placed AS (SELECT node, row_number() OVER (ORDER BY {_u("'7'", "node", "stub")}, node) - 1 AS i FROM stubs),
 pairs AS (SELECT max(node) FILTER (i % 2 = 0) AS a, max(node) FILTER (i % 2 = 1) AS b FROM placed GROUP BY i // 2)
 SELECT DISTINCT least(a, b) AS "from", greatest(a, b) AS "to", 1.0::DOUBLE AS weight FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b""")
 def configuration_model(spark, d):
-    return graph.configuration_model(sparse(spark, d), 7)
-
-
-@query(f"""WITH {_WHOLE}, dg AS (SELECT node, count(*) AS n FROM (SELECT "from" AS node FROM sparse UNION ALL SELECT "to" FROM sparse) GROUP BY 1),
-stubs AS (SELECT node, unnest(generate_series(1, n)) AS stub FROM dg), placed AS (SELECT node, row_number() OVER (ORDER BY {_u("'7'", "node", "stub")}, node) - 1 AS i FROM stubs),
-pairs AS (SELECT max(node) FILTER (i % 2 = 0) AS a, max(node) FILTER (i % 2 = 1) AS b FROM placed GROUP BY i // 2)
-SELECT DISTINCT least(a, b) AS "from", greatest(a, b) AS "to", 1.0::DOUBLE AS weight FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b""")
-def whole_configuration_model(spark, d):
     return graph.configuration_model(whole(spark, d), 7)
 
 
 def _walk_sql(steps: int) -> str:
-    sql = f"""WITH {_SPARSE}, adj AS (SELECT "from" AS node, "to" AS nb FROM sparse UNION SELECT "to", "from" FROM sparse),
+    sql = f"""WITH {_WHOLE}, adj AS (SELECT "from" AS node, "to" AS nb FROM links UNION SELECT "to", "from" FROM links),
 w0 AS (SELECT node AS start, w::INT AS walk_no, [node] AS path FROM (SELECT DISTINCT node FROM adj), generate_series(1, 2) AS t(w))"""
     for i in range(1, steps):
         bias = "CASE WHEN len(path) < 2 THEN 1.0 WHEN nb = path[-2] THEN 1.0 / 0.5 WHEN EXISTS (SELECT 1 FROM adj z WHERE z.node = path[-2] AND z.nb = adj.nb) THEN 1.0 ELSE 1.0 / 2 END"
@@ -485,19 +444,10 @@ w{i} AS (SELECT start, walk_no, list_append(any_value(path), arg_min(nb, race))
     return sql + f" SELECT start, walk_no, array_to_string(path, ' ') AS path FROM w{steps - 1}"
 
 
-def _walks(edges: DataFrame) -> DataFrame:
-    found = walks.random_walks(graph.neighbours(edges), 2, 5, p=0.5, q=2.0)
-    return found.select("start", "walk_no", F.array_join("path", " ").alias("path"))
-
-
 @query(_walk_sql(5))
 def random_walks(spark, d):
-    return _walks(sparse(spark, d))
-
-
-@query(_walk_sql(5).replace(_SPARSE, _WHOLE))
-def whole_random_walks(spark, d):
-    return _walks(whole(spark, d))
+    found = walks.random_walks(graph.neighbours(whole(spark, d)), 2, 5, p=0.5, q=2.0)
+    return found.select("start", "walk_no", F.array_join("path", " ").alias("path"))
 
 
 # ---------------------------------------------------------------- trained results: rows only

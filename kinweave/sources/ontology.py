@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 def stanza_lines(spark: SparkSession, path: str) -> DataFrame:
     """id, key, value: the lines of every stanza that has an id, split at the first colon and trimmed.
 
-    A stanza is a run of lines up to an empty one, so files are read in parallel stanza by stanza. The header and
-    stanzas whose namespace is ``external`` are left out. Carriage returns are dropped with other outer white space.
+    A stanza is a run of lines up to an empty one, so files are read in parallel stanza by stanza, whether lines end
+    in LF or, as the first one then does, in CRLF. The header and stanzas whose namespace is ``external`` are
+    left out. Outer white space is dropped.
     """
-    stanzas = spark.read.option("lineSep", "\n\n").text(path).select(F.regexp_replace("value", "\r", "").alias("stanza"))
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    end = "\r\n" if first and first.value.endswith("\r") else "\n"
+    stanzas = spark.read.option("lineSep", end * 2).text(path).select(F.regexp_replace("value", "\r", "").alias("stanza"))
     stanzas = stanzas.select(F.explode(F.split("stanza", "\n\n")).alias("stanza"))
     named = stanzas.select("stanza", F.trim(F.regexp_extract("stanza", r"(?m)^id:(.*)$", 1)).alias("id")).where("id <> ''")
     space = F.trim(F.regexp_extract("stanza", r"(?m)^namespace:(.*)$", 1))

@@ -84,7 +84,12 @@ def test_return_bias(spark):
     assert back(0.05) > 200 > 40 > back(20.0)
 
 
-def test_first_of_and_numbered(spark):
+def test_first_of(spark):
     df = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "z", 5)], "k string, v string, priority int")
     assert sorted(map(tuple, graph.first_of(df, ["k"], "priority").collect())) == [("a", "y", 1), ("b", "z", 5)]
-    assert {r["v"]: r["index"] for r in graph.numbered(df, "v").collect()} == {"x": 0, "y": 1, "z": 2}
+
+
+def test_stubs_of_a_hub(spark):
+    df = spark.range(10000).selectExpr("'hub' AS `from`", "cast(id AS string) AS `to`")
+    found = graph.stubs(df).where("node = 'hub'").agg({"stub": "max", "*": "count"}).first()
+    assert set(found) == {10000} and graph.stubs(df).count() == 20000

@@ -71,7 +71,7 @@ def test_filtered_network(spark):
     b = EdgeBundle(pairs(spark, [("g1", "g2"), ("g1", "x")]), pairs(spark, [("g1", "t1"), ("x", "t2")]), pairs(spark, [("t3", "t4")]))
     with pytest.warns(UserWarning, match="g9"):
         f = b.filtered(spark.createDataFrame([("g1",), ("g2",), ("g9",)], "gene string"))
-    assert rows(f.gwn.select("from", "to")) == [("g1", "g2"), ("g1", "t1"), ("t3", "t4")]
+    assert rows(f.graph.select("from", "to")) == [("g1", "g2"), ("g1", "t1"), ("t3", "t4")]
     assert rows(f.missing_genes) == [("g9",)] and rows(f.represented_pathways) == [("t1",), ("t3",), ("t4",)]
     assert rows(f.represented_genes) == [("g1",), ("g2",)]
 

@@ -1,4 +1,4 @@
-"""The queries `whole_...` see every line, not a slice."""
+"""The graph queries see every line, not a slice."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
-    """Three components; no line is in the slice l_linenumber = 1 AND l_orderkey % 40 = 0, no supplier is divisible by ten."""
+    """Three components."""
     d = str(tmp_path_factory.mktemp("whole"))
     lines = [(k, 5 + 10 * (k % 3), n, 0.05, "R", "F") for k in range(1, 10) for n in (1, 2)] + [(50, 11, 2, 0.05, "N", "F"), (51, 11, 1, 0.05, "N", "F"), (52, 12, 3, 0.05, "N", "F")]
     orders = [(k, 100 + k // 3, "1-URGENT") for k in range(1, 10)] + [(50, 200, "5-LOW"), (51, 201, "5-LOW"), (52, 202, "5-LOW")]
@@ -31,22 +31,22 @@ def brute(edges):
 def test_graph_queries(spark, tables):
     d, edges, _ = tables
     got = lambda name: entry.queries()[name](spark, d).collect()
-    assert {tuple(r) for r in got("whole_adjacency")} == edges | {(b, a) for a, b in edges}
+    assert {tuple(r) for r in got("adjacency")} == edges | {(b, a) for a, b in edges}
     label = brute(edges)
     assert len(set(label.values())) == 3
-    assert {r.node: r.component for r in got("whole_components")} == label
+    assert {r.node: r.component for r in got("components")} == label
     sizes = {c: sum(x == c for x in label.values()) for c in label.values()}
     largest = min(sizes, key=lambda c: (-sizes[c], c))
-    assert {tuple(r) for r in got("whole_largest_component")} == {(a, b) for a, b in edges if label[a] == largest}
-    walks = got("whole_random_walks")
+    assert {tuple(r) for r in got("largest_component")} == {(a, b) for a, b in edges if label[a] == largest}
+    walks = got("random_walks")
     assert {(r.start, r.walk_no) for r in walks} == {(n, w) for n in label for w in (1, 2)}
     assert all((a, b) in edges or (b, a) in edges for r in walks for a, b in zip(r.path.split(), r.path.split()[1:], strict=False))
-    model, degree = got("whole_configuration_model"), lambda pairs, n: sum((a == n) + (b == n) for a, b in pairs)
+    model, degree = got("configuration_model"), lambda pairs, n: sum((a == n) + (b == n) for a, b in pairs)
     pairs = [(r["from"], r["to"]) for r in model]
     assert pairs and all(degree(pairs, n) <= degree(edges, n) for n in label)
 
 
 def test_degrees_of_all_suppliers(spark, tables):
     d, _, ends = tables
-    got = {r.gene: r.degree for r in entry.queries()["whole_enrichment_ratio"](spark, d).collect()}
+    got = {r.gene: r.degree for r in entry.queries()["enrichment_ratio"](spark, d).collect()}
     assert got == {f"V{v}": 2 * sum(s == v for s, _ in ends) for v in range(0, 40, 5)}
