@@ -42,11 +42,17 @@ def mark() -> int:
     return len(_WRITTEN)
 
 
-def release(since: int = 0) -> None:
-    """Deletes the durable tables written after `mark` gave ``since``. Call it when nothing reads them any more."""
+def release(since: int = 0, last: bool = True) -> None:
+    """Deletes the durable tables written after `mark` gave ``since``; the last one only with ``last``.
+
+    Call it when nothing reads them any more.
+    """
+    kept = [] if last else _WRITTEN[since:][-1:]
     while len(_WRITTEN) > since:
         files, path = _WRITTEN.pop()
-        files.delete(path, True)
+        if (files, path) not in kept:
+            files.delete(path, True)
+    _WRITTEN.extend(kept)
 
 
 @atexit.register
