@@ -1,19 +1,22 @@
 """Repeated passages by relative Lempel-Ziv parsing.
 
 The reference is the corpus itself, cut into blocks: runs of windows of ``span`` words that start between two
-content-defined cuts, with the words those windows reach. Each distinct block is indexed once, by its hash and
-by seeds (short word runs that are least among the neighbours in some window). A document is factored
-against that index: a block that occurs elsewhere is one factor; where factors end or a block occurs once,
-the windows whose seed occurs in another reference block are compared one by one, so that a passage is found
-however it lies across factor boundaries. Factors at least ``span`` words long are duplicate spans.
-
-Only blocks (one per 70 words or so), the seeds of distinct blocks, and the windows with a shared seed are
-shuffled; the text is shuffled twice, by document.
+content-defined cuts, with the words those windows reach. Each distinct block is indexed once, at its first
+place, by its hash and by seeds (short word runs that are least among the neighbours in some window). A document is
+factored against that index. Matches are whole blocks that occur elsewhere, and, where a block occurs once, the
+windows whose seed occurs in another reference block, compared one by one, so that a passage is found however
+it lies across block boundaries. The parse is greedy: a factor (reference text, offset, length) is extended as
+long as the next match continues at the next word of the same reference text. Its matches are checked against the
+words once more; factors are at least ``span`` words long, and what they cover are the duplicate spans.
+
+Blocks and windows are told apart by 128 and 96 bits of hash. Only blocks (one per 70 words or so), the seeds of
+reference blocks, and their windows with a shared seed are shuffled; the text is shuffled twice, by document.
+Counts are combined before each shuffle; joins on a hash that very many texts share are left to adaptive execution,
+which splits such a partition.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,7 @@ SPAN = 35
 SEED = 8
 CUT_ONE_IN = 5
 LONGEST_BLOCK = 512
+PLACE = U64(0x9E3779B97F4A7C15)
 
 
 class _Parsed:
@@ -35,7 +39,8 @@ class _Parsed:
         words = Words(texts)
         self.doc, n = words.doc, len(words.doc)
         self.first = np.searchsorted(self.doc, np.arange(words.n_docs))
-        self.runs = Runs(words.hashes())
+        hashes = words.hashes()
+        self.runs, self.other = Runs(hashes), Runs(hashes, 1)
         self.seeds = self.runs.windows(min(SEED, span))
         self.reach = span - min(SEED, span) + 1
         least = sliding(self.seeds, self.reach)
@@ -48,10 +53,10 @@ class _Parsed:
         self.span = span
 
     def blocks(self):
-        """Per block: first window, number of windows, hash of the words it reaches."""
+        """Per block: first window, number of windows, and two hashes of its windows in their order."""
         at = self.starts
         if not len(at):
-            return at, at, np.zeros(0, U64)
+            return at, at, np.zeros(0, U64), np.zeros(0, U64)
         new_doc = np.append(True, self.doc[at[1:]] != self.doc[at[:-1]])
         cut = self.chosen[at] & (mixed(self.seeds[at] + U64(1)) % U64(CUT_ONE_IN) == 0)
         begin = np.flatnonzero(new_doc | cut)
@@ -60,8 +65,9 @@ class _Parsed:
         step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = np.repeat(begin, pieces) + step * LONGEST_BLOCK
         lengths = np.diff(np.append(begin, len(at)))
-        begin = at[begin]
-        return begin, lengths, self.runs.of(begin, begin + lengths + self.span - 1)
+        order = (np.arange(len(at)) - np.repeat(begin, lengths)).astype(U64) * PLACE
+        one, two = (np.add.reduceat(mixed(r.of(at, at + self.span) + order), begin) for r in (self.runs, self.other))
+        return at[begin], lengths, one, two
 
     def block_seeds(self, begin: np.ndarray, lengths: np.ndarray):
         """List offsets, and the place of each chosen seed in reach of each block."""
@@ -71,24 +77,30 @@ class _Parsed:
         offsets = np.append(0, np.cumsum(counts))
         return offsets, places[np.repeat(low - offsets[:-1], counts) + np.arange(offsets[-1])]
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """32 bits of the second hash of the windows that start at ``at``."""
+        return (self.other.of(at, at + self.span) & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _blocks(docs: DataFrame, span: int) -> DataFrame:
-    schema = "doc_key long, start int, n_windows int, block long, seeds array<long>, places array<int>"
+    """``check`` is the second hash of the block's first window, for the last look at the words."""
+    schema = "doc_key long, start int, n_windows int, block long, twin long, check int, seeds array<long>, places array<int>"
 
     def run(batches):
         for batch in slices(batches):
             parsed = _Parsed(batch.column("text"), span)
-            begin, lengths, hashes = parsed.blocks()
+            begin, lengths, one, two = parsed.blocks()
             offsets, places = parsed.block_seeds(begin, lengths)
             doc = parsed.doc[begin] if len(begin) else begin
             lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)  # noqa: E731, B023
             yield pa.record_batch({
                 "doc_key": batch.column("doc_key").take(pa.array(doc)), "start": pa.array(begin - parsed.first[doc], pa.int32()),
-                "n_windows": pa.array(lengths, pa.int32()), "block": _signed(hashes), "seeds": lists(_signed(parsed.seeds[places])),
+                "n_windows": pa.array(lengths, pa.int32()), "block": _signed(one), "twin": _signed(two), "check": pa.array(parsed.checks(begin)),
+                "seeds": lists(_signed(parsed.seeds[places])),
                 "places": lists(pa.array(places - parsed.first[parsed.doc[places]] if len(places) else places, pa.int32())),
             })
 
@@ -96,105 +108,161 @@ def _blocks(docs: DataFrame, span: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, span: int) -> DataFrame:
-    """Hash of every window whose seed is among its row's ``seeds``."""
+    """Two hashes of every window that starts in one of its row's ``own`` blocks and whose seed is among its ``seeds``."""
 
     def run(batches):
         for batch in slices(batches):
             parsed = _Parsed(batch.column("text"), span)
-            wanted = batch.column("seeds")
+            wanted, blocks = batch.column("seeds"), batch.column("own")
             ends = np.searchsorted(parsed.starts, np.append(parsed.first, len(parsed.doc)))
             found = [np.zeros(0, np.int64)]
             for row in range(batch.num_rows):
                 own = parsed.starts[ends[row] : ends[row + 1]]
                 if len(own):
-                    found.append(own[np.isin(parsed.least[own], np.array(wanted[row].as_py(), np.int64).view(U64))])
+                    inside = np.zeros(len(own) + 1, np.int32)
+                    spans = blocks[row].values
+                    start, n = (spans.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    np.add.at(inside, start, 1)
+                    np.add.at(inside, start + n, -1)
+                    own = own[np.cumsum(inside[:-1]) > 0]
+                    found.append(own[np.isin(parsed.least[own], np.array(wanted[row].values.to_numpy(zero_copy_only=False), np.int64).view(U64))])
             at = np.concatenate(found)
             doc = parsed.doc[at] if len(at) else at
             yield pa.record_batch({
-                "doc_key": batch.column("doc_key").take(pa.array(doc)),
-                "start": pa.array(at - parsed.first[doc], pa.int32()), "window": _signed(parsed.runs.of(at, at + span)),
+                "doc_key": batch.column("doc_key").take(pa.array(doc)), "start": pa.array(at - parsed.first[doc], pa.int32()),
+                "window": _signed(parsed.runs.of(at, at + span)), "check": pa.array(parsed.checks(at)),
             })
 
-    return docs.mapInArrow(run, "doc_key long, start int, window long")
+    return docs.mapInArrow(run, "doc_key long, start int, window long, check int")
 
 
-def duplicate_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Where windows of ``span`` words of ``docs(doc_key, text)`` occur again: doc_key, start, n_windows.
+def matches(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """Where windows of ``span`` words of ``docs(doc_key, text)`` occur again: doc_key, start, n_windows, check, ref_key, ref_start.
 
     Each row says that the windows starting at word ``start`` and the n_windows - 1 next ones also start
-    elsewhere, in the same text or in another. Rows may overlap.
+    in the text ``ref_key`` at ``ref_start``; a place never refers to itself, unless a row with the same key
+    repeats it. Rows may overlap.
     """
     blocks = durable(_blocks(docs, span))
-    status = durable(
-        blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_key", "start")).alias("at"))
-    )
-    reference = status.select("block", F.col("at.doc_key").alias("doc_key"), F.col("at.start").alias("start"))
-    indexed = blocks.join(reference, ["block", "doc_key", "start"])
-    seeds = durable(
+    at = F.struct("doc_key", "start")
+    status = durable(blocks.groupBy("block", "twin").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"), F.max(at).alias("last")))
+    first = status.select("block", "twin", F.col("at.doc_key").alias("doc_key"), F.col("at.start").alias("start"))
+    indexed = durable(blocks.join(first, ["block", "twin", "doc_key", "start"]).select("doc_key", "start", "n_windows", "seeds", "places"))
+    seeds = (
         indexed.select("doc_key", F.explode(F.arrays_zip("seeds", "places")).alias("x"))
         .select("doc_key", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
-    )
+    )
     place = F.struct("doc_key", "place")
     shared = (
         seeds.groupBy("seed").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select("seed")
     )
     wanted = seeds.join(shared, "seed", "left_semi").groupBy("doc_key").agg(F.collect_set("seed").alias("seeds"))
-    windows = durable(_windows(docs.join(wanted, "doc_key").select("doc_key", "text", "seeds"), span))
-    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    single = windows.join(again, "window", "left_semi").select("doc_key", "start", F.lit(1).alias("n_windows"))
-    whole = blocks.select("doc_key", "start", "n_windows", "block").join(status.where("n > 1"), "block", "left_semi")
-    return whole.select("doc_key", "start", "n_windows").unionByName(single)
-
-
-def _covered(n_words: int, spans: list, span: int) -> np.ndarray:
-    """Which words the windows cover."""
-    change = np.zeros(n_words + 1, np.int64)
-    if spans:
-        starts = np.array([x["start"] for x in spans])
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + np.array([x["n_windows"] for x in spans]) + span - 1, -1)
-    return np.cumsum(change[:-1]) > 0
+    own = indexed.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n_windows")).alias("own"))
+    asked = docs.join(wanted, "doc_key").join(own, "doc_key").select("doc_key", "text", "seeds", "own")
+    windows = durable(_windows(asked, span))
+    again = windows.groupBy("window", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = durable(windows.join(again, ["window", "check"], "left_semi"))
+    ends = twice.groupBy("window", "check").agg(F.min(at).alias("at"), F.max(at).alias("last"))
+    single = twice.join(ends, ["window", "check"]).withColumn("n_windows", F.lit(1))
+    whole = blocks.select("doc_key", "start", "n_windows", "block", "twin", "check").join(status.where("n > 1"), ["block", "twin"])
+    other = F.when((F.col("at.doc_key") == F.col("doc_key")) & (F.col("at.start") == F.col("start")), F.col("last")).otherwise(F.col("at"))
+    columns = ["doc_key", "start", "n_windows", "check", other["doc_key"].alias("ref_key"), other["start"].alias("ref_start")]
+    return whole.select(*columns).unionByName(single.select(*columns))
+
+
+def parse(found: list[tuple], span: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, ref_key, ref_start), in words, from matches (start, n_windows, ref_key, ref_start).
+
+    A match on the diagonal of the factor at hand extends it; one that lies inside it is passed over; any other
+    that reaches beyond it begins the next factor.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    start = until = ref = at = -1
+    for s, n, key, place in sorted(found, key=lambda m: (m[0], -m[1], m[2], m[3])):
+        if out and key == ref and place - s == at - start and s <= until:
+            until = max(until, s + n)
+        elif not out or s + n > until:
+            start, until, ref, at = s, s + n, key, place
+            out.append(())
+        else:
+            continue
+        out[-1] = (start, until - start + span - 1, ref, at)
+    return out
 
 
 def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Every row of ``docs`` with its repeated passages removed.
 
-    Returns ``row`` (a struct of all input columns), n_words, n_removed (long), factors (array of
-    (start, length): the duplicate spans in words), and kept_text (the kept words joined by one space). A
+    Returns ``row`` (a struct of all input columns), n_words, n_removed (long), factors (array of (start,
+    length, ref_key, ref_start): the parse; ref_key is the 64-bit hash of another row's doc_id and text), spans (array of
+    (start, length): the words that factors cover), and kept_text (the kept words joined by one space). A
     word is removed if a window of ``span`` consecutive words over it also starts anywhere else, in the same
     text included; all copies go, the first too. Null and empty texts have no words; texts shorter than
-    ``span`` words keep all. Rows that repeat another row's doc_id and text count as texts of their own.
-    Windows are told apart by 64-bit hash.
+    ``span`` words keep all; words and texts may be of any length. Rows that repeat another row's doc_id and
+    text count as texts of their own. Rows that share a ref_key by chance get each other's matches; those that
+    don't fit a row's own words are dropped.
     """
     kept = "row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ">"
-    schema = f"{kept}, n_words long, n_removed long, factors array<struct<start:int,length:int>>, kept_text string"
+    schema = (
+        f"{kept}, n_words long, n_removed long, factors array<struct<start:int,length:int,ref_key:long,ref_start:int>>, "
+        "spans array<struct<start:int,length:int>>, kept_text string"
+    )
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.xxhash64("row.doc_id", "row.text").alias("doc_key")
     )
-    found = duplicate_windows(held.select("doc_key", F.col("row.text").alias("text")), span)
-    spans = found.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n_windows")).alias("spans"))
+    found = matches(held.select("doc_key", F.col("row.text").alias("text")), span)
+    own = found.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n_windows", "ref_key", "ref_start", "check")).alias("matches"))
+    factor = pa.struct({"start": pa.int32(), "length": pa.int32(), "ref_key": pa.int64(), "ref_start": pa.int32()})
 
     def run(batches):
         for batch in slices(batches):
-            n_words, n_removed, factors, kept_text = [], [], [], []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            found = batch.column("matches").to_pylist()
+            hits = np.flatnonzero([bool(x) for x in found])
+            parsed = _Parsed(batch.column("text").take(pa.array(hits)), span)
+            true = dict(zip(hits.tolist(), _true_matches(parsed, [found[i] for i in hits]), strict=True))
+            n_words, n_removed, factors, spans, kept_text = [], [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 words = text.encode().split()
-                gone = _covered(len(words), own, span)
+                own = parse(true.get(k, []), span)
+                gone = np.zeros(len(words) + 1, np.int64)
+                for start, length, _, _ in own:
+                    gone[start] += 1
+                    gone[start + length] -= 1
+                gone = np.cumsum(gone[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
-                factors.append([{"start": int(a), "length": int(b - a)} for a, b in edges.reshape(-1, 2)])
+                factors.append([dict(zip(("start", "length", "ref_key", "ref_start"), f, strict=True)) for f in own])
+                spans.append([{"start": int(a), "length": int(b - a)} for a, b in edges.reshape(-1, 2)])
                 kept_text.append(b" ".join(np.array(words, object)[~gone].tolist() if own else words).decode())
             yield pa.record_batch({
                 "row": batch.column("row"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
-                "factors": pa.array(factors, pa.list_(pa.struct({"start": pa.int32(), "length": pa.int32()}))),
+                "factors": pa.array(factors, pa.list_(factor)),
+                "spans": pa.array(spans, pa.list_(pa.struct({"start": pa.int32(), "length": pa.int32()}))),
                 "kept_text": pa.array(kept_text, pa.string()),
             })
 
-    joined = held.join(spans, "doc_key", "left").select("row", F.col("row.text").alias("text"), "spans")
+    joined = held.join(own, "doc_key", "left").select("row", F.col("row.text").alias("text"), "matches")
     return joined.mapInArrow(run, schema)
 
 
+def _true_matches(parsed: _Parsed, found: list[list[dict]]) -> list[list[tuple]]:
+    """The matches of each row that its words bear out: the first window's hash is computed again."""
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    start, n, check = (np.array([m[k] for own in found for m in own], np.int64) for k in ("start", "n_windows", "check"))
+    at = parsed.first[row] + start if len(row) else row
+    last = at + n + parsed.span - 2
+    fits = np.flatnonzero(last < len(parsed.doc))
+    fits = fits[parsed.doc[last[fits]] == row[fits]]
+    fits = fits[parsed.checks(at[fits]) == check[fits]]
+    true: list[list[tuple]] = [[] for _ in found]
+    flat = [m for own in found for m in own]
+    for i in fits.tolist():
+        m = flat[i]
+        true[row[i]].append((m["start"], m["n_windows"], m["ref_key"], m["ref_start"]))
+    return true
+
+
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs`` with the repeated passages cut from text and n_chars set anew; a text without any stays as it is."""
     changed = F.col("n_removed") > 0
@@ -213,7 +281,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 def op2_rlz_repeats(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return factored(docs).select(
-        "row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").alias("n_factors")
+        "row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans")
     )
 
 
@@ -226,9 +294,9 @@ c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(genera
 p AS (SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM w),
 x AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.k) AS kept FROM p
       LEFT JOIN (SELECT doc_id, unnest(gone) AS k FROM c) AS c ON p.doc_id = c.doc_id AND p.k = c.k WHERE c.k IS NULL GROUP BY p.doc_id),
-runs AS (SELECT doc_id, count(*) AS n_factors FROM
+runs AS (SELECT doc_id, count(*) AS n_spans FROM
   (SELECT doc_id, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS step FROM (SELECT doc_id, unnest(gone) AS k FROM c)) WHERE step IS NULL OR step > 1 GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_factors, 0)::INT AS n_factors
+  sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::INT AS n_spans
 FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN x ON w.doc_id = x.doc_id LEFT JOIN runs ON w.doc_id = runs.doc_id
 """

@@ -5,6 +5,7 @@ Words are runs of other than the ASCII white space 0x20 and 0x09-0x0D, as UTF-8
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,12 @@ import pyarrow.compute as pc
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 U64 = np.uint64
-BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-INVERSE = pow(WORD_BASE, -1, 2**64)
+#: Bases of run hashes; both are 3 modulo 8, so that runs of up to hundreds of words stay apart in nearly all bits.
+RUN_BASES = (0xD6E8FEB86659FD93, 0x9E6C63D0876A9A43)
+KEY, STEP, SECOND = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x27D4EB2F165667C5)
+#: Words of more bytes than this are hashed by BLAKE2.
+VERY_LONG = 1024
+LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 SLICE_BYTES = 4 << 20
 
 
@@ -64,16 +69,25 @@ class Words:
         return np.bincount(self.doc, minlength=self.n_docs)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        begin = self.starts[0]
-        gaps = np.diff(np.append(self.starts, len(self.bytes)))
-        place = np.arange(begin, len(self.bytes)) - np.repeat(self.starts, gaps)
-        powers = np.cumprod(np.full(int((self.ends - self.starts).max()), BASE, U64))
-        values = powers[np.minimum(place, len(powers) - 1)] * (self.bytes[begin:].astype(U64) + U64(1))
-        values[WHITE[self.bytes[begin:]]] = 0
-        return mixed(np.add.reduceat(values, self.starts - begin))
+        """A 64-bit hash of each word's bytes.
+
+        Eight bytes at a time go through a bijective mixing that depends on all before them, so no arithmetic relation
+        between words survives, and words of up to eight bytes and equal length never collide.
+        """
+        long = self.ends - self.starts
+        out = mixed(long.astype(U64) * STEP + KEY)
+        padded = np.append(self.bytes, np.zeros(8, np.uint8))
+        lanes = np.ndarray(len(self.bytes) + 1, "<u8", padded, strides=(1,))
+        at, left, live = self.starts, long, slice(None)
+        while len(at):
+            out[live] = mixed((out[live] ^ (lanes[at] & LANE[np.minimum(left, 8)])) + STEP)
+            more = np.flatnonzero((left > 8) & (left <= VERY_LONG)) if isinstance(live, slice) else np.flatnonzero(left > 8)
+            live = more if isinstance(live, slice) else live[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(long > VERY_LONG):
+            word = self.bytes[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = U64(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,13 +97,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Hashes of runs of consecutive words, from prefix sums."""
+    """Hashes of runs of consecutive words, from prefix sums. ``lane`` chooses one of two hashes that are independent of each other."""
 
-    def __init__(self, hashes: np.ndarray):
-        n = len(hashes)
+    def __init__(self, hashes: np.ndarray, lane: int = 0):
+        n, base = len(hashes), RUN_BASES[lane]
+        own = mixed(hashes + SECOND) if lane else hashes
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(hashes * np.cumprod(np.full(n, WORD_BASE, U64)), out=self.sums[1:])
-        self.unshift = np.cumprod(np.full(n + 1, INVERSE, U64))
+        np.cumsum(own * np.cumprod(np.full(n, base, U64)), out=self.sums[1:])
+        self.unshift = np.cumprod(np.full(n + 1, pow(base, -1, 2**64), U64))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.unshift[starts] + (ends - starts).astype(U64))

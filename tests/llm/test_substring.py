@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import substring
 
@@ -58,3 +61,52 @@ def test_columns_repeats_and_empty(spark):
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == sorted([(1, "", 0, "x", "y", 5)] * 2 + [rows[2], rows[3]], key=str)
     assert substring.remove_repeats(docs.limit(0)).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Two words of 1024 letters, complements of each other, and two runs of words alike keep apart."""
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = ["w%d" % i for i in range(34)]
+    run = lambda a, b, tag: " ".join({"a": a, "b": b}[c] for c in thue_morse(2048)) + tag
+    texts = [" ".join([*rest[:17], one, *rest[17:]]), " ".join([*rest[:17], two, *rest[17:]]), one, two, "x" * 5000, "x" * 5001]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sum(r.n_removed for r in substring.factored(docs).collect()) == 0
+    texts = [run("left", "right", ""), run("right", "left", " end")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.factored(docs).collect()}
+    assert [got[i] for i in range(2)] == brute(texts, 35)
+
+
+def test_factors_say_where_their_words_are(spark):
+    docs = spark.createDataFrame(list(enumerate(corpus(5))), "doc_id long, text string").repartition(5)
+    rows = substring.factored(docs).withColumn("key", F.xxhash64("row.doc_id", "row.text")).collect()
+    words = {r.key: (r.row.text or "").encode().split() for r in rows}
+    n = 0
+    for r in rows:
+        own, covered = words[r.key], set()
+        for f in r.factors:
+            assert f.length >= 35 and own[f.start : f.start + f.length] == words[f.ref_key][f.ref_start : f.ref_start + f.length]
+            assert (f.ref_key, f.ref_start) != (r.key, f.start)
+            covered |= set(range(f.start, f.start + f.length))
+            n += 1
+        assert len(covered) == r.n_removed
+        assert sum(s.length for s in r.spans) == r.n_removed
+    assert n > 50
+
+
+def test_parse_extends_along_one_text():
+    found = [(3, 4, 7, 103), (7, 1, 7, 107), (8, 1, 9, 0), (9, 2, 9, 1), (5, 1, 1, 1), (40, 1, 7, 140)]
+    assert substring.parse(found, 35) == [(3, 39, 7, 103), (8, 37, 9, 0), (40, 35, 7, 140)]
+
+
+def test_matches_of_another_row_are_dropped():
+    texts = pa.array([" ".join("w%d" % i for i in range(50)), "few words"])
+    parsed = substring._Parsed(texts, 35)
+    check = int(parsed.checks(np.array([4]))[0])
+    match = lambda start, check, n=1: {"start": start, "n_windows": n, "check": check, "ref_key": 1, "ref_start": 0}
+    assert substring._true_matches(parsed, [[match(4, check), match(5, check), match(4, check, 100)], [match(0, check)]]) == [[(4, 1, 1, 0)], []]
