@@ -156,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are left out. The sample is the first rows by hash of
     doc_id, up to the bounds of ``params``; a document that would pass max_bytes is skipped, the next ones are not.
-    Null labels and texts are left out.
+    Null labels and texts are left out. Raises ValueError if there are labelled texts and none of them fits; without any, or
+    with labels of one kind only, the model calls nothing toxic.
     """
     params = params or ToxicityParams()
     crc = F.crc32(F.col("id").cast("string")) % 4
@@ -172,7 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
         if held + r.n <= params.max_bytes:
             keep.append(r.id)
             held += r.n
-    few = sample if len(keep) == len(sizes) else sample.where(F.col("id").isin(keep))
+    if sizes and not keep:
+        raise ValueError(f"every labelled text is longer than max_bytes, {params.max_bytes}")
+    known = docs.sparkSession.createDataFrame([(i,) for i in keep], "id long")
+    few = sample if len(keep) == len(sizes) else sample.join(known, "id", "left_semi")
     rows = sorted(few.collect(), key=lambda r: (r.id, r.text))
     return fit([r.text for r in rows], [r.label for r in rows], params)
 
@@ -206,14 +210,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, unchanged."""
+    """The rows of ``docs`` that are not predicted toxic, unchanged.
+
+    Null and empty texts stay; texts of any length are scored whole, a few MB at a time; repeated rows are judged alike.
+    """
     model = train(docs, labels, params)
 
     def run(batches):
         sums = model.summed()
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            mild = [model.score(t, sums)[0] < THRESHOLD for t in batch.column(at).to_pylist()]
+            texts = pa.record_batch({"text": batch.column(batch.schema.get_field_index("text"))})
+            mild = [model.score(t, sums)[0] < THRESHOLD for part in slices([texts]) for t in part.column("text").to_pylist()]
             yield batch.filter(pa.array(mild, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
