@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from kinweave.llm import ann
 
@@ -25,27 +26,34 @@ def test_few_vectors_are_searched_whole(spark):
     rows += [(100 + i, rows[3][1]) for i in range(40)] + [(5, rows[5][1]), (200, rows[0][1]), (220, (2 * np.array(rows[0][1])).tolist())]
     bad = [(300, None), (320, [0.0] * 5), (340, [1.0, None, 1.0, 1.0, 1.0]), (360, [float("nan")] * 5), (380, [float("inf")] + [0.0] * 4), (400, [1.0]), (None, [1.0] * 5)]
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows + bad], "vec_id long, embedding array<double>, key int")
-    assert rows_of(ann.search(frame, ann.AnnParams(order=16))) == brute(rows, 20, 20)
+    assert rows_of(ann.search(frame)) == brute(rows, 20, 20)
     three = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 1.0])], "vec_id long, embedding array<float>")
     assert rows_of(ann.search(three)) == [(20, 1, 1, 0.5)]
     assert ann.search(frame.limit(0)).count() == 0
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("spread", [0.0, 0.7])
+def test_recall_and_share(spark, spread):
+    """Isotropic vectors, of equal and of very unequal norms."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 24))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = rng.normal(size=(5000, 24))
+    x *= np.exp(rng.normal(0, spread, (5000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     params = ann.AnnParams(block=500)
     got = {}
     for r in ann.search(frame, params).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    hits = 0
-    for q in range(0, 3000, 20):
+    index = ann.Index(x[rng.choice(5000, 320, replace=False)], params, 5000)
+    orders, norms = ann._ordered(x, index.pivots, index.m), np.linalg.norm(x, axis=1)
+    hits, again = 0, 0
+    for q in range(0, 5000, 20):
         s = x @ x[q]
-        s[q] = -9
+        s[q] = -1e9
         hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
-    assert hits / (150 * 20) >= 0.9
+        mean, least = index.threshold(orders[q])
+        again += (norms * (mean - ann.footrule(orders, orders[q], len(index.pivots))) >= least).mean()
+    assert hits / (250 * 20) >= 0.9
+    assert again / 250 <= 0.12
 
 
 def test_footrule_by_hand():
