@@ -4,8 +4,8 @@ Text is cut into units (a run of white space and the run of other characters aft
 merge crosses a unit, so units can be emitted as soon as the next one begins. Inside a unit, pre-tokens are
 encoded by merge rank. A pre-token of any length is read through a window: a token is stable, whatever follows,
 once it ends at least `MergeTable.lookahead` bytes before the end of what has been read; stable tokens are
-emitted and the window moves on. Memory does not grow with the text beyond that window and a memo of recent
-units of fixed size. Decoding feeds token bytes to an incremental UTF-8 state machine.
+emitted and the window moves on. Units are read and emitted group by group, so that memory does not grow with the
+text beyond a group, that window and a memo of recent units of bounded bytes. Decoding feeds token bytes to an incremental UTF-8 state machine.
 """
 
 from __future__ import annotations
@@ -15,18 +15,22 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import regex
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 UNIT = regex.compile(r"\s*\S+|\s+")
+CUT = re.compile(r"(?<=\S)[ \n]")
 UNEVEN = re.compile(r"\s[ \n]|\x00")
 NO_RANK = np.int32(2**31 - 1)
 CHUNK = 1 << 16
 LONG = 96
-MEMO = 300_000
+#: Characters of text whose units are learned together; bytes of each of the two memos; characters of a unit that a memo takes.
+GROUP, MEMO_BYTES, MEMO_UNIT = 1 << 21, 96 << 20, 512
+#: What a memo entry takes beside its characters and ids, about.
+ENTRY_BYTES = 160
 
 
 def byte_characters() -> list[str]:
@@ -201,37 +205,30 @@ def units(text: str) -> list[str]:
 
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
-    """The text in pieces of about ``size`` characters, cut only before a space that follows no white space."""
+    """The text in pieces of about ``size`` characters, cut only before a space or line end that follows no white space."""
     low = 0
-    while len(text) - low > size:
-        at = text.rfind(" ", low + 1, low + size)
-        while at > low and text[at - 1].isspace():
-            at = text.rfind(" ", low + 1, at)
-        if at <= low:
-            at = text.find(" ", low + size)
-            while at >= 0 and text[at - 1].isspace():
-                at = text.find(" ", at + 1)
-            if at < 0:
-                break
-        yield text[low:at]
-        low = at
+    while len(text) - low > size and (m := CUT.search(text, low + size)):
+        yield text[low : m.start()]
+        low = m.start()
     yield text[low:]
 
 
 class Transducer:
-    """Encodes texts to little-endian 32-bit ids with a memo of recent units of fixed size."""
+    """Encodes texts to little-endian 32-bit ids with a memo of recent units of bounded size."""
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.held = 0
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.special)) + ")") if self.table.special else None
 
     def learn(self, wanted: set[str]) -> None:
-        """Puts the units into the young memo; when that is full it becomes the old one."""
+        """Puts the units of up to MEMO_UNIT characters into the young memo; when that is full it becomes the old one."""
+        wanted = {u for u in wanted if len(u) <= MEMO_UNIT}
         missing = [u for u in wanted if u not in self.young]
-        if len(self.young) + len(missing) > MEMO:
-            self.old, self.young, missing = self.young, {"": b""}, list(wanted)
+        if self.held > MEMO_BYTES:
+            self.old, self.young, self.held, missing = self.young, {"": b""}, 0, list(wanted)
         cut = {}
         for unit in missing:
             known = self.old.get(unit)
@@ -240,12 +237,38 @@ class Transducer:
                 cut[unit] = [unit.encode()] if simple else [p.encode() for p in PATTERN.findall(unit)]
             else:
                 self.young[unit] = known
-        short = list({p for own in cut.values() for p in own if len(p) <= LONG})
-        ids = dict(zip(short, self.table.encode_many(short), strict=True))
+        ids = self._short({p for own in cut.values() for p in own})
         for unit, own in cut.items():
-            self.young[unit] = b"".join(
-                ids[p] if len(p) <= LONG else b"".join(x.astype("<u4").tobytes() for x in self.table.encode_long(p)) for p in own
-            )
+            self.young[unit] = b"".join(ids[p] if p in ids else b"".join(self._long(p)) for p in own)
+        self.held += sum(len(u) + len(self.young[u]) + ENTRY_BYTES for u in missing)
+
+    def _short(self, pretokens: set[bytes]) -> dict[bytes, bytes]:
+        short = [p for p in pretokens if len(p) <= LONG]
+        return dict(zip(short, self.table.encode_many(short), strict=True))
+
+    def _long(self, pretoken: bytes) -> Iterator[bytes]:
+        return (x.astype("<u4").tobytes() for x in self.table.encode_long(pretoken))
+
+    def direct(self, unit: str, size: int = 4096) -> Iterator[bytes]:
+        """Ids of a unit of any length, without the memo: ``size`` pre-tokens at a time, long ones window by window."""
+        found = (m.group().encode() for m in PATTERN.finditer(unit))
+        while own := list(islice(found, size)):
+            ids = self._short(set(own))
+            for p in own:
+                if p in ids:
+                    yield ids[p]
+                else:
+                    yield from self._long(p)
+
+    def known(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of learned units, in pieces."""
+        long = [k for k, u in enumerate(parts) if len(u) > MEMO_UNIT]
+        low = 0
+        for k in long:
+            yield b"".join(map(self.young.__getitem__, parts[low:k]))
+            yield from self.direct(parts[k])
+            low = k + 1
+        yield b"".join(map(self.young.__getitem__, parts[low:] if low else parts))
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """The text cut at special tokens, each with its id; None for ordinary text."""
@@ -254,17 +277,38 @@ class Transducer:
         return [(s, self.table.special.get(s)) for s in self.special.split(text) if s]
 
     def encode(self, texts: Iterable[str]) -> Iterator[Iterator[bytes]]:
-        """For each text, its ids in pieces. The texts together should be a few MB: their new units are learned at once."""
-        texts = list(texts)
-        cut = [[(s, i) for s, i in self.segments(t)] for t in texts]
-        group = [[(units(c), None) for c in chunks(s)] if i is None else [([], i)] for own in cut for s, i in own]
-        self.learn(set(chain.from_iterable(u for own in group for u, i in own if i is None)))
-        at = 0
-        for own in cut:
-            parts = list(chain.from_iterable(group[at : at + len(own)]))
-            at += len(own)
-            yield (b"".join(map(self.young.__getitem__, u)) if i is None else int(i).to_bytes(4, "little") for u, i in parts)
+        """For each text, its ids in pieces, to be read before the next text's.
+
+        Neighbouring texts of up to GROUP characters together are learned at once; a longer one is read, learned and
+        emitted group by group.
+        """
+        held: list[str] = []
+        for text in texts:
+            if held and sum(map(len, held)) + len(text) > GROUP:
+                yield from self._together(held)
+                held = []
+            if len(text) > GROUP:
+                yield self.stream(text)
+            else:
+                held.append(text)
+        yield from self._together(held)
 
+    def _together(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        cut = [[(units(c), i) if i is None else ([], i) for s, i in self.segments(t) for c in (chunks(s) if i is None else [s])] for t in texts]
+        self.learn(set(chain.from_iterable(u for own in cut for u, _ in own)))
+        for own in cut:
+            yield chain.from_iterable(self.known(u) if i is None else [int(i).to_bytes(4, "little")] for u, i in own)
+
+    def stream(self, text: str, size: int = GROUP) -> Iterator[bytes]:
+        """Ids of one text in pieces; no more than about ``size`` characters beyond a piece have been encoded when it is emitted."""
+        for segment, special in self.segments(text):
+            if special is not None:
+                yield int(special).to_bytes(4, "little")
+                continue
+            for part in chunks(segment, size):
+                own = units(part) if len(part) <= 2 * size else [part]
+                self.learn(set(own))
+                yield from self.known(own)
 
 class Decoder:
     """Turns ids into text; bytes of an unfinished character wait for the next call."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinweave.functions.durable import durable
-from kinweave.llm.bpe import LONG, MergeTable
+from kinweave.llm.bpe import ENTRY_BYTES, LONG, MEMO_BYTES, MEMO_UNIT, MergeTable
 from kinweave.llm.encoding import tokenizer_path
 from kinweave.llm.words import slices
 
@@ -33,14 +33,13 @@ END_ID = 2
 PIECE = 256
 #: Mean windows in a cell; what a task holds is a few times this.
 CELL_WINDOWS = 128
-MEMO = 300_000
 #: Words of Latin-1 without white space or controls: for them lower-casing is all there is to normalization.
 PLAIN = re.compile("[!-~\xa1-\xff]+")
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class WordEncoder:
-    """Token ids of texts, word by word, with a memo of recent words of fixed size.
+    """Token ids of texts, word by word, with a memo of recent words of bounded bytes. Very long words stay in it for one call only.
 
     No pre-token of this tokenizer has white space in it, so a text's ids are those of its words in turn. New
     words are merged many at a time; words beyond Latin-1, long ones, and those with special tokens are
@@ -52,11 +51,13 @@ class WordEncoder:
         self.table = MergeTable(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
+        self.passing: list[bytes] = []
 
     def learn(self, wanted: set[bytes]) -> None:
         missing = [w for w in wanted if w not in self.young]
-        if len(self.young) + len(missing) > MEMO:
-            self.old, self.young, missing = self.young, {}, list(wanted)
+        if self.held > MEMO_BYTES:
+            self.old, self.young, self.held, missing = self.young, {}, 0, list(wanted)
         single, split, other = {}, {}, []
         for word in missing:
             known = self.old.get(word)
@@ -82,12 +83,17 @@ class WordEncoder:
             self.young[word] = b"".join(map(ids.__getitem__, several))
         for word, found in zip(other, self.library.encode_batch([w.decode() for w in other], add_special_tokens=False), strict=True):
             self.young[word] = np.array(found.ids, "<u4").tobytes()
+        self.passing = [w for w in missing if len(w) > MEMO_UNIT]
+        self.held += sum(len(w) + len(self.young[w]) + ENTRY_BYTES for w in missing if len(w) <= MEMO_UNIT)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [t.encode().split() for t in texts]
         self.learn(set().union(*split))
-        return [b"".join(map(self.young.__getitem__, words)) for words in split]
+        out = [b"".join(map(self.young.__getitem__, words)) for words in split]
+        for word in self.passing:
+            del self.young[word]
+        return out
 
 
 @cache

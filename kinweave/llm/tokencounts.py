@@ -3,7 +3,8 @@
 A document's text is cut into units (a run of white space and what follows it), inside which all pre-tokens and
 merges lie. The units' characters and token counts are the leaves of a segment tree. An edit touches the
 units it overlaps and one neighbour on either side, beyond which no cut can move: only that region is
-encoded again, and only the sums above its leaves change.
+encoded again, and only the sums above its leaves change. The region's units go back into its leaves; when a leaf
+has come to hold too many of them, the tree is laid out anew, without encoding.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from kinweave.llm.bpe import Transducer, transducer, units
 from kinweave.llm.encoding import tokenizer_path
 from kinweave.llm.words import slices
 
+#: Characters from which a leaf of several units is split up.
+CROWDED = 1024
 EDITS = "array<struct<at:int,removed:int,inserted:string>>"
 
 
@@ -34,20 +37,23 @@ def learn(coder: Transducer, parts: list[list[str]]) -> None:
 
 
 def counts(coder: Transducer, parts: list[str]) -> list[int]:
-    """Tokens of each unit; the units must have been learned."""
+    """Tokens of each unit; the units must have been learned, but for long ones."""
     young, special = coder.young, coder.table.special
-    return [len(young[u]) // 4 if u in young else (1 if u in special else 0) for u in parts]
+    return [len(young[u]) // 4 if u in young else (1 if u in special else sum(map(len, coder.direct(u))) // 4) for u in parts]
 
 
 class Tree:
     """A segment tree over slots, each with the text, characters and tokens of one or more units.
 
-    ``chars[1]`` and ``tokens[1]`` are the totals; slot i is at ``size + i``. An edit refills the first
-    touched slot and empties the others, so slots never move.
+    ``chars[1]`` and ``tokens[1]`` are the totals; slot i is at ``size + i``. ``several`` has the units of the slots that
+    hold more than one. An edit deals its region's units to the slots that it touches.
     """
 
     def __init__(self, texts: list[str], n_tokens: list[int]):
-        self.texts = texts or [""]
+        self._lay(texts, n_tokens)
+
+    def _lay(self, texts: list[str], n_tokens: list[int]) -> None:
+        self.texts, self.several = texts or [""], {}
         self.size = 1 << (len(self.texts) - 1).bit_length()
         self.chars, self.tokens = self._summed(list(map(len, self.texts))), self._summed(n_tokens or [0])
 
@@ -74,7 +80,7 @@ class Tree:
         self.texts[slot] = text
         node = self.size + slot
         more_chars, more_tokens = len(text) - self.chars[node], n_tokens - self.tokens[node]
-        while node:
+        while node and (more_chars or more_tokens):
             self.chars[node] += more_chars
             self.tokens[node] += more_tokens
             node //= 2
@@ -101,11 +107,21 @@ class Tree:
         text = "".join(self.texts[low : high + 1])
         return low, high, text[: at - before] + inserted + text[end - before :]
 
-    def refill(self, low: int, high: int, text: str, n_tokens: int) -> None:
-        for slot in range(low + 1, high + 1):
-            if self.chars[self.size + slot]:
-                self.put(slot, "", 0)
-        self.put(low, text, n_tokens)
+    def refill(self, low: int, high: int, parts: list[str], n_tokens: list[int]) -> None:
+        """Deals units to the slots from ``low`` to ``high``; a crowded slot makes the tree be laid out anew, a unit a slot."""
+        n, crowded = high - low + 1, False
+        for k in range(n):
+            a, b = k * len(parts) // n, (k + 1) * len(parts) // n
+            text = "".join(parts[a:b])
+            if text or self.chars[self.size + low + k]:
+                self.put(low + k, text, sum(n_tokens[a:b]))
+            self.several.pop(low + k, None)
+            if b - a > 1:
+                self.several[low + k] = (parts[a:b], n_tokens[a:b])
+                crowded |= len(text) > CROWDED
+        if crowded:
+            own = [self.several.get(i) or ([t], [self.tokens[self.size + i]]) for i, t in enumerate(self.texts) if t]
+            self._lay([u for x, _ in own for u in x], [c for _, y in own for c in y])
 
 
 def edit_all(coder: Transducer, trees: list[Tree], edits: list) -> list[int]:
@@ -119,7 +135,7 @@ def edit_all(coder: Transducer, trees: list[Tree], edits: list) -> list[int]:
     learn(coder, parts)
     for tree, r, own in zip(trees, regions, parts, strict=True):
         if r is not None:
-            tree.refill(*r, sum(counts(coder, own)))
+            tree.refill(r[0], r[1], own, counts(coder, own))
     return [0 if r is None else len(r[2]) for r in regions]
 
 

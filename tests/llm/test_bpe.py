@@ -33,14 +33,37 @@ def test_like_the_library(library):
 
 
 def test_memo_is_bounded(library, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 20)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20 * 180)
     coder = bpe.Transducer(PATH)
     rng = random.Random(2)
     for _ in range(30):
         t = " ".join("".join(rng.choice("abc") for _ in range(3)) for _ in range(8))
         (pieces,) = coder.encode([t])
         assert np.frombuffer(b"".join(pieces), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
-        assert len(coder.young) <= 30 and len(coder.old) <= 30
+        assert len(coder.young) <= 40 and len(coder.old) <= 40
+
+
+def test_long_units_stay_out_of_the_memo(library):
+    coder = bpe.Transducer(PATH)
+    text = "a " + "".join(random.Random(3).choice("abc1.") for _ in range(20_000)) + " b"
+    (pieces,) = coder.encode([text])
+    assert np.frombuffer(b"".join(pieces), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, coder.young)) <= bpe.MEMO_UNIT
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", ""])
+def test_ids_come_before_the_end_is_read(library, gap):
+    """Of a text of many groups, the first ids are there when only the first group was looked at."""
+    words = ["w%d" % (i % 977) for i in range(60_000)]
+    text, coder, seen = gap.join(words), bpe.Transducer(PATH), []
+    learn, short = coder.learn, coder._short
+    coder.learn = lambda wanted: (seen.append(sum(len(u) for u in wanted if len(u) <= bpe.MEMO_UNIT)), learn(wanted))[1]
+    coder._short = lambda pretokens: (seen.append(sum(map(len, pretokens))), short(pretokens))[1]
+    stream = coder.stream(text, size=10_000)
+    first = next(x for x in stream if x)
+    assert first and sum(seen) < 60_000 < len(text) / 3
+    ids = np.frombuffer(first + b"".join(stream), "<u4").tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
 
 
 def test_lookahead_is_sufficient():

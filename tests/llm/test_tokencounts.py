@@ -44,6 +44,26 @@ def test_only_the_region_is_encoded_again():
     assert tokencounts.edit_all(coder, [tree], [(50_000, 3, "x")])[0] < 120
 
 
+def test_thousands_of_edits_at_one_place():
+    """Each encodes a bounded number of characters again, after a large paste too."""
+    rng = random.Random(6)
+    library, coder = Tokenizer.from_file(PATH), transducer(PATH)
+    text = "some words here and there " * 200
+    tree = tree_of(coder, text)
+    for k in range(3_000):
+        edit = (2600 + k, 0, rng.choice("ab c"))
+        assert tokencounts.edit_all(coder, [tree], [edit])[0] < 5 * tokencounts.CROWDED
+        text = apply(text, [edit])
+    paste = (100, 0, "pasted text " * 20_000)
+    text = apply(text, [paste])
+    tokencounts.edit_all(coder, [tree], [paste])
+    for edit in ((120_000, 1, "x"), (120_003, 0, " y"), (50, 100_000, "")):
+        assert tokencounts.edit_all(coder, [tree], [edit])[0] < 5 * tokencounts.CROWDED or edit[1] > 10
+        text = apply(text, [edit])
+    assert "".join(tree.texts) == text
+    assert tree.tokens[1] == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_table(spark):
     library = Tokenizer.from_file(PATH)
     docs = spark.createDataFrame(
