@@ -21,6 +21,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(NAN)).otherwise(dot(a, b) / norms)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1 in double precision; of NaN if it is zero."""
+    norm = F.sqrt(dot(a, a))
+    return F.transform(a, lambda x: F.when(norm == 0, F.lit(NAN)).otherwise(x.cast("double") / norm))
+
+
 def uniform(seed: int | str, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the keys alone, from 52 bits of an MD5.
 

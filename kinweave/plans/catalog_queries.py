@@ -17,6 +17,7 @@ from kinweave.functions.durable import durable, shared_folder
 from kinweave.operators.network import NetworkBuilder
 from kinweave.plans import driver_queries as base
 from kinweave.plans.analysis import Analysis
+from kinweave.plans.report import sample_genes, with_labels
 from kinweave.sources import ingest, ontology
 from kinweave.sources.catalog import Catalog
 
@@ -284,3 +285,19 @@ def analysis_statistics(spark, d):
     own = Analysis(graph, graph.drop("type"), pairs.select("gene").distinct(), pairs.select("pathway").distinct())
     vectors = base.replicates(spark, d).select("rep", named("V", "vec_id").alias("node"), "embedding")
     return rounded(replace(own, embedding=vectors, null=base.null_values(spark, d)).with_statistics().stats())
+
+
+@query(f"""WITH {_OWN}, names AS (SELECT id, min(symbol) AS label FROM targets GROUP BY 1 UNION ALL SELECT 'P' || n_nationkey, n_name FROM nation UNION ALL SELECT go_id, go_name FROM terms)
+SELECT "from", "to", type, coalesce(a.label, "from") AS from_label, coalesce(b.label, "to") AS to_label FROM net LEFT JOIN names a ON a.id = "from" LEFT JOIN names b ON b.id = "to" """)
+def labelled_network(spark, d):
+    """The network with the display names of its genes, pathways and terms."""
+    found = catalog(spark, d, "gene_main", "reactome_main", "gene_ontology_main")
+    names = found.gene_info().select(F.col("ensembl_id").alias("id"), F.col("symbol").alias("label"))
+    names = names.union(found.reactome_info()).union(found.gene_ontology_info().select("go_id", "go_name"))
+    return with_labels(analysed(spark, d).graph, names, "from", "to")
+
+
+@query(f"""WITH {_TARGETS} SELECT id AS gene FROM (SELECT DISTINCT id FROM targets) ORDER BY {base.hash_uniform("'7'", "id")}, id LIMIT 25""")
+def random_genes(spark, d):
+    """A random sample of 25 genes."""
+    return sample_genes(catalog(spark, d, "gene_main").gene_info().select(F.col("ensembl_id").alias("gene")), 25, seed=7)

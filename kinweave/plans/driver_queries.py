@@ -111,6 +111,8 @@ def _u(*parts: str) -> str:
     return "(('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 13))::BIGINT / pow(2.0, 52))"
 
 
+hash_uniform = _u
+
 # ---------------------------------------------------------------- tables and ingest
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.columns import uniform
+from kinweave.functions.durable import durable
 from kinweave.operators.graph import node_degree
 
 BINS = 50
@@ -15,7 +17,7 @@ def histogram(values: DataFrame, bins: int = BINS) -> DataFrame:
 
     The greatest value lies in the last bin. If all values are equal, the width is 1. NaN and nulls are left out.
     """
-    known = values.where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
+    known = durable(values.where(F.col("similarity").isNotNull() & ~F.isnan("similarity")))
     span = known.agg(F.min("similarity").alias("low"), F.max("similarity").alias("high"))
     width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / bins).otherwise(1.0)
     placed = known.crossJoin(span.select("low", width.alias("width"))).select(
@@ -48,6 +50,24 @@ def result_plot_data(analysis, threshold: float = 0.25) -> DataFrame | None:
     return enrichment(analysis.statistics, analysis.graph.where("type = 'interaction'"), threshold)
 
 
+def with_labels(table: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """Adds ``<column>_label`` for each of the columns, from ``names(id, label)``; an id without a label shows itself.
+
+    Of several labels of an id the first in order is taken; nulls stay null.
+    """
+    known = names.groupBy("id").agg(F.min("label").alias("label"))
+    for c in columns:
+        own = known.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+        table = table.join(own, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+    return table
+
+
+def sample_genes(genes: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` random ones of the distinct ``genes(gene)``, all if there are fewer; the same for equal seeds."""
+    drawn = genes.select("gene").distinct().withColumn("u", uniform(seed, F.col("gene")))
+    return drawn.orderBy("u", "gene").limit(n).select("gene")
+
+
 def pca_2d(embeddings: DataFrame) -> DataFrame:
     """node, pc1, pc2: the first two components of the scaled embeddings. Each component's sign is that of its largest loading."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -95,7 +95,7 @@ def association_data(spark: SparkSession, params: SyntheticParams | None = None,
     """
     p = params or SyntheticParams()
     terms = durable(_forest(spark, p, seed))
-    hierarchy = terms.where("parent IS NOT NULL").select("term", "parent").union(_lateral(terms, p, seed))
+    hierarchy = terms.where("parent IS NOT NULL").select("parent", "term").union(_lateral(terms, p, seed))
     genes = durable(_genes(spark, p))
     annotations = durable(_annotations(genes, terms, p, seed))
     a = genes.select(F.col("gene").alias("u"), "crew")
