@@ -455,16 +455,21 @@ def random_walks(spark, d):
 # ---------------------------------------------------------------- trained results: rows only
 
 
+def places(spark, d):
+    """Suppliers with their nations, nations with their regions: a network of whole tables."""
+    parts = (("supplier", "S", "s_suppkey", "N", "s_nationkey"), ("nation", "N", "n_nationkey", "R", "n_regionkey"))
+    links = [read(spark, d, table).select(named(a, low).alias("from"), named(b, high).alias("to")) for table, a, low, b, high in parts]
+    return links[0].unionByName(links[1])
+
+
 @query()
 def node2vec_embedding(spark, d):
-    edges = synthetic.node2vec_test_data(spark, "barbell", 8).edges
-    return node2vec(edges, params=node2vec_params(walks_per_node=10, walk_length=10, n_epochs=3))
+    return node2vec(places(spark, d), params=node2vec_params(walks_per_node=10, walk_length=10, n_epochs=3))
 
 
 @query()
 def null_similarities(spark, d):
-    edges = synthetic.node2vec_test_data(spark, "stochastic", 8, 3).edges
-    return embed.null_similarities(edges, association_params(walks_per_node=5, n_epochs=1), 8, 2, 42)
+    return embed.null_similarities(places(spark, d), association_params(walks_per_node=5, walk_length=5, n_epochs=1), 8, 2, 42)
 
 
 @query()
