@@ -30,11 +30,17 @@ def durable(df: DataFrame) -> DataFrame:
     `release` or the end of the program.
     """
     spark = df.sparkSession
-    name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    name = reserved(spark)
     df.write.parquet(name)
+    return spark.read.schema(df.schema).parquet(name)
+
+
+def reserved(spark: SparkSession) -> str:
+    """A new path in the shared folder, for files that go when durable tables go."""
+    name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     _WRITTEN.append((path.getFileSystem(spark._jsc.hadoopConfiguration()), path))
-    return spark.read.schema(df.schema).parquet(name)
+    return name
 
 
 def mark() -> int:
