@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kinweave.llm import ann, encoding, lm, packing, quality, simhash, substring, tokencounts, toxicity, urlrules
+from kinweave.llm import (
+    ann, encoding, lexical, lm, merkle, packing, quality, simhash, substring, tokencounts, tokenfiles, toxicity, urlrules,
+)
 
 QUERIES = {
     "op1_edit_aware_counts": tokencounts.op1_edit_aware_counts,
@@ -15,8 +17,13 @@ QUERIES = {
     "op8_adaptive_quality": quality.op8_adaptive_quality,
     "op9_mil_toxicity": toxicity.op9_mil_toxicity,
     "op10_url_rules": urlrules.op10_url_rules,
+    "op11_pregel_merkle": merkle.op11_pregel_merkle,
+    "op12_windowed_search": lexical.op12_windowed_search,
+    "op13_packed_ids": tokenfiles.op13_packed_ids,
 }
 ORACLES = {
     "op2_rlz_repeats": substring.ORACLE,
     "op8_adaptive_quality": quality.ORACLE,
+    "op11_pregel_merkle": merkle.ORACLE,
+    "op12_windowed_search": lexical.ORACLE,
 }
