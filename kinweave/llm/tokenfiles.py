@@ -178,8 +178,9 @@ class ShardRange(InputPartition):
 class PackedIds(DataSource):
     """Format ``packed_ids``: doc_id long, start long (ids before the document's), ids binary (little-endian 32-bit integers).
 
-    To write, order rows by partition and within it as they are to be numbered; ``start`` is worked out and need not be right.
-    Option ``width``: bits of an id. To read, ``start`` and ``stop`` leave only the parts of documents with ids from
+    To write, order rows (doc_id, ids) by partition and within it as they are to be numbered. Option ``width``: bits of an id. With
+    option ``tokenizer``, the file of one of the kind that `packing.WordEncoder` reads, rows are (doc_id, text) and are encoded here, option
+    ``end_id`` behind each. To read, ``start`` and ``stop`` leave only the parts of documents with ids from
     number ``start`` up to ``stop``. Only mode "append" to a new folder and mode "overwrite" are there.
     """
 
@@ -191,7 +192,7 @@ class PackedIds(DataSource):
         return "doc_id long, start long, ids binary"
 
     def writer(self, schema, overwrite: bool) -> PackedWriter:
-        return PackedWriter(self.options["path"], int(self.options["width"]), overwrite)
+        return PackedWriter(self.options["path"], int(self.options["width"]), overwrite, self.options.get("tokenizer"), self.options.get("end_id"))
 
     def reader(self, schema) -> PackedReader:
         low, high = self.options.get("start"), self.options.get("stop")
@@ -199,23 +200,31 @@ class PackedIds(DataSource):
 
 
 class PackedWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, width: int, overwrite: bool):
-        self.path, self.width = path, width
+    def __init__(self, path: str, width: int, overwrite: bool, tokenizer: str | None = None, end_id: str | None = None):
+        self.path, self.width, self.tokenizer = path, width, tokenizer
+        self.close = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         files, folder = fs.FileSystem.from_uri(path)
         if not overwrite and files.get_file_info(f"{folder}/manifest.json").type != fs.FileType.NotFound:
             raise ValueError(f"{path} has a table already")
 
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        """doc_id and ids as little-endian 32-bit integers."""
+        for batch in batches if self.tokenizer is None else slices(batches):
+            if self.tokenizer is None:
+                ids = ((x.as_py() or b"") for x in batch.column("ids"))
+            else:
+                ids = (x + self.close for x in word_encoder(self.tokenizer).encode(batch.column("text").to_pylist()))
+            yield from zip(batch.column("doc_id").to_pylist(), ids, strict=True)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, folder = fs.FileSystem.from_uri(self.path)
         part, name, shard = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.ids", None
-        for batch in iterator:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                if shard is None:
-                    files.create_dir(folder, recursive=True)
-                    stream = files.open_output_stream(f"{folder}/{name}")
-                    shard = ShardWriter(stream, self.width)
-                data = ids.as_buffer()
-                shard.add(doc_id, np.frombuffer(data, "<u4") if data is not None else np.zeros(0, np.uint32))
+        for doc_id, ids in self.rows(iterator):
+            if shard is None:
+                files.create_dir(folder, recursive=True)
+                stream = files.open_output_stream(f"{folder}/{name}")
+                shard = ShardWriter(stream, self.width)
+            shard.add(doc_id, np.frombuffer(ids, "<u4"))
         if shard is None:
             return Written(part, "", 0, 0)
         shard.close()
@@ -293,36 +302,21 @@ class PackedReader(DataSourceReader):
                 first = last
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
-    """doc_id and ids (binary, little-endian 32-bit integers) of every row of ``docs(doc_id, text)``, ``end_id`` behind each.
-
-    Null and empty texts have no ids but the end. For tokenizers of the kind that `packing.WordEncoder` reads.
-    """
-    close = b"" if end_id is None else end_id.to_bytes(4, "little")
-
-    def run(batches):
-        encoder = word_encoder(path)
-        for batch in slices(batches):
-            ids = [x + close for x in encoder.encode(batch.column("text").to_pylist())]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 def write_corpus(docs: DataFrame, path: str, folder: str, end_id: int | None = END_ID) -> None:
     """Encodes every row of ``docs(doc_id, text)`` and writes the ids as format ``packed_ids``, in ascending doc_id order.
 
     Rows are dealt out in ranges of doc_id before they are encoded, so texts are encoded once and ids are not shuffled.
     Null ids come first. Rows of one doc_id stand in the order of a hash of their text, and a doc_id of any number of
-    rows is split among ranges. An empty table gives a manifest without shards. Other columns are not read.
+    rows is split among ranges. Null and empty texts have no ids but the end. An empty table gives a manifest without
+    shards. Other columns are not read.
     """
     library = Tokenizer.from_file(path)
     width = width_of(max([*library.get_vocab(with_added_tokens=True).values(), end_id or 0]) + 1)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
-    dealt = keyed.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie")
-    rows = encoded(dealt, path, end_id).select("doc_id", F.lit(0).cast("long").alias("start"), "ids")
+    rows = keyed.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     docs.sparkSession.dataSource.register(PackedIds)
-    rows.write.format("packed_ids").option("width", width).mode("append").save(folder)
+    writer = rows.write.format("packed_ids").option("width", width).option("tokenizer", path)
+    (writer if end_id is None else writer.option("end_id", end_id)).mode("append").save(folder)
 
 
 def read_corpus(spark: SparkSession, folder: str, start: int = 0, stop: int | None = None) -> DataFrame:
