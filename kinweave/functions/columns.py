@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-16
 NAN = float("nan")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -32,10 +43,21 @@ def uniform(seed: int | str, *keys: Column) -> Column:
 
     The same on every engine and under any partitioning, so draws survive a lost executor.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return uniform_of(F.lit(str(seed)), *keys)
+
+
+def uniform_of(*keys: Column) -> Column:
+    """As `uniform`, with a seed that may be a column."""
+    text = F.concat_ws("|", *[k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def three_uniforms(digest: Column) -> list[Column]:
+    """Three numbers in [0, 1) from an MD5 as hex text: of 52, 52 and 24 bits."""
+    cuts = ((1, 13), (14, 13), (27, 6))
+    return [F.conv(F.substring(digest, at, n), 16, 10).cast("double") / F.lit(float(16**n)) for at, n in cuts]
+
+
 def padded(prefix: str, number: Column) -> Column:
     """``prefix`` with a number of at least four digits."""
     return F.format_string(f"{prefix}%04d", number)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.functions.columns import fresh
 from kinweave.functions.durable import durable
 
 
@@ -21,17 +22,19 @@ def running_sum(table: DataFrame, by: list[str], order: str, value: str, out: st
     """Adds the sum of ``value`` over the rows of the same ``by`` up to this one. ``table`` is `ranged` by (by, order)."""
     own = Window.partitionBy(*by, "range_no").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    parts = table.groupBy(*by, "range_no").agg(F.sum(value).alias("part"))
-    offsets = parts.select(*by, "range_no", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("offset"))
-    inside = table.withColumn("inside", F.sum(value).over(own))
-    return inside.join(offsets, [*by, "range_no"]).withColumn(out, F.col("inside") + F.col("offset")).drop("inside", "offset")
+    inside, part, offset = fresh(table, "inside", "part", "offset")
+    parts = table.groupBy(*by, "range_no").agg(F.sum(value).alias(part))
+    offsets = parts.select(*by, "range_no", F.coalesce(F.sum(part).over(before), F.lit(0)).alias(offset))
+    rows = table.withColumn(inside, F.sum(value).over(own))
+    return rows.join(offsets, [*by, "range_no"]).withColumn(out, F.col(inside) + F.col(offset)).drop(inside, offset)
 
 
 def following_min(table: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
     """Adds the least ``value`` over the rows of the same ``by`` from this one on. ``table`` is `ranged` by (by, order)."""
     own = Window.partitionBy(*by, "range_no").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
     after = Window.partitionBy(*by).orderBy("range_no").rowsBetween(1, Window.unboundedFollowing)
-    parts = table.groupBy(*by, "range_no").agg(F.min(value).alias("part"))
-    offsets = parts.select(*by, "range_no", F.min("part").over(after).alias("offset"))
-    inside = table.withColumn("inside", F.min(value).over(own))
-    return inside.join(offsets, [*by, "range_no"]).withColumn(out, F.least("inside", "offset")).drop("inside", "offset")
+    inside, part, offset = fresh(table, "inside", "part", "offset")
+    parts = table.groupBy(*by, "range_no").agg(F.min(value).alias(part))
+    offsets = parts.select(*by, "range_no", F.min(part).over(after).alias(offset))
+    rows = table.withColumn(inside, F.min(value).over(own))
+    return rows.join(offsets, [*by, "range_no"]).withColumn(out, F.least(inside, offset)).drop(inside, offset)

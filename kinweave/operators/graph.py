@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.columns import uniform
+from kinweave.functions.columns import uniform_of
 from kinweave.functions.durable import durable
 from kinweave.functions.ordered import ranged, running_sum
 from kinweave.operators.components import connected_components
@@ -81,24 +81,40 @@ def stubs(edges: DataFrame, directed: bool = False) -> DataFrame:
     return blocks.select("node", F.explode(F.sequence(low + 1, F.least("degree", low + STUB_BLOCK))).alias("stub"))
 
 
-def configuration_model(edges: DataFrame, seed: int, directed: bool = False) -> DataFrame:
-    """A random graph of about the same degrees: from, to, weight 1.
+def largest_components(edges: DataFrame) -> DataFrame:
+    """As `largest_component`, of each ``graph`` of ``edges(graph, from, to)`` at once."""
+    end = lambda c: F.struct("graph", F.col(c).alias("node")).alias(c)
+    labels = durable(components(edges.select(end("from"), end("to"))))
+    counts = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("component.graph").agg(F.min(F.struct(-F.col("n"), "component"))["component"].alias("component"))
+    inside = labels.join(largest, "component", "left_semi").select("node.graph", F.col("node.node").alias("from"))
+    return edges.join(inside, ["graph", "from"], "left_semi")
+
+
+def configuration_models(edges: DataFrame, seeds: list[int], directed: bool = False) -> DataFrame:
+    """Random graphs of about the same degrees, one for each seed: graph (its seed), from, to, weight 1.
 
     Stubs are ordered by a hash of seed, node and number, and paired in turn; an odd one, self-loops and
     repeated edges are dropped. With ``directed`` only out-degrees are kept. The order is a range
     partitioning with running counts, so no task holds all stubs.
     """
-    shuffled = stubs(edges, directed).select("node", uniform(seed, F.col("node"), F.col("stub")).alias("u"), F.lit(1).alias("one"))
+    drawn = stubs(edges, directed).withColumn("graph", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
+    shuffled = drawn.select("graph", "node", uniform_of(F.col("graph"), F.col("node"), F.col("stub")).alias("u"), F.lit(1).alias("one"))
     keyed = shuffled.withColumn("key", F.struct("u", "node"))
-    placed = running_sum(ranged(keyed, "key"), [], "key", "one", "place").select(
-        "node", ((F.col("place") - 1) / 2).cast("long").alias("pair"), ((F.col("place") - 1) % 2).alias("side")
+    placed = running_sum(ranged(keyed, "graph", "key"), ["graph"], "key", "one", "place").select(
+        "graph", "node", ((F.col("place") - 1) / 2).cast("long").alias("pair"), ((F.col("place") - 1) % 2).alias("side")
     )
-    paired = placed.groupBy("pair").agg(
+    paired = placed.groupBy("graph", "pair").agg(
         F.max(F.when(F.col("side") == 0, F.col("node"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("node"))).alias("b")
     )
     kept = paired.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     a, b = (F.col("a"), F.col("b")) if directed else (F.least("a", "b"), F.greatest("a", "b"))
-    return kept.select(a.alias("from"), b.alias("to")).distinct().withColumn("weight", F.lit(1.0))
+    return kept.select("graph", a.alias("from"), b.alias("to")).distinct().withColumn("weight", F.lit(1.0))
+
+
+def configuration_model(edges: DataFrame, seed: int, directed: bool = False) -> DataFrame:
+    """from, to, weight of the random graph that `configuration_models` makes for one seed."""
+    return configuration_models(edges, [seed], directed).drop("graph")
 
 
 def first_of(df: DataFrame, keys: list[str], priority: str) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import cosine, log_stats
+from kinweave.functions.durable import shared_folder
+from kinweave.functions.stages import Stages
 from kinweave.operators import embed, graph, network, stats, walks
-from kinweave.params import SyntheticParams, association_params, node2vec_params
+from kinweave.params import SyntheticParams, association_params
 from kinweave.plans import report, synthetic
-from kinweave.plans.analysis import node2vec
+from kinweave.plans.analysis import Analysis, node2vec
 from kinweave.sources import catalog, ingest
 
 QUERIES: dict = {}
@@ -283,17 +285,22 @@ def largest_component(spark, d):
 
 
 def replicates(spark, d) -> DataFrame:
-    """rep, vec_id, label, embedding: three slices of twenty dimensions."""
+    """rep, vec_id, label, embedding: two slices of 21 and one of 22 dimensions."""
     e = read(spark, d, "embeddings")
-    parts = F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.slice("embedding", 1 + 20 * (r - 1), 20).alias("embedding")) for r in (1, 2, 3)])).alias("x")
+    parts = F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.slice("embedding", 1 + 21 * (r - 1), 21 + r // 3).alias("embedding")) for r in (1, 2, 3)])).alias("x")
     return e.select("vec_id", "label", parts).select("x.rep", "vec_id", "label", "x.embedding")
 
 
+#: A gene is tested against pathways among the vectors so far behind it.
+TESTED = (8, 30)
+
+
 def tested_pairs(spark, d) -> DataFrame:
-    """gene, pathway: the vectors of a label, those divisible by five against the others."""
-    e = read(spark, d, "embeddings").select("vec_id", "label")
-    genes = e.where("vec_id % 5 = 0").select("label", named("V", "vec_id").alias("gene"))
-    return genes.join(e.where("vec_id % 5 <> 0").select("label", named("V", "vec_id").alias("pathway")), "label").select("gene", "pathway")
+    """gene, pathway: each vector divisible by five against the others among those 8 to 30 behind it."""
+    e = read(spark, d, "embeddings").select("vec_id")
+    low, high = TESTED
+    genes = e.where("vec_id % 5 = 0").select(named("V", "vec_id").alias("gene"), F.explode(F.sequence(F.col("vec_id") + low, F.col("vec_id") + high)).alias("vec_id"))
+    return genes.join(e.where("vec_id % 5 <> 0"), "vec_id").select("gene", named("V", "vec_id").alias("pathway"))
 
 
 def observed(spark, d) -> DataFrame:
@@ -318,8 +325,8 @@ def association(spark, d) -> DataFrame:
 
 _COS = "list_dot_product(g.e, p.e) / (sqrt(list_dot_product(g.e, g.e)) * sqrt(list_dot_product(p.e, p.e)))"
 _SIM = f"""emb AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-rep AS (SELECT r::INT AS rep, vec_id, label, e[1 + 20 * (r - 1):20 * r] AS e FROM emb, generate_series(1, 3) AS t(r)),
-sim AS (SELECT g.rep, 'V' || g.vec_id AS gene, 'V' || p.vec_id AS pathway, {_COS} AS similarity FROM rep g JOIN rep p ON g.rep = p.rep AND g.label = p.label WHERE g.vec_id % 5 = 0 AND p.vec_id % 5 <> 0),
+rep AS (SELECT r::INT AS rep, vec_id, label, e[1 + 21 * (r - 1):21 * r + r // 3] AS e FROM emb, generate_series(1, 3) AS t(r)),
+sim AS (SELECT g.rep, 'V' || g.vec_id AS gene, 'V' || p.vec_id AS pathway, {_COS} AS similarity FROM rep g JOIN rep p ON g.rep = p.rep AND p.vec_id - g.vec_id BETWEEN {TESTED[0]} AND {TESTED[1]} WHERE g.vec_id % 5 = 0 AND p.vec_id % 5 <> 0),
 nul AS (SELECT round({_COS}, 9) AS v FROM rep g JOIN rep p ON g.rep = p.rep AND p.vec_id - g.vec_id BETWEEN 1 AND 7 WHERE g.vec_id % 5 = 0 AND p.vec_id % 5 <> 0)"""
 _P = _SIM + """, run AS (SELECT v, z, sum(z) OVER (ORDER BY v, z ROWS UNBOUNDED PRECEDING) AS rank FROM (SELECT v, 1 AS z FROM nul UNION ALL SELECT DISTINCT round(similarity, 9), 0 FROM sim)),
 pv AS (SELECT sim.*, greatest(1 - rank::DOUBLE / (SELECT count(*) FROM nul), 1e-16) AS pval FROM sim JOIN run ON round(similarity, 9) = v AND z = 0)"""
@@ -436,13 +443,17 @@ def configuration_model(spark, d):
 
 
 def _walk_sql(steps: int) -> str:
+    """p = 0.5, q = 2: forty draws a step, the first accepted one counts."""
     sql = f"""WITH {_WHOLE}, adj AS (SELECT "from" AS node, "to" AS nb FROM links UNION SELECT "to", "from" FROM links),
-w0 AS (SELECT node AS start, w::INT AS walk_no, [node] AS path FROM (SELECT DISTINCT node FROM adj), generate_series(1, 2) AS t(w))"""
+slots AS (SELECT node, nb, row_number() OVER (PARTITION BY node ORDER BY nb) AS place, count(*) OVER (PARTITION BY node) AS deg FROM adj), deg AS (SELECT DISTINCT node, deg FROM slots),
+w0 AS (SELECT node AS start, w::INT AS walk_no, [node] AS path FROM deg, generate_series(1, 2) AS t(w))"""
     for i in range(1, steps):
-        bias = "CASE WHEN len(path) < 2 THEN 1.0 WHEN nb = path[-2] THEN 1.0 / 0.5 WHEN EXISTS (SELECT 1 FROM adj z WHERE z.node = path[-2] AND z.nb = adj.nb) THEN 1.0 ELSE 1.0 / 2 END"
-        u = _u("'42'", "start", "walk_no", f"'{i}'", "nb")
-        sql += f""", c{i} AS (SELECT start, walk_no, path, nb, -ln(greatest({u}, 1e-300)) / ({bias}) AS race FROM w{i - 1} JOIN adj ON adj.node = path[-1]),
-w{i} AS (SELECT start, walk_no, list_append(any_value(path), arg_min(nb, race)) AS path FROM c{i} GROUP BY 1, 2)"""
+        u = lambda at, n: f"(('0x' || substr(h, {at}, {n}))::BIGINT / pow(16.0, {n}))"
+        sql += f""", t{i} AS (SELECT start, walk_no, path, deg, trial, md5('42|' || start || '|' || walk_no || '|{i}|' || trial) AS h FROM w{i - 1} JOIN deg ON node = path[-1], generate_series(0, 39) AS g(trial)),
+a{i} AS (SELECT *, {u(1, 13)} * (deg + (len(path) > 1)::INT) >= deg AS returns, least(floor({u(14, 13)} * deg), deg - 1)::BIGINT + 1 AS place FROM t{i}),
+c{i} AS (SELECT start, walk_no, path, trial, CASE WHEN returns THEN path[-2] ELSE s.nb END AS nb, returns OR {u(27, 6)} < CASE WHEN len(path) < 2 OR s.nb = path[-2] OR z.node IS NOT NULL THEN 1 ELSE 0.5 END AS good
+  FROM a{i} JOIN slots s ON s.node = path[-1] AND s.place = a{i}.place LEFT JOIN adj z ON z.node = path[-2] AND z.nb = s.nb),
+w{i} AS (SELECT start, walk_no, list_append(any_value(path), arg_min(nb, trial)) AS path FROM c{i} WHERE good GROUP BY 1, 2)"""
     return sql + f" SELECT start, walk_no, array_to_string(path, ' ') AS path FROM w{steps - 1}"
 
 
@@ -455,21 +466,28 @@ def random_walks(spark, d):
 # ---------------------------------------------------------------- trained results: rows only
 
 
-def places(spark, d):
-    """Suppliers with their nations, nations with their regions: a network of whole tables."""
-    parts = (("supplier", "S", "s_suppkey", "N", "s_nationkey"), ("nation", "N", "n_nationkey", "R", "n_regionkey"))
-    links = [read(spark, d, table).select(named(a, low).alias("from"), named(b, high).alias("to")) for table, a, low, b, high in parts]
-    return links[0].unionByName(links[1])
+def analysed(spark, d) -> Analysis:
+    """The whole network: customers and suppliers as genes, their nations as pathways."""
+    pairs = annotations(spark, d)
+    return Analysis(bundle(spark, d).network(), pairs, pairs.select(F.col("from").alias("gene")).distinct(), pairs.select(F.col("to").alias("pathway")).distinct())
 
 
 @query()
 def node2vec_embedding(spark, d):
-    return node2vec(places(spark, d), params=node2vec_params(walks_per_node=10, walk_length=10, n_epochs=3))
+    """Of the whole network, with the defaults of a standalone embedding."""
+    return node2vec(bundle(spark, d).network())
 
 
 @query()
 def null_similarities(spark, d):
-    return embed.null_similarities(places(spark, d), association_params(walks_per_node=5, walk_length=5, n_epochs=1), 8, 2, 42)
+    """Of the whole network, with the defaults of the association pipeline and its three permutations."""
+    return embed.null_similarities(bundle(spark, d).network(), association_params(), 8, 3, 42)
+
+
+@query()
+def gene_walk(spark, d):
+    """Network, replicates, permutations and statistics at default parameters, in stages that a second call reads."""
+    return analysed(spark, d).staged(Stages(spark, f"{shared_folder(spark)}/stages")).stats()
 
 
 @query()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import cosine, log_stats, uniform
+from kinweave.functions.ordered import following_min, ranged, running_sum
 from kinweave.operators import stats
 
 
@@ -12,10 +13,9 @@ def test_bh_by_hand(spark):
     p = [0.01, 0.04, 0.04, 0.2, 0.9, 1e-16]
     want = [0.03, 0.06, 0.06, 0.24, 0.9, 6e-16]
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate(p)] + [("b", 9, 0.5)], "g string, i int, pval double")
-    for got in (stats.benjamini_hochberg(df, ["g"], "fdr"), stats.bh_in_groups(df, ["g"], "fdr")):
-        rows = {(r.g, r.i): r.fdr for r in got.collect()}
-        assert all(math.isclose(rows["a", i], w, rel_tol=1e-12) for i, w in enumerate(want))
-        assert rows["b", 9] == 0.5
+    rows = {(r.g, r.i): r.fdr for r in stats.benjamini_hochberg(df, ["g"], "fdr").collect()}
+    assert all(math.isclose(rows["a", i], w, rel_tol=1e-12) for i, w in enumerate(want))
+    assert rows["b", 9] == 0.5
     whole = stats.benjamini_hochberg(df.where("g = 'a'"), [], "fdr")
     assert math.isclose(min(r.fdr for r in whole.collect()), 6e-16, rel_tol=1e-12)
     assert stats.benjamini_hochberg(df.limit(0), ["g"], "fdr").count() == 0
@@ -43,6 +43,18 @@ def test_empirical_p_by_hand(spark):
         stats.empirical_p(observed, null.limit(0))
 
 
+def test_columns_of_any_name_stay(spark):
+    null = spark.createDataFrame([(x,) for x in (0.1, 0.2, 0.2, 0.5)], "similarity double")
+    observed = spark.createDataFrame([(0.2, "v", 7, "r"), (0.9, "w", 8, "s")], "similarity double, value string, rank int, inside string")
+    got = sorted(map(tuple, stats.empirical_p(observed, null).select("similarity", "value", "rank", "inside", "pval").collect()))
+    assert got == [(0.2, "v", 7, "r", 0.75), (0.9, "w", 8, "s", 1e-16)]
+    table = spark.createDataFrame([(i, 1, "a", "b", "c") for i in range(9)], "i int, one int, inside string, part string, offset string")
+    made = running_sum(ranged(table, "i"), [], "i", "one", "upto").collect()
+    assert sorted((r.i, r.upto, r.inside, r.part, r.offset) for r in made) == [(i, i + 1, "a", "b", "c") for i in range(9)]
+    made = following_min(ranged(table, "i"), [], "i", "i", "least").collect()
+    assert sorted((r.i, r["least"], r.inside, r.offset) for r in made) == [(i, i, "a", "c") for i in range(9)]
+
+
 def test_empirical_p_extremes(spark):
     null = spark.range(1000).select((F.col("id") / 1000).alias("similarity"))
     observed = spark.createDataFrame([(0.999,), (0.001,), (0.5,)], "similarity double")
