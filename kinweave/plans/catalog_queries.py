@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.durable import durable, shared_folder
@@ -60,15 +60,24 @@ def raw_interactions(spark, d) -> DataFrame:
     )
 
 
-def pathway_commons(spark, d) -> DataFrame:
-    """Written as tab-separated text with a header and read again."""
-    lines = read(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey")
-    o = read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+def delimited_file(spark, d) -> str:
+    """Lines as tab-separated text with a header, compressed; every 17th order's rows have a field too many."""
+    o = read(spark, d, "orders").join(read(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     c, s = read(spark, d, "customer"), read(spark, d, "supplier")
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    rows.select(F.col("c_name").alias("PARTICIPANT_A"), F.col("o_orderpriority").alias("INTERACTION_TYPE"), F.col("s_name").alias("PARTICIPANT_B")).write.csv(path, sep="\t", header=True, compression="gzip")
-    return ingest.read_delimited(spark, path)
+    # the text writer has no header, so each file is given one by its own first line
+    line = F.concat_ws("\t", "c_name", "o_orderpriority", "s_name", F.when(F.col("o_orderkey") % 17 == 0, "more"))
+    files = rows.select(line.alias("value")).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(4)))
+    header = spark.range(4).select(F.lit("PARTICIPANT_A\tINTERACTION_TYPE\tPARTICIPANT_B").alias("value"), F.col("id").alias("part"), F.lit(0).alias("place"))
+    dealt = header.unionByName(files.withColumn("place", F.lit(1))).repartition("part").sortWithinPartitions("part", "place")
+    dealt.select("value", "part").write.partitionBy("part").text(path, compression="gzip")
+    return f"{path}/part=*"
+
+
+def pathway_commons(spark, d, counts: Observation | None = None) -> DataFrame:
+    """Written as tab-separated text and read again."""
+    return ingest.read_delimited(spark, delimited_file(spark, d), counts)
 
 
 def ontology_file(spark, d) -> str:
@@ -110,7 +119,7 @@ _TARGETS = """targets AS (SELECT 'ENSG' || c_custkey AS id, c_name AS symbol, c_
   UNION ALL SELECT 'ENSGS' || s_suppkey, s_name, 'SUPPLIER', s_nationkey, s_suppkey FROM supplier)"""
 _RAW = """raw AS (SELECT 'ENSG' || o_custkey AS "from", 'ENSGS' || l_suppkey AS "to", round(l_discount * 100) / 10 AS score, l_returnflag = 'R' AS physical, l_linenumber % 4 AS db
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 9 <> 0)"""
-_PC = """pc AS (SELECT DISTINCT 'ENSG' || a.k AS "from", b.id AS "to", o_orderpriority AS type FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1
+_PC = """pc AS (SELECT DISTINCT 'ENSG' || a.k AS "from", b.id AS "to", o_orderpriority AS type FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND o_orderkey % 17 <> 0
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN (SELECT c_name AS s, min(c_custkey) AS k FROM customer GROUP BY 1) a ON a.s = c_name JOIN (SELECT s_name AS s, min('ENSGS' || s_suppkey) AS id FROM supplier GROUP BY 1) b ON b.s = s_name)"""
 _SOURCES = _RAW + ", " + _PC + """, string AS (SELECT DISTINCT "from", "to", score AS string_score, score >= 0.85 AS string_high_quality FROM raw WHERE db = 0),
@@ -202,6 +211,53 @@ def catalog_views(spark, d):
     return spark.sql(sql).unionByName(head)
 
 
+@query("""SELECT 'good' AS kind, count(*) FILTER (o_orderkey % 17 <> 0) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'bad', count(*) FILTER (o_orderkey % 17 = 0) FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'written', count(DISTINCT (o_custkey, o_orderpriority, l_suppkey)) FILTER (o_orderkey % 17 <> 0) FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def delimited_counts(spark, d):
+    """Good and bad rows of a delimited file and the rows of the table made of it, all counted in the one job that writes it."""
+    seen, counts = Observation(), {}
+    pc = ingest.interactions_pc(pathway_commons(spark, d, seen), ingest.gene_main(targets(spark, d)))
+    counts["written"] = Catalog(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}").write({"interactions_pc": pc})["interactions_pc"]
+    return spark.createDataFrame([*seen.get.items(), *counts.items()], "kind string, n long")
+
+
+@query("""SELECT 'before' AS reader, 'reactome_main' AS name, count(*) AS n FROM nation UNION ALL SELECT 'after', 'reactome_main', count(*) FROM nation WHERE n_regionkey <> 2
+UNION ALL SELECT 'before', 'gene_main', count(*) FROM supplier UNION ALL SELECT 'after', 'gene_main', count(*) FROM supplier WHERE s_suppkey % 3 = 0""")
+def catalog_snapshots(spark, d):
+    """Rows seen by a reader that keeps its version and by one that takes the next, after both tables were replaced at once."""
+    root = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    genes = read(spark, d, "supplier").select(named("S", "s_suppkey").alias("ensembl_id"), F.col("s_name").alias("symbol"), F.lit("SUPPLIER").alias("biotype"))
+    paths = read(spark, d, "nation").select(named("P", "n_nationkey").alias("reactome_id"), F.col("n_name").alias("reactome_name"), "n_regionkey")
+    writer, before = Catalog(spark, root), Catalog(spark, root)
+    writer.write({"gene_main": genes, "reactome_main": paths.drop("n_regionkey")})
+    kept = [before.gene_info(), before.reactome_info()]
+    third = F.substring("ensembl_id", 2, 20).cast("long") % 3 == 0
+    writer.write({"gene_main": genes.where(third), "reactome_main": paths.where("n_regionkey <> 2").drop("n_regionkey")})
+    found = [("before", kept[0], "gene_main"), ("before", before.reactome_info(), "reactome_main")]
+    after = Catalog(spark, root)
+    found += [("after", after.gene_info(), "gene_main"), ("after", after.reactome_info(), "reactome_main")]
+    out = None
+    for reader, df, name in found:
+        row = df.agg(F.lit(reader).alias("reader"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("""SELECT 'O' || o_orderkey AS id, l_linenumber AS number, 'P' || l_partkey AS key, tag, 'N' || c_nationkey AS nation
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey, unnest([l_returnflag, l_linestatus]) AS t(tag)""")
+def nested_to_the_bottom(spark, d):
+    """Orders with a nested column of three levels: a struct with the buyer and a list of lines, each with a struct that holds a list of tags."""
+    lines = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.struct(F.col("l_linenumber").alias("number"), F.struct(named("P", "l_partkey").alias("key"), F.array("l_returnflag", "l_linestatus").alias("tag")).alias("part")).alias("line"),
+    )
+    orders = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nested = orders.join(lines.groupBy("o_orderkey").agg(F.collect_list("line").alias("lines")), "o_orderkey")
+    nested = nested.select(named("O", "o_orderkey").alias("id"), F.struct(F.struct(named("N", "c_nationkey").alias("nation")).alias("buyer"), "lines").alias("whole"))
+    return ingest.expanded(nested, "whole")
+
+
 # ---------------------------------------------------------------- ontology text
 
 
@@ -230,6 +286,18 @@ def obo_relations(spark, d):
     return ontology.parse_obo(spark, ontology_file(spark, d))["term_relations"]
 
 
+@query("""SELECT 'T:' || p_partkey AS id, p_name AS name, 'K:' || p_size AS kind FROM part WHERE p_size % 10 <> 3""")
+def obo_without_blank_lines(spark, d):
+    """Parts as terms of an ontology file that has no blank lines, two kinds of line ends and is read in many splits; some are of the namespace external."""
+    p, end = read(spark, d, "part"), F.when(F.col("p_partkey") % 2 == 0, "\r\n").otherwise("\n")
+    space = F.when(F.col("p_size") % 10 == 3, "external").otherwise("kinds")
+    text = F.concat(F.lit("[Term]"), end, F.lit("id: T:"), F.col("p_partkey").cast("string"), end, F.lit("name: "), "p_name", end, F.lit("namespace: "), space, end, F.lit("is_a: K:"), F.col("p_size").cast("string"), F.lit(" ! a kind"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    p.select(text.alias("value")).write.text(path)
+    t = ontology.parse_obo(spark, path)
+    return t["names"].join(t["term_relations"].select(F.col("from").alias("id"), F.col("to").alias("kind")), "id")
+
+
 # ---------------------------------------------------------------- builder and analysis
 
 _BUILT = _SOURCES + ", " + _GO + """, own AS (SELECT go_id FROM terms WHERE name_space = 'biological_process'),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Table names and what their columns and entries are called.
@@ -14,35 +17,110 @@ TABLES = (
 RELATIONSHIPS = ("child_of", "parent_of", "ancestor_of", "descendant_of")
 NAMESPACES = ("biological_process", "molecular_function", "cellular_component")
 HEAD = 5
+#: Folder of the manifests.
+LOG = "_manifests"
 
 
 class Catalog:
-    """Reads and writes the tables under ``root``. Getters return lazy tables; ``head_only`` gives any five rows."""
+    """Reads and writes the tables under ``root``. Getters return lazy tables; ``head_only`` gives any five rows.
+
+    A write goes to a folder of its own, and a manifest that names the folder of every table is put in place last, so all tables change at
+    once or not at all. A catalog object keeps to the manifest it has seen first until `refresh`. Tables that no manifest names are
+    looked for at ``root/<name>``.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._places: dict[str, str] | None = None
+
+    def _files(self, *parts: str):
+        """The file system of the catalog and a path in it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> list[int]:
+        """Numbers of the manifests there are."""
+        files, folder = self._files(LOG)
+        found = files.listStatus(folder) if files.exists(folder) else []
+        return sorted(int(name.removesuffix(".json")) for x in found if (name := x.getPath().getName()).endswith(".json"))
+
+    def manifest(self, version: int | None = None) -> dict[str, str]:
+        """Folder of each table, in the last version or the given one."""
+        if version is None:
+            have = self.versions()
+            if not have:
+                return {}
+            version = have[-1]
+        files, path = self._files(LOG, f"{version:020d}.json")
+        stream = files.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def table(self, name: str, head_only: bool = False) -> DataFrame:
         if name not in TABLES:
             raise ValueError(f"{name!r} is no table of the catalog: {list(TABLES)}")
-        df = self.spark.read.parquet(f"{self.root}/{name}")
+        if self._places is None:
+            self._places = self.manifest()
+        df = self.spark.read.parquet(f"{self.root}/{self._places.get(name, name)}")
         return df.limit(HEAD) if head_only else df
 
     def write(self, tables: dict[str, DataFrame]) -> dict[str, int]:
-        """Overwrites the given tables and returns the rows of each as read back."""
+        """Replaces the given tables, all at once, and returns their rows, as counted by the writes themselves.
+
+        This object then reads the new version, others after `refresh`. If a table fails, the catalog stays as it was. Of two writers at a time the
+        second to finish fails.
+        """
+        if bad := [name for name in tables if name not in TABLES]:
+            raise ValueError(f"{bad} are no tables of the catalog")
+        have, folder, counts = self.versions(), f"version-{uuid.uuid4().hex}", {}
         for name, df in tables.items():
-            if name not in TABLES:
-                raise ValueError(f"{name!r} is no table of the catalog")
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return {name: self.table(name).count() for name in tables}
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.root}/{folder}/{name}")
+            counts[name] = seen.get["n"]
+        places = (self.manifest(have[-1]) if have else {}) | {name: f"{folder}/{name}" for name in tables}
+        self._put(have[-1] + 1 if have else 1, places)
+        self._places = places
+        return counts
+
+    def _put(self, version: int, places: dict[str, str]) -> None:
+        """Writes a manifest beside and renames it, which fails if the version is there."""
+        files, draft = self._files(LOG, f"draft-{uuid.uuid4().hex}")
+        _, final = self._files(LOG, f"{version:020d}.json")
+        out = files.create(draft, False)
+        try:
+            out.write(json.dumps(places).encode())
+        finally:
+            out.close()
+        if files.exists(final) or not files.rename(draft, final):
+            files.delete(draft, False)
+            raise RuntimeError(f"version {version} of the catalog was written meanwhile; refresh and write again")
 
     def refresh(self) -> None:
-        """Forgets cached file listings and data, so that rewritten tables are seen."""
+        """Takes the last version from now on and forgets cached file listings and data."""
+        self._places = None
         self.spark.catalog.refreshByPath(self.root)
 
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Deletes all but the last ``keep`` manifests, and the folders that none of these names; returns the folders. Readers of older versions lose their tables."""
+        have = self.versions()
+        if not have:
+            return []
+        named = {place.split("/")[0] for v in have[-keep:] for place in self.manifest(v).values()}
+        files, root = self._files()
+        gone = [n for x in files.listStatus(root) if (n := x.getPath().getName()).startswith("version-") and n not in named]
+        for v in have[:-keep]:
+            files.delete(self._files(LOG, f"{v:020d}.json")[1], False)
+        for name in gone:
+            files.delete(self._files(name)[1], True)
+        return gone
+
     def register(self, prefix: str = "") -> None:
         """Temporary views of the tables there are, for spark.sql."""
-        for name in TABLES:
+        if self._places is None:
+            self._places = self.manifest()
+        for name in self._places or TABLES:
             try:
                 df = self.table(name)
             except Exception as e:

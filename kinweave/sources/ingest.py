@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: List columns of the pathway file and the relation that each stands for.
 RELATION_OF = {"parents": "child_of", "children": "parent_of", "descendants": "ancestor_of", "ancestors": "descendant_of"}
@@ -40,13 +41,39 @@ def unpivoted_relations(df: DataFrame, id_column: str = "id", names: dict = RELA
     return long.select(F.col(id_column).alias("from"), F.explode("value").alias("to"), recode[F.col("variable")].alias("relationship"))
 
 
-def expanded(interactions: DataFrame, column: str = "interactionResources") -> DataFrame:
-    """The fields of a struct column, or of a list of structs, as columns of their own."""
-    kind = interactions.schema[column].dataType
-    rest = [c for c in interactions.columns if c != column]
-    if kind.typeName() == "array":
-        return interactions.select(*rest, F.explode(column).alias("x")).select(*rest, "x.*")
-    return interactions.select(*rest, f"{column}.*")
+def expanded(df: DataFrame, column: str = "interactionResources") -> DataFrame:
+    """``column`` unnested to the bottom: structs become their fields and lists rows, at any depth.
+
+    Lists that lie side by side go on together, the shorter ones with nulls; a row whose lists are all empty or null is left out, as often as
+    there are levels of lists. A null struct has null fields. A field keeps its own name, or, if another column has that too, gets the names
+    on its way with underscores between. Maps stay as they are.
+    """
+    rest, parts = [c for c in df.columns if c != column], [(column,)]
+    df = df.select(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)], F.col(f"`{column}`").alias("n0"))
+    kept, serial = [f"r{i}" for i in range(len(rest))], 1
+    while True:
+        names = [c for c in df.columns if c not in kept]
+        kinds = [df.schema[c].dataType for c in names]
+        lists = [c for c, k in zip(names, kinds, strict=True) if k.typeName() == "array"]
+        structs = {c: k.names for c, k in zip(names, kinds, strict=True) if k.typeName() == "struct"}
+        if structs:
+            out, ways = [], []
+            for c, way in zip(names, parts, strict=True):
+                for field in structs.get(c, [None]):
+                    out.append((F.col(c) if field is None else F.col(c).getField(field)).alias(f"n{serial}"))
+                    ways.append(way if field is None else (*way, field))
+                    serial += 1
+            df, parts = df.select(*kept, *out), ways
+        elif lists:
+            # a zip with a null list is null
+            whole = {c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in lists}
+            df = df.withColumns(whole).withColumn("x", F.explode(F.arrays_zip(*lists)))
+            df = df.select(*kept, *[F.col(f"x.{c}").alias(c) if c in lists else c for c in names])
+        else:
+            break
+    last = [way[-1] for way in parts]
+    clear = [n if (last + rest).count(n) == 1 else "_".join(way) for n, way in zip(last, parts, strict=True)]
+    return df.toDF(*rest, *clear)
 
 
 def human_edges(edges: DataFrame) -> DataFrame:
@@ -79,9 +106,21 @@ def interactions_intact(interactions: DataFrame) -> DataFrame:
     return human_edges(rows.agg(physical.alias("physical_association"))).distinct()
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated text with a header, compressed or not; malformed rows are dropped."""
-    return spark.read.csv(path, sep="\t", header=True, mode="DROPMALFORMED")
+def read_delimited(spark: SparkSession, path: str, counts: Observation | None = None) -> DataFrame:
+    """Tab-separated text with a header, compressed or not. Rows of more or fewer fields than the header are left out.
+
+    ``counts`` gets ``good`` and ``bad``, the numbers of rows, from the first job that reads the result; the file is not read for it.
+    """
+    header = spark.read.csv(path, sep="\t", header=True).schema
+    bad = "malformed"
+    while bad in header.names:
+        bad += "_"
+    kind = StructType([*header.fields, StructField(bad, StringType())])
+    reader = spark.read.option("columnPruning", False)  # else only the fields that are asked for are counted
+    rows = reader.csv(path, kind, sep="\t", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
+    if counts is not None:
+        rows = rows.observe(counts, F.count_if(F.col(bad).isNull()).alias("good"), F.count_if(F.col(bad).isNotNull()).alias("bad"))
+    return rows.where(F.col(bad).isNull()).drop(bad)
 
 
 def interactions_pc(raw: DataFrame, genes: DataFrame) -> DataFrame:

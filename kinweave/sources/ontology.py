@@ -1,32 +1,58 @@
-"""Ontology text in OBO stanzas."""
+"""Ontology text in OBO form, line by line."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.functions.durable import durable
+
+SPLIT = ["file", "block"]
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line, key, value: every line, cut at its first colon. ``line`` numbers those of a split of a file in order.
+
+    Lines end in LF, CR or CRLF, in any mixture. A value has no outer white space; without a colon the line is the key and the value empty.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
+    )
+    parts = F.split("value", ":", 2)
+    value = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"^\s+|\s+$", "")
+    return text.select(*SPLIT, "line", F.get(parts, F.lit(0)).alias("key"), value.alias("value"))
+
 
 def stanza_lines(spark: SparkSession, path: str) -> DataFrame:
-    """id, key, value: the lines of every stanza that has an id, split at the first colon and trimmed.
+    """id, key, value: the lines of every term.
 
-    A stanza is a run of lines up to an empty one, so files are read in parallel stanza by stanza, whether lines end
-    in LF or, as the first one then does, in CRLF. The header and stanzas whose namespace is ``external`` are
-    left out. Outer white space is dropped.
+    A term reaches from the line before its ``id:`` to two lines before the next one's; what stands before the first term of a file
+    belongs to none. Terms of which a line says ``namespace: external`` are left out, with all their lines in the
+    file. Files of any size are read in splits; what a split begins with takes its id from a table of one row a split.
     """
-    first = spark.read.option("lineSep", "\n").text(path).first()
-    end = "\r\n" if first and first.value.endswith("\r") else "\n"
-    stanzas = spark.read.option("lineSep", end * 2).text(path).select(F.regexp_replace("value", "\r", "").alias("stanza"))
-    stanzas = stanzas.select(F.explode(F.split("stanza", "\n\n")).alias("stanza"))
-    named = stanzas.select("stanza", F.trim(F.regexp_extract("stanza", r"(?m)^id:(.*)$", 1)).alias("id")).where("id <> ''")
-    space = F.trim(F.regexp_extract("stanza", r"(?m)^namespace:(.*)$", 1))
-    lines = named.where(space != "external").select("id", F.explode(F.split("stanza", "\n")).alias("line")).where(F.col("line").contains(":"))
-    parts = F.split("line", ":", 2)
-    return lines.select("id", F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+    lines = durable(numbered_lines(spark, path))
+    own = F.when(F.col("key") == "id", F.col("value"))
+    splits = lines.withColumn("own", own).groupBy(*SPLIT).agg(
+        F.max(F.when(F.col("own").isNotNull(), F.struct("line", "own")))["own"].alias("last_id"), F.min(F.struct("line", "own"))["own"].alias("first_id")
+    )
+    by_file = Window.partitionBy("file").orderBy("block")
+    carried = F.last("last_id", ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
+    carry = splits.select(*SPLIT, carried.alias("carried"), F.lead("first_id").over(by_file).alias("following"))
+    inside = Window.partitionBy(*SPLIT).orderBy("line")
+    filled = lines.withColumn("own", own).select(
+        *SPLIT, "key", "value",
+        F.last("own", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("latest"),
+        F.lead("own").over(inside).alias("ahead"), F.lead("line").over(inside).isNull().alias("ends"),
+    )
+    known = filled.join(carry, SPLIT).withColumn("id", F.coalesce(F.when(F.col("ends"), F.col("following")).otherwise(F.col("ahead")), "latest", "carried"))
+    known = known.where("id IS NOT NULL").select("file", "id", "key", "value")
+    external = known.where("key = 'namespace' AND value = 'external'").select("file", "id").distinct()
+    return known.join(external, ["file", "id"], "left_anti").select("id", "key", "value")
 
 
 def parse_obo(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """names, alt_ids, namespace, term_subsets, term_obsolete, term_relations, synonyms and external_ref of an OBO file."""
-    return tables(stanza_lines(spark, path))
+    """names, alt_ids, namespace, term_subsets, term_obsolete, term_relations, synonyms and external_ref of OBO files."""
+    return tables(durable(stanza_lines(spark, path)))
 
 
 def tables(lines: DataFrame) -> dict[str, DataFrame]:

@@ -1,9 +1,13 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.functions.durable import reserved
+from kinweave.functions.stages import Stages, fingerprint
 from kinweave.operators.stats import STATISTICS, evaluate_clusters
 from kinweave.params import SyntheticParams, association_params, node2vec_params
-from kinweave.plans import report, synthetic
+from kinweave.plans import driver_queries, report, synthetic
 from kinweave.plans.analysis import Analysis, node2vec
 
 
@@ -45,3 +49,60 @@ def test_pipeline(spark):
     plot = report.similarity_plot_data(a)
     assert {r[0] for r in plot.select("sample").distinct().collect()} == {"perm_1", "actual"}
     assert report.result_plot_data(a).agg(F.max("ratio")).first()[0] <= 1
+
+
+def small_analysis(spark):
+    params = SyntheticParams(n_signal_genes=12, n_noise_genes=12, n_roots=3, depth=2, p_ppi=0.3, min_annotations=3, max_annotations=4, min_noise_subtrees=3)
+    data = synthetic.association_data(spark, params)
+    return Analysis(data.full_data, data.gene_to_pathways, data.gene_ids, data.pathway_ids)
+
+
+def test_stages_are_taken_up_again(spark, tmp_path):
+    walks, a = association_params(walks_per_node=4, walk_length=5, n_epochs=1), small_analysis(spark)
+    made = []
+    for changes in ({}, {}, {"n_perm": 2}, {"seed": 7}):
+        stages = Stages(spark, f"file://{tmp_path}/stages")
+        found = a.staged(stages, **{"n_graph": 2, "n_perm": 1, "params": walks} | changes)
+        made.append((stages.made, sorted(map(str, found.stats().collect()))))
+    assert [m for m, _ in made] == [["embedding", "null", "statistics"], [], ["null", "statistics"], ["embedding", "null", "statistics"]]
+    assert made[0][1] == made[1][1] != made[3][1] and len(made[0][1]) > 50
+    # a stage whose write was not committed is made again, the rest is read
+    (done,) = (x for x in tmp_path.glob("stages/statistics-*") if made[1][0] == [] and (x / "_SUCCESS").exists() and x.stat().st_mtime == min(y.stat().st_mtime for y in tmp_path.glob("stages/statistics-*")))
+    (done / "_SUCCESS").unlink()
+    stages = Stages(spark, f"file://{tmp_path}/stages")
+    again = a.staged(stages, n_graph=2, n_perm=1, params=walks)
+    assert stages.made == ["statistics"] and sorted(map(str, again.stats().collect())) == made[0][1]
+
+
+def test_fingerprint_is_of_rows_alone(spark):
+    table = spark.range(50).selectExpr("id", "cast(id % 7 AS string) AS s")
+    assert fingerprint(table, 1, [2]) == fingerprint(table.repartition(5).orderBy("s"), 1, [2])
+    others = [table.where("id > 0"), table.union(table), table.withColumnRenamed("s", "t"), table.selectExpr("id", "cast((id + 1) % 7 AS string) AS s")]
+    assert len({fingerprint(x, 1, [2]) for x in [table, *others]} | {fingerprint(table, 2, [2])}) == 6
+
+
+def test_jobs_do_not_grow_with_replicates_and_permutations(spark):
+    walks, a = association_params(walks_per_node=2, walk_length=3, n_epochs=1), small_analysis(spark)
+
+    def jobs(n):
+        group = f"jobs-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            a.with_embedding(n_graph=n, params=walks).with_null(n_perm=n)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    jobs(1)
+    assert abs(jobs(4) - jobs(2)) <= 8  # rounds of the components differ by graph
+    three, one = a.with_embedding(n_graph=3, params=walks).embedding, a.with_embedding(n_graph=1, params=walks).embedding
+    vectors = lambda df: sorted((r.node, list(r.embedding)) for r in df.where("rep = 1").collect())
+    assert vectors(three) == vectors(one)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_chain_over_the_interaction_network(spark):
+    found = driver_queries.analysed(spark, "/root/testdata/sf0.001")
+    assert found.graph.select("type").distinct().count() == 3
+    found = found.staged(Stages(spark, reserved(spark)), n_graph=2, n_perm=1, params=association_params(walks_per_node=10, n_epochs=2))
+    assert found.stats().count() == found.gene_to_pathway.distinct().count()

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,81 @@ def test_return_bias(spark):
     assert back(0.05) > 200 > 40 > back(20.0)
 
 
+#: Upper limits of chi-square by degrees of freedom at a chance of one in a thousand.
+CHI = {5: 20.5, 12: 32.9}
+
+
+@pytest.mark.parametrize("p,q", [(0.4, 2.5), (3.0, 0.5)])
+def test_draws_follow_weights_and_bias(spark, p, q):
+    weights = {("a", "b"): 1.0, ("b", "c"): 5.0, ("a", "c"): 0.3, ("b", "d"): 2.5, ("d", "e"): 1.0}
+    weights |= {(b, a): w for (a, b), w in weights.items()}
+    near = {n: {b: w for (a, b), w in weights.items() if a == n} for n in "abcde"}
+    links = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "node string, neighbour string, weight double")
+    paths = Counter(tuple(r.path) for r in walks.random_walks(links, 3000, 3, p=p, q=q, seed=5).collect())
+    assert sum(paths.values()) == 15_000 and {len(x) for x in paths} == {3}
+    first, chi, free = Counter(), 0.0, 0
+    for (a, b, _), n in paths.items():
+        first[a, b] += n
+    for a in near:
+        for b, w in near[a].items():
+            expected = 3000 * w / sum(near[a].values())
+            chi += (first[a, b] - expected) ** 2 / expected
+        free += len(near[a]) - 1
+    assert chi < CHI[free]
+    chi, free = 0.0, 0
+    for a, b in first:
+        bias = {c: w * (1 / p if c == a else 1 if c in near[a] else 1 / q) for c, w in near[b].items()}
+        for c, w in bias.items():
+            expected = first[a, b] * w / sum(bias.values())
+            chi += (paths[a, b, c] - expected) ** 2 / expected
+        free += len(bias) - 1
+    assert chi < CHI[free]
+
+
+def test_a_hub_makes_no_more_rows(spark):
+    links = spark.createDataFrame([("hub", f"n{i}", 1.0) for i in range(2000)], "node string, neighbour string, weight double")
+    both = links.union(links.select("neighbour", "node", "weight")).selectExpr("0L AS net", "*")
+    found = walks.transitions(both)
+    assert found.flat and found.slots.count() == 4000 and found.nodes.where("node = 'hub'").first().board[0].n == 2000
+    state = found.nodes.selectExpr("1L AS graph", "net", "node AS start", "1 AS walk_no", "struct(node, board, mass) AS at")
+    none = F.lit(None).cast(state.schema["at"].dataType)
+    state = state.select("graph", "start", "walk_no", "net", "at", none.alias("was"), F.lit(0.0).alias("taken"), F.lit(0.0).alias("back"), F.array("start").alias("trace"))
+    tried = walks._round(state, found, 0.5, 2.0, 1, 0, walks.TRIALS)
+    assert tried.count() == 2001
+    ends = [r.path[-1] for r in walks.random_walks(links.union(links.select("neighbour", "node", "weight")), 3, 2).where("start = 'hub'").collect()]
+    assert len(ends) == 3 and all(e.startswith("n") for e in ends)
+
+
+def test_walks_share_jobs_and_stay_the_same(spark):
+    links = graph.neighbours(edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")]))
+    nets = links.selectExpr("0L AS net", "*").union(links.where("node <> 'x' AND neighbour <> 'x'").selectExpr("1L AS net", "*"))
+    found = walks.walks_of_graphs(nets, [(9, 0), (10, 0), (11, 1)], 2, 6, p=0.5, q=2.0)
+    for seed, own in ((9, links), (10, links), (11, links.where("node <> 'x' AND neighbour <> 'x'"))):
+        alone = walks.random_walks(own, 2, 6, p=0.5, q=2.0, seed=seed)
+        assert sorted(map(tuple, found.where(f"graph = {seed}").drop("graph").collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_dead_ends_and_bad_links(spark):
+    rows = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "c", 0.0), ("a", None, 1.0), (None, "a", 1.0), ("a", "z", -1.0), ("b", "z", float("nan")), ("b", "y", None)]
+    links = spark.createDataFrame(rows, "node string, neighbour string, weight double")
+    for p in (1.0, 0.5):
+        assert {tuple(r.path) for r in walks.random_walks(links, 2, 6, p=p).collect()} == {("a", "b", "c"), ("b", "c")}
+    assert {tuple(r.path) for r in walks.random_walks(links, 1, 1).collect()} == {("a",), ("b",)}
+    assert walks.random_walks(links.limit(0), 2, 5).count() == 0
+
+
+def test_configuration_models_and_components_of_several_graphs(spark):
+    rng = random.Random(8)
+    df = edges(spark, [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(60)])
+    both = graph.configuration_models(df, [1, 2])
+    largest = graph.largest_components(both)
+    for seed in (1, 2):
+        own = graph.configuration_model(df, seed)
+        assert sorted(map(tuple, both.where(f"graph = {seed}").drop("graph").collect())) == sorted(map(tuple, own.collect()))
+        got = sorted(tuple(r) for r in largest.where(f"graph = {seed}").select("from", "to").collect())
+        assert got == sorted(map(tuple, graph.largest_component(own.select("from", "to")).collect()))
+
+
 def test_first_of(spark):
     df = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "z", 5)], "k string, v string, priority int")
     assert sorted(map(tuple, graph.first_of(df, ["k"], "priority").collect())) == [("a", "y", 1), ("b", "z", 5)]

@@ -1,4 +1,9 @@
+import pytest
+from pyspark.sql import Observation, Row
+from pyspark.sql import functions as F
+
 from kinweave.sources import ingest, ontology
+from kinweave.sources.catalog import Catalog
 
 OBO = """format-version: 1.2
 ontology: test
@@ -99,3 +104,102 @@ def test_all_tables(spark, tmp_path):
     assert set(tables) == set(TABLES)
     counts = Catalog(spark, str(tmp_path / "catalog")).write(tables)
     assert counts["gene_ontology_main"] == 2 and counts["interactions_combined"] == 4
+
+
+BARE = [
+    "format-version: 1.2", "[Term]", "id: T:1", "name: one", "is_a: T:2 ! two", "[Term]", "id: T:2", "name: two: more", "note without colon", "comment:  wide  ",
+    "id: T:3", "name: three", "[Term]", "id: E:1", "namespace: external", "name: gone", "[Term]", "id: T:4", "[Typedef]", "id: E:1", "name: gone too", "[Term]", "id: T:5", "name: five",
+]
+
+
+def by_rows(lines):
+    """id, key, value by row intervals: a term has the rows from the one before its id to two before the next id."""
+    cut = [(a, b.strip()) for a, _, b in (x.partition(":") for x in lines)]
+    ids = [i for i, (k, _) in enumerate(cut) if k == "id"]
+    out = []
+    for i, (k, v) in enumerate(cut):
+        own = [j for j in ids if i >= j - 1]
+        if own:
+            out.append((cut[own[-1]][1], k, v))
+    external = {t for t, k, v in out if (k, v) == ("namespace", "external")}
+    return sorted(x for x in out if x[0] not in external)
+
+
+def test_lines_belong_to_terms_by_row_intervals(spark, tmp_path):
+    ends = ["\n", "\r\n"]
+    mixed = "".join(x + ends[i % 2] for i, x in enumerate(BARE))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.obo").write_bytes(mixed.encode())
+    for size in ("1000000", "100", "23"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = rows(ontology.stanza_lines(spark, str(tmp_path / "one")))
+            splits = ontology.numbered_lines(spark, str(tmp_path / "one")).select("block").distinct().count()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == by_rows(BARE)
+        assert (splits > 10) == (size == "23")
+    (tmp_path / "one" / "b.obo").write_text("name: before any term\n[Term]\nid: T:9\nname: nine")
+    (tmp_path / "one" / "c.obo").write_text("")
+    assert rows(ontology.stanza_lines(spark, str(tmp_path / "one"))) == sorted(by_rows(BARE) + [("T:9", "[Term]", ""), ("T:9", "id", "T:9"), ("T:9", "name", "nine")])
+
+
+def test_recursive_expansion(spark):
+    kind = "a:struct<x:int, y:struct<x:int, z:array<struct<id:string, tags:array<string>>>>>, w:array<int>"
+    data = [
+        ("p", ((1, (2, [("i", ["t", "u"]), ("j", ["v"])])), [7, 8, 9])),
+        ("q", ((3, (4, [("k", None), ("l", [])])), None)),
+        ("r", ((5, None), [6])),
+        ("s", (None, [])),
+        ("t", None),
+    ]
+    df = spark.createDataFrame(data, f"id string, n struct<{kind}>")
+    got = ingest.expanded(df, "n")
+    assert got.columns == ["id", "n_a_x", "n_a_y_x", "n_a_y_z_id", "tags", "w"]
+    # w and z go on together; then the tags of each
+    assert rows(got) == [("p", 1, 2, "i", "t", 7), ("p", 1, 2, "i", "u", 7), ("p", 1, 2, "j", "v", 8)]
+    flat = spark.createDataFrame([("a", 1)], "id string, interactionResources int")
+    assert rows(ingest.expanded(flat)) == [("a", 1)]
+    odd = spark.createDataFrame([(1, 2, (3, 4))], "r0 int, n0 int, interactionResources struct<r0:int, b:int>")
+    assert ingest.expanded(odd).columns == ["r0", "n0", "interactionResources_r0", "b"] and rows(ingest.expanded(odd)) == [(1, 2, 3, 4)]
+
+
+def test_malformed_rows_are_counted_in_the_one_job(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("A\tB\tmalformed\n1\t2\t3\n1\t2\n4\t5\t6\t7\n8\t9\t\n")
+    (tmp_path / "b.tsv").write_text("A\tB\tmalformed\nx\ty\tz\n")
+    counts = Observation()
+    df = ingest.read_delimited(spark, str(tmp_path), counts)
+    assert df.columns == ["A", "B", "malformed"]
+    assert sorted(map(str, df.collect())) == sorted(map(str, [Row(A="1", B="2", malformed="3"), Row(A="8", B="9", malformed=None), Row(A="x", B="y", malformed="z")]))
+    assert counts.get == {"good": 3, "bad": 2}
+
+
+def test_catalog_changes_at_once(spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    genes = spark.createDataFrame([("g1", "A", "x"), ("g2", "B", "y")], "ensembl_id string, symbol string, biotype string")
+    paths = spark.createDataFrame([("r1", "one")], "reactome_id string, reactome_name string")
+    writer, early = Catalog(spark, root), Catalog(spark, root)
+    assert writer.write({"gene_main": genes, "reactome_main": paths}) == {"gene_main": 2, "reactome_main": 1}
+    held = early.gene_info()
+    fails = genes.withColumn("symbol", F.raise_error("broken in mid-write"))
+    with pytest.raises(Exception, match="broken"):
+        writer.write({"reactome_main": paths.limit(0), "gene_main": fails})
+    for c in (writer, early, Catalog(spark, root)):
+        assert c.gene_info().count() == 2 and c.reactome_info().count() == 1
+    assert writer.versions() == [1]
+    assert writer.write({"gene_main": genes.limit(1)}) == {"gene_main": 1}
+    assert held.count() == early.gene_info().count() == 2 and writer.gene_info().count() == 1
+    assert writer.reactome_info().count() == 1
+    early.refresh()
+    assert early.gene_info().count() == 1
+    assert len(writer.vacuum()) == 1 and writer.versions() == [2]
+    assert Catalog(spark, root).gene_info().count() == 1 and Catalog(spark, root).reactome_info().count() == 1
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        writer._put(2, {})
+    with pytest.raises(ValueError):
+        writer.write({"unknown": genes})
+    plain = tmp_path / "plain"
+    genes.write.parquet(str(plain / "gene_main"))
+    assert Catalog(spark, str(plain)).gene_info().count() == 2
