@@ -4,8 +4,9 @@ Every document gets a few whole-number measures. Per language and source, each m
 mergeable quantile sketch: counts of values rounded to a relative precision of 1/32. Sketches are tables of
 counts, so merging is addition and the result does not depend on partitioning. Instead of fixed cutoffs a
 document is held against fences of its own group: an outer decile plus a multiple of its distance from the
-median. What a count may exceed a fence by chance is its own counting error, so that a short text does not fail
-by one line and a long one does not hide behind a rate. A group with too few documents uses its language's
+median. Rates of rare things are taken with half a count more than there are, so that a document without any stands
+for what its length can tell, and a fence is never 0. A document's count is held against what the fence lets expect of its length plus
+the error of that number, so that a short text does not fail by one line and a long one not by a handful. A group with too few documents uses its language's
 merged sketch, then the merged sketch of all. Fences are joined back to the documents.
 """
 
@@ -26,7 +27,7 @@ SALTS = 16
 @dataclass(frozen=True)
 class QualityRules:
     """percent: the outer quantile of a fence. reach: how often its distance from the median is added to it. errors:
-    standard errors of its count that a document may lie beyond a fence. min_group: documents below which a
+    standard errors of the expected count that a document may lie beyond a fence. min_group: documents below which a
     group uses the sketch merged one level up."""
 
     min_words: int = 10
@@ -39,21 +40,22 @@ class QualityRules:
 
 @dataclass(frozen=True)
 class Measure:
-    """``per`` times ``count`` by ``base``, rounded down. clump: how many come together, as the words of a repeated window do.
-    both: there is a low fence too."""
+    """PER times ``count`` by ``base``, rounded down. clump: how many come together, as the words of a repeated window do.
+    rare: half a count is added. both: there is a low fence too."""
 
     count: str
     base: str
-    per: int
     clump: int = 1
+    rare: bool = True
     both: bool = False
 
 
+PER = 100_000
 MEASURES = {
-    "dup_lines": Measure("n_dup_lines", "n_lines", 1000),
-    "repeats": Measure("n_repeat_words", "n_words", 1000, clump=10),
-    "symbols": Measure("n_symbols", "word_chars", 1000),
-    "word_length": Measure("word_chars", "n_words", 100, both=True),
+    "dup_lines": Measure("n_dup_lines", "n_words"),
+    "repeats": Measure("n_repeat_words", "n_words", clump=10),
+    "symbols": Measure("n_symbols", "word_chars"),
+    "word_length": Measure("word_chars", "n_words", rare=False, both=True),
 }
 
 
@@ -122,7 +124,7 @@ def sketch(measured: DataFrame, rules: QualityRules | None = None) -> DataFrame:
 
     Add ``n`` to merge sketches.
     """
-    exact = {name: F.expr(f"{m.per} * {m.count} div greatest({m.base}, 1)") for name, m in MEASURES.items()}
+    exact = {name: F.expr(f"{PER} * (2 * {m.count} + {int(m.rare)}) div (2 * greatest({m.base}, 1))") for name, m in MEASURES.items()}
     values = F.explode(F.create_map(*[x for name, c in exact.items() for x in (F.lit(name), c)])).alias("measure", "exact")
     shift = F.greatest(F.length(F.bin("exact")) - 6, F.lit(0))
     return (
@@ -179,14 +181,15 @@ def fences(sketches: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def _beyond(rules: QualityRules) -> Column:
-    """Whether a document lies beyond a fence by more than its counting error. Null without fences."""
+    """Whether a document's count lies beyond what a fence lets expect by more than the error of that. Null without fences."""
     out = F.lit(False)
     for name, m in sorted(MEASURES.items()):
-        error = rules.errors * F.sqrt(m.clump * F.col(m.count))
-        expected = lambda side: F.col(f"{side}_{name}") * F.col(m.base) / F.lit(float(m.per))  # noqa: E731, B023
-        out |= F.col(m.count) - expected("high") > error
+        # the low fence of a wide group may lie below 0
+        expected = lambda side: F.greatest(F.col(f"{side}_{name}") * F.col(m.base) / F.lit(float(PER)), F.lit(0.0))  # noqa: E731, B023
+        error = lambda side: rules.errors * F.sqrt(m.clump * (expected(side) + 1))  # noqa: E731, B023
+        out |= F.col(m.count) - expected("high") > error("high")
         if m.both:
-            out |= expected("low") - F.col(m.count) > error
+            out |= expected("low") - F.col(m.count) > error("low")
     return out
 
 
@@ -232,7 +235,12 @@ def op8_adaptive_quality(spark, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE = r"""
+def oracle(min_group: int) -> str:
+    """The query in DuckDB SQL."""
+    return _ORACLE.replace("MIN_GROUP", str(min_group))
+
+
+_ORACLE = r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, lang, source, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -247,8 +255,8 @@ m AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words,
         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 x AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m),
-u AS (SELECT lang, source, unnest([{'k': 1, 'v': 1000 * n_symbols // greatest(word_chars, 1)}, {'k': 2, 'v': 1000 * n_dup_lines // greatest(n_lines, 1)},
-        {'k': 3, 'v': 1000 * n_repeat_words // greatest(n_words, 1)}, {'k': 4, 'v': 100 * word_chars // greatest(n_words, 1)}]) AS z
+u AS (SELECT lang, source, unnest([{'k': 1, 'v': 100000 * (2 * n_symbols + 1) // (2 * greatest(word_chars, 1))}, {'k': 2, 'v': 100000 * (2 * n_dup_lines + 1) // (2 * greatest(n_words, 1))},
+        {'k': 3, 'v': 100000 * (2 * n_repeat_words + 1) // (2 * greatest(n_words, 1))}, {'k': 4, 'v': 100000 * word_chars // greatest(n_words, 1)}]) AS z
       FROM x WHERE NOT base_failed),
 s AS (SELECT lang, source, z.k AS k, z.v - z.v % (1::BIGINT << greatest(length(bin(z.v)) - 6, 0)) AS value FROM u),
 g AS (SELECT DISTINCT lang, source FROM s),
@@ -257,12 +265,13 @@ l AS (SELECT 1 AS lv, g.lang, g.source, k, value FROM g JOIN s ON g.lang IS NOT
       UNION ALL SELECT 3, g.lang, g.source, k, value FROM g CROSS JOIN s),
 q AS (SELECT lv, lang, source, k, quantile_disc(value, 0.1) AS lo, quantile_disc(value, 0.5) AS mid, quantile_disc(value, 0.9) AS hi, count(*) AS n FROM l GROUP BY ALL),
 c AS (SELECT lang, source, k, (lo - 3 * (mid - lo))::DOUBLE AS low, (hi + 3 * (hi - mid))::DOUBLE AS high
-      FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, k ORDER BY (n < 200 AND lv < 3)::INT, lv) AS r FROM q) WHERE r = 1),
+      FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, k ORDER BY (n < MIN_GROUP AND lv < 3)::INT, lv) AS r FROM q) WHERE r = 1),
 f AS (SELECT lang, source, map_from_entries(list((k, {'low': low, 'high': high}))) AS f FROM c GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(NOT (
-    n_symbols - f[1].high * word_chars / 1000::DOUBLE > 3 * sqrt(n_symbols) OR n_dup_lines - f[2].high * n_lines / 1000::DOUBLE > 3 * sqrt(n_dup_lines)
-    OR n_repeat_words - f[3].high * n_words / 1000::DOUBLE > 3 * sqrt(10 * n_repeat_words)
-    OR word_chars - f[4].high * n_words / 100::DOUBLE > 3 * sqrt(word_chars) OR f[4].low * n_words / 100::DOUBLE - word_chars > 3 * sqrt(word_chars)), true) AS kept
-FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source
+  NOT base_failed AND coalesce(NOT (n_symbols - e1 > 3 * sqrt(e1 + 1) OR n_dup_lines - e2 > 3 * sqrt(e2 + 1) OR n_repeat_words - e3 > 3 * sqrt(10 * (e3 + 1))
+    OR word_chars - e4 > 3 * sqrt(e4 + 1) OR e5 - word_chars > 3 * sqrt(e5 + 1)), true) AS kept
+FROM (SELECT x.*, greatest(f[1].high * word_chars / 100000::DOUBLE, 0) AS e1, greatest(f[2].high * n_words / 100000::DOUBLE, 0) AS e2, greatest(f[3].high * n_words / 100000::DOUBLE, 0) AS e3,
+  greatest(f[4].high * n_words / 100000::DOUBLE, 0) AS e4, greatest(f[4].low * n_words / 100000::DOUBLE, 0) AS e5
+  FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source)
 """
+ORACLE = oracle(QualityRules.min_group)

@@ -1,6 +1,9 @@
 import random
 import re
 
+import duckdb
+import pytest
+
 from kinweave.llm import quality
 
 
@@ -47,7 +50,7 @@ def test_sketch_is_close_to_exact_and_merges(spark):
     measured, rules = quality.measure(docs), quality.QualityRules(min_words=1, min_group=1000)
     one = quality.sketch(measured, rules).groupBy("measure", "value").sum("n")
     assert one.where("measure = 'word_length'").agg({"sum(n)": "sum"}).first()[0] == 2000
-    exact = sorted(100 * (2 + i % 97) // 2 for i in range(2000))
+    exact = sorted(quality.PER * (2 + i % 97) // 2 for i in range(2000))
     row = quality.fences(quality.sketch(measured, rules), rules).first()
     low, mid, high = exact[199], exact[999], exact[1799]
     assert abs(row.high_word_length - (high + 3 * (high - mid))) < high / 4
@@ -69,3 +72,55 @@ def test_thresholds_adapt_to_the_source(spark):
     own = {r.source: r for r in quality.fences(quality.sketch(quality.measure(docs), rules), rules).collect()}
     for name in ("high_symbols", "high_dup_lines"):
         assert own["code"][name] > own["books"][name]
+
+
+def corpus(seed, long_text=False):
+    """Prose of several languages and sources, texts with symbols and repeated lines, and odd rows."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for i in range(700):
+        lines = [" ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(rng.randint(1, 12))]
+        if i % 9 == 0:
+            lines += rng.choices(lines, k=rng.randint(1, 6))
+        if i % 13 == 0:
+            lines = [x.replace(" ", rng.choice(["# ", " | ", "$"])) for x in lines]
+        rows.append((i, "\n".join(lines), rng.choice(["en", "de", None]), rng.choice(["a", "b", "b", None])))
+    rows += [(1000, None, "en", "a"), (1001, "", "de", None), (1002, "short", None, None), (1003, rows[9][1], "xx", "lonely")]
+    return rows
+
+
+@pytest.mark.parametrize("min_group", [20, 60, 200])
+def test_like_sql_with_sketches_of_every_level(spark, min_group):
+    docs = spark.createDataFrame(corpus(6), "doc_id long, text string, lang string, source string")
+    rules = quality.QualityRules(min_group=min_group)
+    groups = [r["count"] for r in docs.groupBy("lang", "source").count().collect()]
+    assert max(groups) > 60 and (min_group < 200 or max(groups) < 200) and min(groups) < 20
+    judged = quality.judge(docs, rules).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    with duckdb.connect() as db:
+        db.register("documents", docs.toArrow())
+        want = db.sql(quality.oracle(min_group)).fetchall()
+    assert sorted(map(tuple, judged.collect())) == sorted(want)
+    kept = {x[-1] for x in want if not x[-2]}
+    assert kept == {True, False}
+
+
+def test_no_fence_is_zero_and_length_counts(spark):
+    """In a source without any symbol or repeated line a long clean text with a few of them stays; texts full of them go."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    line = lambda n=12: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(5, 60))), "en", "books") for i in range(400)]
+    long = [line(20) for _ in range(1000)]
+    for k in range(14):
+        long[50 * k] = long[50 * k].replace(" ", " & ", 1)
+    for k in range(12):
+        long[60 * k + 7] = "a heading"
+    rows += [(500, "\n".join(long), "en", "books")]
+    rows += [(501, "\n".join(x.replace(" ", " # ") for x in long), "en", "books"), (502, line(40).replace(" ", " | "), "en", "books")]
+    rows += [(503, "\n".join(x for k in range(400) for x in (line(2), "menu", "home")), "en", "books")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rules = quality.QualityRules()
+    own = quality.fences(quality.sketch(quality.measure(docs), rules), rules).first()
+    assert min(own.high_symbols, own.high_dup_lines, own.high_repeats) > 0
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {*range(400), 500}
