@@ -14,7 +14,8 @@ import codecs
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
+from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
 import numpy as np
@@ -27,6 +28,8 @@ UNEVEN = re.compile(r"\s[ \n]|\x00")
 NO_RANK = np.int32(2**31 - 1)
 CHUNK = 1 << 16
 LONG = 96
+#: Bytes by which the window over a longer pre-token moves on.
+STRIDE = 8192
 #: Characters of text whose units are learned together; bytes of each of the two memos; characters of a unit that a memo takes.
 GROUP, MEMO_BYTES, MEMO_UNIT = 1 << 21, 96 << 20, 512
 #: What a memo entry takes beside its characters and ids, about.
@@ -164,11 +167,44 @@ class MergeTable:
     def _at(self, ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.find(ids[rows, at], ids[rows, at + 1])
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged id of each pair, by its key."""
+        used = np.flatnonzero(self.rank < NO_RANK)
+        return dict(zip(self.keys[used].tolist(), zip(self.rank[used].tolist(), self.merged[used].tolist(), strict=True), strict=True))
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word, in time that grows as its length and the logarithm of that: a heap of pairs over a linked list of tokens."""
+        n, find = len(word), self.pairs.get
+        if not n:
+            return np.zeros(0, np.int64)
+        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        ids[-1] = int(self.last_id[word[-1]])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i) for i in range(n - 1) if (found := find(ids[i] << 32 | ids[i + 1]))]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            # the pair at this place may have been merged or changed meanwhile
+            if ids[i] < 0 or j == n or not (found := find(ids[i] << 32 | ids[j])) or found[0] != rank:
+                continue
+            ids[i], ids[j] = found[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if found := find(ids[i] << 32 | ids[k]):
+                    heappush(heap, (found[0], i))
+            h = before[i]
+            if h >= 0 and (found := find(ids[h] << 32 | ids[i])):
+                heappush(heap, (found[0], h))
+        return np.array([x for x in ids if x >= 0], np.int64)
+
     def encode_long(self, pretoken: bytes) -> Iterator[np.ndarray]:
         """Stable tokens of a pre-token of any length, window by window."""
-        window, at = 512 + self.lookahead, 0
+        window, at = STRIDE + self.lookahead, 0
         while True:
-            ids = self.encode_one(pretoken[at : at + window])
+            ids = self.merge_long(pretoken[at : at + window])
             if at + window >= len(pretoken):
                 yield ids
                 return

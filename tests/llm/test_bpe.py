@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +98,29 @@ def test_table(spark, library):
     back = encoding.decode(encoding.encode(docs, PATH), PATH)
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(i), t or "") for i, t, _ in rows)
     assert encoding.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_heap_merges_like_the_library_and_the_matrix(monkeypatch):
+    rng = random.Random(12)
+    library, coder = Tokenizer.from_file(PATH), bpe.transducer(PATH)
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "etaoinshr", "的一是不了人我在有他", "é🙂x") for n in (1, 2, 3, 40, 700)]
+    for word in words:
+        data = word.encode()
+        assert coder.table.merge_long(data).tolist() == coder.table.encode_one(data).tolist()
+    for stride in (64, 8192):
+        monkeypatch.setattr(bpe, "STRIDE", stride)
+        for word in words:
+            if word.isalpha():
+                got = [i for part in coder.table.encode_long(word.encode()) for i in part.tolist()]
+                assert got == library.encode(word, add_special_tokens=False).ids
+
+
+def test_a_megabyte_of_letters_takes_seconds():
+    rng = random.Random(13)
+    library, coder = Tokenizer.from_file(PATH), bpe.transducer(PATH)
+    for alphabet, n in (("etaoinshrdlu", 1_000_000), ("的一是不了人我在有他这中大来上", 330_000)):
+        text = "".join(rng.choice(alphabet) for _ in range(n))
+        began = time.process_time()
+        ids = b"".join(next(coder.encode([text])))
+        assert time.process_time() - began < 25
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
