@@ -1,7 +1,7 @@
 """Edit-aware token counts from pre-token segment trees.
 
 A document's text is cut into units (a run of white space and what follows it), inside which all pre-tokens and
-merges lie. The units' characters and token counts are the leaves of a segment tree. An edit touches the
+merges lie. A longer unit is cut further wherever letters or digits end: whatever stands around, a pre-token ends there. The units' characters and token counts are the leaves of a segment tree. An edit touches the
 units it overlaps and one neighbour on either side, beyond which no cut can move: only that region is
 encoded again, and only the sums above its leaves change. The region's units go back into its leaves; when a leaf
 has come to hold too many of them, the tree is laid out anew, without encoding.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +19,26 @@ from kinweave.llm.bpe import Transducer, transducer, units
 from kinweave.llm.encoding import tokenizer_path
 from kinweave.llm.words import slices
 
-#: Characters from which a leaf of several units is split up.
-CROWDED = 1024
+#: Characters from which a leaf of several units is split up, and above which a unit is cut further.
+CROWDED, WIDE = 1024, 64
+#: What stands before a run of letters or digits, and that run.
+FINE = regex.compile(r"\s*[^\s\p{L}\p{N}]*(?:\p{L}+|\p{N}+)|\s*[^\s\p{L}\p{N}]+|\s+")
 EDITS = "array<struct<at:int,removed:int,inserted:string>>"
 
 
 def cut(coder: Transducer, text: str) -> list[str]:
     """The units of a text. Special tokens are units of their own."""
-    parts = coder.segments(text)
-    if len(parts) == 1 and parts[0][1] is None:
-        return [u for u in units(text) if u]
-    return [u for segment, special in parts for u in ([segment] if special is not None else units(segment)) if u]
+    out: list[str] = []
+    for segment, special in coder.segments(text):
+        if special is not None:
+            out.append(segment)
+            continue
+        for unit in units(segment):
+            if len(unit) > WIDE:
+                out += FINE.findall(unit)
+            elif unit:
+                out.append(unit)
+    return out
 
 
 def learn(coder: Transducer, parts: list[list[str]]) -> None:

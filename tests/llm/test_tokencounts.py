@@ -44,6 +44,24 @@ def test_only_the_region_is_encoded_again():
     assert tokencounts.edit_all(coder, [tree], [(50_000, 3, "x")])[0] < 120
 
 
+def test_text_without_white_space():
+    """Code in one line: an edit encodes little again, and counts stay those of the library through hundreds of edits."""
+    rng = random.Random(8)
+    library, coder = Tokenizer.from_file(PATH), transducer(PATH)
+    pieces = ["function", "if(x){", "return", "a", "12", "'s", "don't", "!!'re", "=", ";", "}", "é", "中文", "_", "''ll", "0x1f", "²"]
+    text = "".join(rng.choice(pieces) for _ in range(20_000))
+    tree = tree_of(coder, text)
+    assert tokencounts.edit_all(coder, [tree], [(len(text) // 2, 0, "x")])[0] < 2000
+    text = apply(text, [(len(text) // 2, 0, "x")])
+    for k in range(400):
+        edit = (rng.randint(0, len(text)), rng.choice([0, 1, 1, 2, 9]), rng.choice(["", *pieces]))
+        text = apply(text, [edit])
+        assert tokencounts.edit_all(coder, [tree], [edit])[0] < 2500
+        if k % 40 == 0:
+            assert (tree.tokens[1], tree.chars[1]) == (len(library.encode(text, add_special_tokens=False).ids), len(text))
+    assert "".join(tree.texts) == text and tree.tokens[1] == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_thousands_of_edits_at_one_place():
     """Each encodes a bounded number of characters again, after a large paste too."""
     rng = random.Random(6)
