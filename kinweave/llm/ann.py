@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from kinweave.functions.durable import durable
 
 
+#: Numbers of a table of vectors by pivots that are held at a time.
+SLICE = 1 << 22
+
+
 @dataclass(frozen=True)
 class AnnParams:
     """k: neighbours of a query. pivots: times the square root of the number of distinct vectors, at least min_pivots (all
     vectors, if fewer) and at most max_pivots (a bounded sample of them). order: pivots that represent a vector. post: of these, files that a vector of median norm
-    is in. probe: files that a query looks into. share: of all vectors that is ranked again, but at least_times k of
+    is in. probe: files that a query looks into; beyond probe_from pivots more, with the root of their number. share: of all vectors that is ranked again, but at least_times k of
     them. block: mean members, and half as many queries, that a task handles at a time."""
 
     k: int = 20
@@ -36,6 +40,7 @@ class AnnParams:
     order: int = 128
     post: int = 8
     probe: int = 64
+    probe_from: int = 1000
     share: float = 0.08
     at_least_times: int = 10
     block: int = 8192
@@ -57,11 +62,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _ordered(vectors: np.ndarray, pivots: np.ndarray, order: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first; nearness is the cosine."""
-    near = vectors @ pivots.T
-    order = min(order, near.shape[1])
-    some = np.argpartition(-near, order - 1, axis=1)[:, :order]
-    place = np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable")
-    return np.take_along_axis(some, place, 1).astype(np.int32)
+    order = min(order, len(pivots))
+    out, step = np.empty((len(vectors), order), np.int32), max(1, SLICE // len(pivots))
+    for low in range(0, len(vectors), step):
+        near = vectors[low : low + step] @ pivots.T
+        some = np.argpartition(-near, order - 1, axis=1)[:, :order]
+        place = np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable")
+        out[low : low + step] = np.take_along_axis(some, place, 1)
+    return out
 
 
 def footrule(members: np.ndarray, query: np.ndarray, n_pivots: int) -> np.ndarray:
@@ -90,6 +98,8 @@ class Index:
         self.norms = np.linalg.norm(sample, axis=1)
         self.pivots = sample / np.maximum(self.norms[:, None], 1e-300)
         self.m = min(params.order, len(sample))
+        # as the table grows, neighbours come nearer but files more; found by simulation up to 10^8 vectors
+        self.probe = min(len(sample), int(np.ceil(params.probe * max(1.0, len(sample) / params.probe_from) ** 0.5)))
         self.orders = _ordered(sample, self.pivots, self.m)
         self.typical = max(float(np.median(self.norms)), 1e-300)
         self.share = min(1.0, max(params.share, params.at_least_times * params.k / n))
@@ -101,7 +111,7 @@ class Index:
 
     def threshold(self, order: np.ndarray) -> tuple[float, float]:
         """(mean footrule distance of the sample, least rank to be ranked again) for a query's order."""
-        far = _footrule(_places(order, len(self.pivots))[self.orders], self.m)
+        far = _footrule(_places(order[: self.m], len(self.pivots))[self.orders], self.m)
         mean = float(far.mean())
         if self.share >= 1:
             return mean, -np.inf
@@ -137,27 +147,26 @@ def search(vectors: DataFrame, params: AnnParams | None = None, every: int = 20)
                 values = np.array(batch.column("vector").to_pylist(), np.float64)
                 own = _ordered(values, index.pivots, index.m).astype("<u2")
                 n_files = index.files(values)
-                probes = own[:, : params.probe].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("key"), batch.column("ids"), pa.array([v.tobytes() for v in values], pa.binary()), pa.array([o.tobytes() for o in own], pa.binary()),
                     pa.array([o[:k].astype(np.int32) for o, k in zip(own, n_files, strict=True)], pa.list_(pa.int32())),
-                    pa.array(list(probes), pa.list_(pa.int32())),
-                ], names=["key", "ids", "vector", "own", "files", "probes"])
+                ], names=["key", "ids", "vector", "own", "files"])
 
     ordered = durable(
-        distinct.mapInArrow(represent, "key long, ids array<long>, vector binary, own binary, files array<int>, probes array<int>")
+        distinct.mapInArrow(represent, "key long, ids array<long>, vector binary, own binary, files array<int>")
     )
 
     def limits(batches):
         for batch in batches:
-            found = [index.threshold(np.frombuffer(o, "<u2")) for o in batch.column("q_own").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array([x[i] for x in found], pa.float64()) for i in (0, 1))], names=[*batch.schema.names, "q_mean", "q_least"]
-            )
-
-    asked = ordered.join(queries.select("key").distinct(), "key", "left_semi").select(
-        F.col("key").alias("q_key"), F.col("vector").alias("q_vector"), F.col("own").alias("q_own"), "probes"
-    )
+            values = np.array([np.frombuffer(v) for v in batch.column("q_vector").to_pylist()]).reshape(batch.num_rows, -1)
+            own = _ordered(values, index.pivots, max(index.m, index.probe)).astype("<u2") if batch.num_rows else []
+            found = [index.threshold(o) for o in own]
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns, pa.array([o.tobytes() for o in own], pa.binary()), pa.array([o[: index.probe].astype(np.int32) for o in own], pa.list_(pa.int32())),
+                *(pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)),
+            ], names=[*batch.schema.names, "q_own", "probes", "q_mean", "q_least"])
+
+    asked = ordered.join(queries.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("q_key"), F.col("vector").alias("q_vector"))
     asked = durable(asked.mapInArrow(limits, "q_key long, q_vector binary, q_own binary, probes array<int>, q_mean double, q_least double"))
     parts = lambda size: F.ceil(F.col("n") / size).cast("int")
     n_members = ordered.select(F.explode("files").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).select("pivot", parts(params.block).alias("blocks"))
@@ -185,12 +194,12 @@ def search(vectors: DataFrame, params: AnnParams | None = None, every: int = 20)
         keys, least_ids = found["key"].to_numpy(), found["least_id"].to_numpy()
         pivot, out = int(found["pivot"].iloc[0]), []
         for q_key, q_vector, q_own, mean, least in zip(probes["q_key"], probes["q_vector"], probes["q_own"], probes["q_mean"], probes["q_least"], strict=True):
-            place = _places(np.frombuffer(q_own, "<u2"), len(index.pivots))
-            at = place[own[:, :widest]]
+            meets = _places(np.frombuffer(q_own, "<u2"), len(index.pivots))
+            at = meets[own[:, :widest]]
             if absent is not None:
-                at[absent] = index.m
-            here = np.flatnonzero(at.min(1) == place[pivot])
-            far = _footrule(place[own[here]], index.m)
+                at[absent] = len(index.pivots)
+            here = np.flatnonzero(at.min(1) == meets[pivot])
+            far = _footrule(np.minimum(meets, index.m)[own[here]], index.m)
             near = here[norms[here] * (mean - far) >= least]
             if not len(near):
                 continue

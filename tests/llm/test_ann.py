@@ -56,6 +56,42 @@ def test_recall_and_share(spark, spread):
     assert again / 250 <= 0.12
 
 
+def nearest_of(n, queries, k, rng):
+    """The k nearest of n isotropic unit vectors to each query, drawn from the distribution of their cosines: those of n vectors need not be made."""
+    d = queries.shape[1]
+    c = np.linspace(0, 1, 400_001)
+    density = (1 - c**2) ** ((d - 3) / 2)
+    tail = np.cumsum(density[::-1])[::-1] / (2 * density.sum())
+    upper = np.cumsum(rng.exponential(size=(len(queries), k)), axis=1) / n
+    cosine = np.interp(np.log(upper), np.log(np.maximum(tail, 1e-300))[::-1], c[::-1])[:, :, None]
+    side = rng.normal(size=(len(queries), k, d))
+    side -= (side * queries[:, None]).sum(2, keepdims=True) * queries[:, None]
+    side /= np.linalg.norm(side, axis=2, keepdims=True)
+    return cosine * queries[:, None] + np.sqrt(1 - cosine**2) * side
+
+
+def unit_vectors(n, d, rng):
+    x = rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [10**4, 10**5, 10**6, 10**7, 10**8])
+def test_recall_holds_as_the_table_grows(n):
+    """64 isotropic dimensions, where nothing but the probes brings neighbours together: neighbours met and above the threshold."""
+    rng, params = np.random.default_rng(n), ann.AnnParams()
+    pivots = min(n, params.max_pivots, max(params.min_pivots, int(params.pivots * n**0.5)))
+    index = ann.Index(unit_vectors(pivots, 64, rng), params, n)
+    queries = unit_vectors(80, 64, rng)
+    own = ann._ordered(queries, index.pivots, max(index.m, index.probe))
+    hits = 0
+    for q, near in zip(own, nearest_of(n, queries, 20, rng), strict=True):
+        orders = ann._ordered(near, index.pivots, index.m)
+        met = np.isin(orders[:, : params.post], q[: index.probe]).any(1)
+        mean, least = index.threshold(q)
+        hits += (met & (mean - ann.footrule(orders, q[: index.m], pivots) >= least)).sum()
+    assert hits / (80 * 20) >= 0.95
+
+
 def test_footrule_by_hand():
     members = np.array([[0, 1], [1, 0], [2, 3]])
     assert ann.footrule(members, np.array([0, 1]), 4).tolist() == [0, 2, 6]
