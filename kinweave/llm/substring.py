@@ -136,14 +136,23 @@ def _windows(docs: DataFrame, span: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_key long, start int, window long, check int")
 
 
-def matches(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def _once(rows: DataFrame, again: DataFrame | None, *by: str) -> DataFrame:
+    """``rows`` with those of equal ``by`` once, among texts that are there ``again``."""
+    if again is None:
+        return rows
+    keys = again.select("doc_key")
+    return durable(rows.join(keys, "doc_key", "left_anti").unionByName(rows.join(keys, "doc_key", "left_semi").dropDuplicates(["doc_key", *by])))
+
+
+def matches(docs: DataFrame, span: int = SPAN, again: DataFrame | None = None) -> DataFrame:
     """Where windows of ``span`` words of ``docs(doc_key, text)`` occur again: doc_key, start, n_windows, check, ref_key, ref_start.
 
     Each row says that the windows starting at word ``start`` and the n_windows - 1 next ones also start
     in the text ``ref_key`` at ``ref_start``; a place never refers to itself, unless a row with the same key
-    repeats it. Rows may overlap.
+    repeats it. Rows may overlap. Texts of the keys in ``again(doc_key)`` count once, however many rows have them, and
+    get no matches of their own.
     """
-    blocks = durable(_blocks(docs, span))
+    blocks = _once(durable(_blocks(docs, span)), again, "start", "block", "twin")
     at = F.struct("doc_key", "start")
     status = durable(blocks.groupBy("block", "twin").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"), F.max(at).alias("last")))
     first = status.select("block", "twin", F.col("at.doc_key").alias("doc_key"), F.col("at.start").alias("start"))
@@ -159,15 +168,16 @@ def matches(docs: DataFrame, span: int = SPAN) -> DataFrame:
     wanted = seeds.join(shared, "seed", "left_semi").groupBy("doc_key").agg(F.collect_set("seed").alias("seeds"))
     own = indexed.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n_windows")).alias("own"))
     asked = docs.join(wanted, "doc_key").join(own, "doc_key").select("doc_key", "text", "seeds", "own")
-    windows = durable(_windows(asked, span))
-    again = windows.groupBy("window", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = durable(windows.join(again, ["window", "check"], "left_semi"))
+    windows = _once(durable(_windows(asked, span)), again, "start", "window")
+    shown = windows.groupBy("window", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = durable(windows.join(shown, ["window", "check"], "left_semi"))
     ends = twice.groupBy("window", "check").agg(F.min(at).alias("at"), F.max(at).alias("last"))
     single = twice.join(ends, ["window", "check"]).withColumn("n_windows", F.lit(1))
     whole = blocks.select("doc_key", "start", "n_windows", "block", "twin", "check").join(status.where("n > 1"), ["block", "twin"])
     other = F.when((F.col("at.doc_key") == F.col("doc_key")) & (F.col("at.start") == F.col("start")), F.col("last")).otherwise(F.col("at"))
     columns = ["doc_key", "start", "n_windows", "check", other["doc_key"].alias("ref_key"), other["start"].alias("ref_start")]
-    return whole.select(*columns).unionByName(single.select(*columns))
+    found = whole.select(*columns).unionByName(single.select(*columns))
+    return found if again is None else found.join(again.select("doc_key"), "doc_key", "left_anti")
 
 
 def parse(found: list[tuple], span: int) -> list[tuple[int, int, int, int]]:
@@ -198,8 +208,8 @@ def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
     (start, length): the words that factors cover), and kept_text (the kept words joined by one space). A
     word is removed if a window of ``span`` consecutive words over it also starts anywhere else, in the same
     text included; all copies go, the first too. Null and empty texts have no words; texts shorter than
-    ``span`` words keep all; words and texts may be of any length. Rows that repeat another row's doc_id and
-    text count as texts of their own. Rows that share a ref_key by chance get each other's matches; those that
+    ``span`` words keep all; words and texts may be of any length. A row that repeats another row's doc_id and
+    text is one factor, that other row, so copies cost no more than their own length. Rows that share a ref_key by chance get each other's matches; those that
     don't fit a row's own words are dropped.
     """
     kept = "row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ">"
@@ -208,15 +218,17 @@ def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
         "spans array<struct<start:int,length:int>>, kept_text string"
     )
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.xxhash64("row.doc_id", "row.text").alias("doc_key")
+        "row", F.xxhash64("row.doc_id", "row.text").alias("doc_key"), F.xxhash64("row.text", "row.doc_id").alias("other_key")
     )
-    found = matches(held.select("doc_key", F.col("row.text").alias("text")), span)
+    again = durable(held.groupBy("doc_key", "other_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_key", "other_key"))
+    some = bool(again.limit(1).count())
+    found = matches(held.select("doc_key", F.col("row.text").alias("text")), span, again if some else None)
     own = found.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n_windows", "ref_key", "ref_start", "check")).alias("matches"))
     factor = pa.struct({"start": pa.int32(), "length": pa.int32(), "ref_key": pa.int64(), "ref_start": pa.int32()})
 
     def run(batches):
         for batch in slices(batches):
-            found = batch.column("matches").to_pylist()
+            found, whole = batch.column("matches").to_pylist(), batch.column("whole").to_pylist()
             hits = np.flatnonzero([bool(x) for x in found])
             parsed = _Parsed(batch.column("text").take(pa.array(hits)), span)
             true = dict(zip(hits.tolist(), _true_matches(parsed, [found[i] for i in hits]), strict=True))
@@ -224,6 +236,8 @@ def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
             for k, text in enumerate(batch.column("text").to_pylist()):
                 words = text.encode().split()
                 own = parse(true.get(k, []), span)
+                if whole[k] is not None:
+                    own = [(0, len(words), whole[k], 0)] if len(words) >= span else []
                 gone = np.zeros(len(words) + 1, np.int64)
                 for start, length, _, _ in own:
                     gone[start] += 1
@@ -242,8 +256,12 @@ def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 "kept_text": pa.array(kept_text, pa.string()),
             })
 
-    joined = held.join(own, "doc_key", "left").select("row", F.col("row.text").alias("text"), "matches")
-    return joined.mapInArrow(run, schema)
+    joined = held.join(own, "doc_key", "left")
+    if some:
+        joined = joined.join(again.withColumn("whole", F.col("doc_key")), ["doc_key", "other_key"], "left")
+    else:
+        joined = joined.withColumn("whole", F.lit(None).cast("long"))
+    return joined.select("row", F.col("row.text").alias("text"), "matches", "whole").mapInArrow(run, schema)
 
 
 def _true_matches(parsed: _Parsed, found: list[list[dict]]) -> list[list[tuple]]:

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -110,3 +111,19 @@ def test_matches_of_another_row_are_dropped():
     check = int(parsed.checks(np.array([4]))[0])
     match = lambda start, check, n=1: {"start": start, "n_windows": n, "check": check, "ref_key": 1, "ref_start": 0}
     assert substring._true_matches(parsed, [[match(4, check), match(5, check), match(4, check, 100)], [match(0, check)]]) == [[(4, 1, 1, 0)], []]
+
+
+def test_repeated_rows_cost_their_length_only(spark):
+    """Hundreds of equal rows, longer and shorter than a window, among texts that share passages with them."""
+    rng = random.Random(9)
+    fresh = lambda n: [rng.choice(["w%d" % i for i in range(900)]) for _ in range(n)]
+    long, short, own = fresh(3000), fresh(20), fresh(200)
+    rows = [(1, " ".join(long))] * 320 + [(2, " ".join(short))] * 50 + [(None, " ".join(long[:100]))] * 3
+    rows += [(3, " ".join(fresh(80) + long[500:700] + fresh(50))), (4, " ".join(own)), (5, " ".join(fresh(60) + short)), (6, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    began = time.time()
+    got = sorted((str(r.row.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substring.factored(docs).collect())
+    assert time.time() - began < 60
+    assert got == sorted((str(d), *x) for (d, _), x in zip(rows, brute([t for _, t in rows], 35), strict=True))
+    factors = {tuple(map(tuple, r.factors)) for r in substring.factored(docs).where("row.doc_id = 1").collect()}
+    assert len(factors) == 1 and next(iter(factors))[0][:2] == (0, 3000)
