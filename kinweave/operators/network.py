@@ -58,6 +58,16 @@ class EdgeBundle:
     def n_nodes(self) -> int:
         return self.all_nodes().count()
 
+    def size(self) -> DataFrame:
+        """n_edges (rows of the three tables) and n_nodes (distinct ends) as one row of one plan."""
+        parts = [self.ppis, self.gene_to_pathways, self.pathway_hierarchy]
+        rows = None
+        for df in parts:
+            ends = df.select(F.explode(F.array(F.struct(F.col("from").alias("node"), F.lit(1).alias("row")), F.struct(F.col("to").alias("node"), F.lit(0).alias("row")))).alias("x"))
+            rows = ends if rows is None else rows.union(ends)
+        nodes = rows.groupBy("x.node").agg(F.sum("x.row").alias("edges"))
+        return nodes.agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("n_edges"), F.count("node").alias("n_nodes"))
+
     def network(self) -> DataFrame:
         """All edges with their type, once each."""
         return typed_network(*self._parts())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import cosine, log_stats
-from kinweave.functions.durable import shared_folder
+from kinweave.functions.durable import durable, shared_folder
 from kinweave.functions.stages import Stages
 from kinweave.operators import embed, graph, network, stats, walks
 from kinweave.params import SyntheticParams, association_params
@@ -226,8 +226,7 @@ def represented_and_missing(spark, d):
 @query(f"""WITH {_NET} SELECT (SELECT count(*) FROM inter) + (SELECT count(*) FROM ann) + (SELECT count(*) FROM hier) AS n_edges,
 (SELECT count(*) FROM (SELECT "from" FROM net UNION SELECT "to" FROM net)) AS n_nodes""")
 def network_size(spark, d):
-    b = bundle(spark, d)
-    return spark.createDataFrame([(b.n_edges, b.n_nodes)], "n_edges long, n_nodes long")
+    return bundle(spark, d).size()
 
 
 @query(f"""WITH {_TRADE} SELECT "from", "to", min(o_orderpriority) AS source FROM trade GROUP BY 1, 2""")
@@ -413,25 +412,34 @@ def similarity_histogram(spark, d):
 
 # ---------------------------------------------------------------- synthetic graphs, null graphs, walks
 
-_EDGES = """SELECT printf('node_%04d', u) AS "from", printf('node_%04d', v) AS "to", 'interaction' AS edge_type FROM """
+#: Customers as numbers from 1, on which the synthetic graphs are planted.
+_EDGES = """WITH s AS (SELECT c_custkey + 1 AS i FROM customer), a AS (SELECT i AS u FROM s), b AS (SELECT i AS v FROM s)
+SELECT printf('node_%04d', u) AS "from", printf('node_%04d', v) AS "to", 'interaction' AS edge_type FROM """
 
 
-@query(_EDGES + "(SELECT u, v FROM generate_series(1, 40) AS a(u), generate_series(1, 40) AS b(v) WHERE u < v AND ((u <= 20) = (v <= 20) OR (u = 20 AND v = 21)))")
+def numbers(spark, d) -> DataFrame:
+    return read(spark, d, "customer").select((F.col("c_custkey") + 1).alias("i"))
+
+
+@query(_EDGES + "(SELECT u, v FROM a JOIN b ON (u - 1) // 40 = (v - 1) // 40 WHERE u < v AND ((u - 1) // 20 = (v - 1) // 20 OR ((u - 1) % 40 = 19 AND v = u + 1)))")
 def barbell(spark, d):
-    return synthetic.node2vec_test_data(spark, "barbell", 20).edges
+    """Forty customers in a row are a barbell."""
+    return synthetic.planted(numbers(spark, d), "barbell", 20, 2).edges
 
 
-@query(_EDGES + f"""(SELECT u, v FROM generate_series(1, 50) AS a(u), generate_series(1, 50) AS b(v) WHERE u < v AND (u - 1) // 10 = (v - 1) // 10
-UNION ALL SELECT (a - 1) * 10 + 1 + floor({_u("'42'", "'left'", "a", "b")} * 10)::BIGINT, (b - 1) * 10 + 1 + floor({_u("'42'", "'right'", "a", "b")} * 10)::BIGINT
-FROM generate_series(1, 5) AS x(a), generate_series(1, 5) AS y(b) WHERE a < b AND {_u("'42'", "'bridge'", "a", "b")} < 0.5)""")
+@query(_EDGES + f"""(SELECT u, v FROM a JOIN b ON (u - 1) // 10 = (v - 1) // 10 WHERE u < v
+UNION ALL SELECT u, v FROM (SELECT (a - 1) * 10 + 1 + floor({_u("'42'", "'left'", "a", "b")} * 10)::BIGINT AS u, (b - 1) * 10 + 1 + floor({_u("'42'", "'right'", "a", "b")} * 10)::BIGINT AS v
+FROM (SELECT DISTINCT (i - 1) // 10 + 1 AS a FROM s) AS x JOIN (SELECT DISTINCT (i - 1) // 10 + 1 AS b FROM s) AS y ON (a - 1) // 5 = (b - 1) // 5 WHERE a < b AND {_u("'42'", "'bridge'", "a", "b")} < 0.5)
+WHERE u IN (SELECT i FROM s) AND v IN (SELECT i FROM s))""")
 def caveman(spark, d):
-    return synthetic.node2vec_test_data(spark, "cavemen", 10, 5, p_between=0.5).edges
+    """Fifty customers in a row are five caves."""
+    return synthetic.planted(numbers(spark, d), "caveman", 10, 5, p_between=0.5).edges
 
 
-@query(_EDGES + f"""(SELECT u, v FROM generate_series(1, 30) AS a(u), generate_series(1, 30) AS b(v)
-WHERE u < v AND {_u("'42'", "u", "v")} < CASE WHEN (u - 1) // 10 = (v - 1) // 10 THEN 0.8 ELSE 0.05 END)""")
+@query(_EDGES + f"""(SELECT u, v FROM a JOIN b ON (u - 1) // 30 = (v - 1) // 30 WHERE u < v AND {_u("'42'", "u", "v")} < CASE WHEN (u - 1) // 10 = (v - 1) // 10 THEN 0.8 ELSE 0.05 END)""")
 def stochastic_block(spark, d):
-    return synthetic.node2vec_test_data(spark, "stochastic", 10, 3).edges
+    """Thirty customers in a row are three blocks."""
+    return synthetic.planted(numbers(spark, d), "stochastic_block", 10, 3).edges
 
 
 @query(f"""WITH {_WHOLE}, dg AS (SELECT node, count(*) AS n FROM (SELECT "from" AS node FROM links UNION ALL SELECT "to" FROM links) GROUP BY 1),
@@ -492,7 +500,24 @@ def gene_walk(spark, d):
 
 @query()
 def synthetic_association_data(spark, d):
-    return synthetic.association_data(spark, SyntheticParams()).full_data
+    """With as many genes of each kind as there are suppliers."""
+    n = read(spark, d, "supplier").count()
+    return synthetic.association_data(spark, SyntheticParams(n_signal_genes=n, n_noise_genes=n)).full_data
+
+
+@query("""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+z AS (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_samp(x) OVER (PARTITION BY i) AS z FROM x),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.z, b.z) AS c FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM embeddings)
+SELECT 'nodes' AS what, n::DOUBLE AS value FROM n UNION ALL SELECT 'sum', 0 UNION ALL SELECT 'cross', 0
+UNION ALL SELECT 'whole', round(sum(c) FILTER (i = j), 3) FROM c UNION ALL SELECT 'loadings', 0""")
+def pca_check(spark, d):
+    """The two components of `pca_2d`, held against the covariance of the vectors.
+
+    What must be so of principal components: ``sum`` and ``cross`` (means and covariance of the components) are 0, and the covariance matrix times each
+    loading is the loading times the component's variance, up to ``loadings``. ``whole`` is the variance of all scaled dimensions.
+    """
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding")
+    return report.pca_check(e, durable(report.pca_2d(e)))
 
 
 @query()

@@ -80,3 +80,28 @@ def pca_2d(embeddings: DataFrame) -> DataFrame:
     signs = [float(1 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1) for j in range(2)]
     pc = vector_to_array("pc")
     return model.transform(scaled).select("node", (pc[0] * signs[0]).alias("pc1"), (pc[1] * signs[1]).alias("pc2"))
+
+
+def pca_check(embeddings: DataFrame, components: DataFrame) -> DataFrame:
+    """what, value: whether ``components`` of `pca_2d` are principal components of the scaled ``embeddings``.
+
+    nodes; sum and cross: the greatest mean, and the covariance, of the two; whole: the variance of all scaled dimensions; loadings: how
+    far the covariance matrix times each loading is from the loading times its variance. All rounded to three decimals. The covariance comes from one
+    pass that sums products by pairs of dimensions, never from pairs of rows.
+    """
+    parts = embeddings.select("node", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("i", "x"))
+    moments = parts.groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    z = durable(parts.join(moments, "i").select("node", "i", ((F.col("x") - F.col("mean")) / F.col("sd")).alias("z")))
+    wide = z.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda p: p["z"]).alias("z"))
+    crossed = wide.select(F.posexplode("z").alias("i", "a"), "z").select("i", "a", F.posexplode("z").alias("j", "b"))
+    covariance = durable(crossed.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c")))
+    # the covariance of a dimension with a component is the loading times the component's variance
+    met = z.join(components, "node")
+    own = met.groupBy("i").agg(*[F.covar_samp("z", f"pc{k}").alias(f"l{k}") for k in (1, 2)])
+    spread = components.agg(*[F.var_samp(f"pc{k}").alias(f"v{k}") for k in (1, 2)], F.covar_samp("pc1", "pc2").alias("cross"), F.greatest(F.abs(F.avg("pc1")), F.abs(F.avg("pc2"))).alias("sum"), F.count(F.lit(1)).cast("double").alias("nodes"))
+    again = covariance.join(own.select(F.col("i").alias("j"), "l1", "l2"), "j").groupBy("i").agg(*[F.sum(F.col("c") * F.col(f"l{k}")).alias(f"m{k}") for k in (1, 2)])
+    far = again.join(own, "i").crossJoin(spread).agg(F.max(F.greatest(*[F.abs(F.col(f"m{k}") / F.col(f"v{k}") - F.col(f"l{k}")) for k in (1, 2)])).alias("loadings"))
+    whole = covariance.where("i = j").agg(F.sum("c").alias("whole"))
+    one = spread.crossJoin(far).crossJoin(whole)
+    rounded = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.abs(F.round(n, 3)).alias("value")) for n in ("nodes", "sum", "cross", "whole", "loadings")])).alias("x")
+    return one.select(rounded).select("x.*")

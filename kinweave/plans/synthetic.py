@@ -14,9 +14,18 @@ from kinweave.params import SyntheticParams
 KINDS = ("barbell", "caveman", "stochastic_block")
 
 
-def _nodes(spark: SparkSession, per_cluster: int, clusters: int) -> DataFrame:
-    """i (from 1) and cluster (from 1)."""
-    return spark.range(1, per_cluster * clusters + 1).select(F.col("id").alias("i"), F.expr(f"cast((id - 1) div {per_cluster} + 1 as int)").alias("cluster"))
+def _numbers(spark: SparkSession, n: int) -> DataFrame:
+    """i from 1 to n."""
+    return spark.range(1, n + 1).select(F.col("id").alias("i"))
+
+
+def _part(i: str, size: int):
+    return F.floor((F.col(i) - 1) / size).cast("long") + 1
+
+
+def _clusters(nodes: DataFrame, n: int) -> DataFrame:
+    """i and cluster (from 1)."""
+    return nodes.select("i", _part("i", n).cast("int").alias("cluster"))
 
 
 def _pairs_within(nodes: DataFrame) -> DataFrame:
@@ -29,28 +38,34 @@ def _named(edges: DataFrame) -> DataFrame:
     return edges.select(padded("node_", F.col("u")).alias("from"), padded("node_", F.col("v")).alias("to"), F.lit("interaction").alias("edge_type"))
 
 
-def barbell(spark: SparkSession, n: int) -> DataFrame:
-    """Two cliques of n nodes and a bridge between the nodes n and n + 1: u, v."""
-    bridge = spark.range(1).select(F.lit(n).cast("long").alias("u"), F.lit(n + 1).cast("long").alias("v"))
-    return _pairs_within(_nodes(spark, n, 2)).union(bridge)
+def _among(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of which both are there."""
+    for end in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("i").alias(end)), end, "left_semi")
+    return pairs.select("u", "v")
+
 
+def barbell(nodes: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v) over the whole numbers ``nodes(i)`` from 1: each 2 n in a row are two cliques of n, and a bridge from the last of one to the first of the other."""
+    bridges = nodes.where((F.col("i") - 1) % (2 * n) == n - 1).select(F.col("i").alias("u"), (F.col("i") + 1).alias("v"))
+    return _pairs_within(_clusters(nodes, n)).union(_among(bridges, nodes))
 
-def caveman(spark: SparkSession, n: int, k: int, p_between: float, seed: int) -> DataFrame:
-    """k cliques; each pair of them gets a random bridge with probability p_between: u, v."""
-    a = spark.range(1, k + 1).select(F.col("id").alias("a"))
-    pairs = a.select("a", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("b")).where("a < b")
+
+def caveman(nodes: DataFrame, n: int, k: int, p_between: float, seed: int) -> DataFrame:
+    """As `barbell`, with k cliques of n in a row; each pair of these gets a random bridge with probability p_between."""
+    caves = _clusters(nodes, n).select(F.col("cluster").cast("long").alias("a")).distinct().withColumn("graph", _part("a", k))
+    pairs = caves.join(caves.withColumnRenamed("a", "b"), "graph").where("a < b")
     draw = lambda name: uniform(seed, F.lit(name), F.col("a"), F.col("b"))
     place = lambda name, c: ((F.col(c) - 1) * n + 1 + F.floor(draw(name) * n)).cast("long")
     bridges = pairs.where(draw("bridge") < p_between).select(place("left", "a").alias("u"), place("right", "b").alias("v"))
-    return _pairs_within(_nodes(spark, n, k)).union(bridges)
+    return _pairs_within(_clusters(nodes, n)).union(_among(bridges, nodes))
 
 
-def stochastic_block(spark: SparkSession, n: int, k: int, p_within: float, p_between: float, seed: int) -> DataFrame:
-    """Each pair of nodes is an edge with probability p_within or p_between: u, v. The pairs are the input by definition."""
-    nodes = _nodes(spark, n, k)
-    pairs = nodes.select(F.col("i").alias("u"), F.col("cluster").alias("cu"), F.explode(F.sequence(F.col("i") + 1, F.lit(n * k + 1).cast("long"))).alias("v")).where(F.col("v") <= n * k)
-    same = F.col("cu") == F.expr(f"(v - 1) div {n} + 1")
-    return pairs.where(uniform(seed, F.col("u"), F.col("v")) < F.when(same, p_within).otherwise(p_between)).select("u", "v")
+def stochastic_block(nodes: DataFrame, n: int, k: int, p_within: float, p_between: float, seed: int) -> DataFrame:
+    """As `barbell`, with k blocks of n in a row: each pair of their nodes is an edge with probability p_within or p_between. The pairs are the input by definition."""
+    own = _clusters(nodes, n).withColumn("graph", _part("i", n * k))
+    pairs = own.select("graph", F.col("i").alias("u"), F.col("cluster").alias("cu")).join(own.select("graph", F.col("i").alias("v"), F.col("cluster").alias("cv")), "graph").where("u < v")
+    return pairs.where(uniform(seed, F.col("u"), F.col("v")) < F.when(F.col("cu") == F.col("cv"), p_within).otherwise(p_between)).select("u", "v")
 
 
 @dataclass(frozen=True)
@@ -64,17 +79,24 @@ def node2vec_test_data(
 ) -> TestGraph:
     """edges(from, to, edge_type) and node_labels(node, cluster) of a barbell, caveman or stochastic block graph."""
     kind = {"cavemen": "caveman", "stochastic": "stochastic_block"}.get(test_type.lower(), test_type.lower())
-    n = n_nodes_per_cluster
+    n, n_clusters = n_nodes_per_cluster, 2 if kind == "barbell" else n_clusters
+    return planted(_numbers(spark, n * n_clusters), kind, n, n_clusters, p_within, p_between, seed)
+
+
+def planted(nodes: DataFrame, kind: str, n: int, k: int, p_within: float = 0.8, p_between: float = 0.05, seed: int = 42) -> TestGraph:
+    """Graphs of one of KINDS over the whole numbers ``nodes(i)`` from 1, n times k numbers in a row for each graph, with the labels of its clusters.
+
+    Numbers that are missing leave holes. Edges grow with the nodes, since the size of a graph is fixed.
+    """
     if kind == "barbell":
-        n_clusters, edges = 2, barbell(spark, n)
+        edges = barbell(nodes, n)
     elif kind == "caveman":
-        edges = caveman(spark, n, n_clusters, p_between, seed)
+        edges = caveman(nodes, n, k, p_between, seed)
     elif kind == "stochastic_block":
-        edges = stochastic_block(spark, n, n_clusters, p_within, p_between, seed)
+        edges = stochastic_block(nodes, n, k, p_within, p_between, seed)
     else:
-        raise ValueError(f"{test_type!r} is none of {list(KINDS)}")
-    labels = _nodes(spark, n, n_clusters).select(padded("node_", F.col("i")).alias("node"), "cluster")
-    return TestGraph(_named(edges), labels)
+        raise ValueError(f"{kind!r} is none of {list(KINDS)}")
+    return TestGraph(_named(edges), _clusters(nodes, n).select(padded("node_", F.col("i")).alias("node"), "cluster"))
 
 
 @dataclass(frozen=True)

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,37 @@ def test_shapes_of_synthetic_graphs(spark):
     assert per_gene.count() == 150 + 150 + 9 * 16 and per_gene.agg(F.max("count")).first()[0] <= 25
 
 
+def test_planted_graphs_repeat_the_one_of_fixed_size(spark):
+    """Two graphs over 80 numbers of which some are missing: the first as the generator makes it alone, less the holes."""
+    there = [i for i in range(1, 81) if i not in (20, 57)]
+    nodes = spark.createDataFrame([(i,) for i in there], "i long")
+    for kind, n, k in (("barbell", 20, 2), ("caveman", 10, 4), ("stochastic_block", 10, 4)):
+        found = synthetic.planted(nodes, kind, n, k, p_between=0.5)
+        edges = {(int(r["from"][5:]), int(r["to"][5:])) for r in found.edges.collect()}
+        assert all(a in there and b in there and (a - 1) // 40 == (b - 1) // 40 for a, b in edges)
+        alone = {(int(r["from"][5:]), int(r["to"][5:])) for r in synthetic.node2vec_test_data(spark, kind, n, k, p_between=0.5).edges.collect()}
+        assert {e for e in edges if e[1] <= 40} == {(a, b) for a, b in alone if 20 not in (a, b)}
+        assert found.node_labels.count() == 78 and any(a > 40 for a, _ in edges)
+
+
+def test_pca_is_that_of_the_scaled_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6)) @ rng.normal(size=(6, 6)) + 5
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    values, vectors = np.linalg.eigh(np.cov(z.T))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, embedding array<double>")
+    got = np.array([(r.pc1, r.pc2) for r in report.pca_2d(df).orderBy("node").collect()])
+    for k in (0, 1):
+        own = vectors[:, -1 - k]
+        own = own * np.sign(own[np.abs(own).argmax()])
+        assert np.allclose(got[:, k] - got[:, k].mean(), z @ own, atol=1e-6)
+        assert abs(got[:, k].var(ddof=1) - values[-1 - k]) < 1e-6
+    check = {r.what: r.value for r in report.pca_check(df, report.pca_2d(df)).collect()}
+    assert check == {"nodes": 200.0, "sum": 0.0, "cross": 0.0, "whole": 6.0, "loadings": 0.0}
+    wrong = report.pca_2d(df).selectExpr("node", "pc1 + 2 * pc2 AS pc1", "pc2")
+    assert max(r.value for r in report.pca_check(df, wrong).where("what IN ('cross', 'loadings')").collect()) > 0.1
+
+
 def test_pipeline(spark):
     params = SyntheticParams(n_signal_genes=20, n_noise_genes=20, n_roots=4, depth=2, p_ppi=0.3, min_annotations=4, max_annotations=6, min_noise_subtrees=4)
     data = synthetic.association_data(spark, params)
