@@ -14,7 +14,7 @@ from kinweave.functions.columns import cosine, log_stats
 from kinweave.functions.durable import durable, shared_folder
 from kinweave.functions.stages import Stages
 from kinweave.operators import embed, graph, network, stats, walks
-from kinweave.params import SyntheticParams, association_params
+from kinweave.params import SyntheticParams, association_params, node2vec_params
 from kinweave.plans import report, synthetic
 from kinweave.plans.analysis import Analysis, node2vec
 from kinweave.sources import catalog, ingest
@@ -482,8 +482,8 @@ def analysed(spark, d) -> Analysis:
 
 @query()
 def node2vec_embedding(spark, d):
-    """Of the whole network, with the defaults of a standalone embedding."""
-    return node2vec(bundle(spark, d).network())
+    """Of the whole network, with the walks of a standalone embedding and four of its twenty epochs."""
+    return node2vec(bundle(spark, d).network(), params=node2vec_params(n_epochs=4))
 
 
 @query()

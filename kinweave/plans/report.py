@@ -53,12 +53,12 @@ def result_plot_data(analysis, threshold: float = 0.25) -> DataFrame | None:
 def with_labels(table: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
     """Adds ``<column>_label`` for each of the columns, from ``names(id, label)``; an id without a label shows itself.
 
-    Of several labels of an id the first in order is taken; nulls stay null.
+    Of several labels of an id the first in order is taken; nulls stay null. A column ``<column>_label`` that is there already is replaced.
     """
     known = names.groupBy("id").agg(F.min("label").alias("label"))
     for c in columns:
         own = known.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-        table = table.join(own, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+        table = table.drop(f"{c}_label").join(own, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
     return table
 
 
