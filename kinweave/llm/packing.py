@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """k windows of near-equal sums: lists of indices into ``sizes``."""
+    """k windows of near-equal sums: lists of indices into ``sizes``. It begins with the k greatest sizes as one partial partition, the next k as another, and so on."""
     if not sizes:
         return [[] for _ in range(k)]
     heap = []
