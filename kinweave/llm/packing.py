@@ -27,6 +27,7 @@ from tokenizers import Tokenizer
 from kinweave.functions.durable import durable
 from kinweave.llm.bpe import ENTRY_BYTES, LONG, MEMO_BYTES, MEMO_UNIT, MergeTable
 from kinweave.llm.encoding import tokenizer_path
+from kinweave.llm.memory import remembers
 from kinweave.llm.words import slices
 
 CAPACITY = 4096
@@ -114,6 +115,9 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+remembers(word_encoder.cache_clear)
+
+
 def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: full sequences first, then the rest in parts of at most ``piece``."""
     full = n // capacity * capacity

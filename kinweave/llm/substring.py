@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.durable import durable
+from kinweave.llm.memory import forget
 from kinweave.llm.words import Runs, U64, Words, mixed, slices, sliding
 
 SPAN = 35
@@ -91,6 +92,7 @@ def _blocks(docs: DataFrame, span: int) -> DataFrame:
     schema = "doc_key long, start int, n_windows int, block long, twin long, check int, seeds array<long>, places array<int>"
 
     def run(batches):
+        forget()
         for batch in slices(batches):
             parsed = _Parsed(batch.column("text"), span)
             begin, lengths, one, two = parsed.blocks()
@@ -111,6 +113,7 @@ def _windows(docs: DataFrame, span: int) -> DataFrame:
     """Two hashes of every window that starts in one of its row's ``own`` blocks and whose seed is among its ``seeds``."""
 
     def run(batches):
+        forget()
         for batch in slices(batches):
             parsed = _Parsed(batch.column("text"), span)
             wanted, blocks = batch.column("seeds"), batch.column("own")
@@ -227,6 +230,7 @@ def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
     factor = pa.struct({"start": pa.int32(), "length": pa.int32(), "ref_key": pa.int64(), "ref_start": pa.int32()})
 
     def run(batches):
+        forget()
         for batch in slices(batches):
             found, whole = batch.column("matches").to_pylist(), batch.column("whole").to_pylist()
             hits = np.flatnonzero([bool(x) for x in found])

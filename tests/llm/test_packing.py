@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
-from kinweave.llm import packing
+from kinweave.llm import memory, packing
 from kinweave.llm.encoding import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -63,3 +63,10 @@ def test_every_id_is_in_one_piece(spark):
             at += r.length
         assert at <= 4096
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_memos_are_forgotten():
+    encoder = packing.word_encoder(PATH)
+    assert packing.word_encoder(PATH) is encoder
+    memory.forget()
+    assert packing.word_encoder(PATH) is not encoder
