@@ -55,6 +55,15 @@ def test_columns_of_any_name_stay(spark):
     assert sorted((r.i, r["least"], r.inside, r.offset) for r in made) == [(i, i, "a", "c") for i in range(9)]
 
 
+def test_following_min_has_no_frame_to_the_last_row(spark):
+    """Such a frame is computed anew for each row: quadratic in the rows of a range."""
+    table = ranged(spark.range(1, 1001).select(F.col("id").alias("i"), (F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 1009).alias("v")), "g", "i")
+    made = following_min(table, ["g"], "i", "v", "least")
+    assert "unboundedfollowing" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = sorted((r.g, r.i, r.v, r.least) for r in made.collect())
+    assert all(least == min(v for h, j, v, _ in rows if h == g and j >= i) for g, i, _, least in rows)
+
+
 def test_empirical_p_extremes(spark):
     null = spark.range(1000).select((F.col("id") / 1000).alias("similarity"))
     observed = spark.createDataFrame([(0.999,), (0.001,), (0.5,)], "similarity double")
