@@ -111,3 +111,24 @@ def test_cluster_means_equal_pair_means(spark):
         for j in range(i):
             (same if rows[i][2] == rows[j][2] else other).append(cos(rows[i][1], rows[j][1]))
     assert abs(got.within_mean - sum(same) / len(same)) < 1e-9 and abs(got.between_mean - sum(other) / len(other)) < 1e-9
+
+
+def test_group_cosine_is_pair_cosine_of_all_pairs_of_a_group(spark):
+    rng = random.Random(3)
+    vectors = spark.createDataFrame([(r, f"n{i}", [rng.gauss(0, 1) for _ in range(5)]) for r in (1, 2) for i in range(60)], "rep int, node string, embedding array<double>")
+    ends = spark.range(60).select(F.concat(F.lit("n"), F.col("id")).alias("node"), (F.col("id") % 3).alias("group"), (F.col("id") % 5 == 0).alias("gene"))
+    genes, pathways = ends.where("gene").select(F.col("node").alias("gene"), "group"), ends.where("NOT gene").select(F.col("node").alias("pathway"), "group")
+    found = stats.group_cosine(genes, pathways, vectors)
+    wanted = stats.pair_cosine(genes.join(pathways, "group"), vectors)
+    rows = lambda df: sorted((r.rep, r.gene, r.pathway, round(r.similarity, 12)) for r in df.collect())
+    assert rows(found) == rows(wanted) and found.count() == 2 * 12 * 16
+
+
+def test_bh_in_groups_equals_bh_over_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(g, i, rng.choice([0.0, 0.01, 0.01, rng.random()])) for g in range(4) for i in range(150)]
+    df = spark.createDataFrame(rows, "g int, i int, pval double")
+    told = lambda: {(r.g, r.i): r.fdr for r in stats.benjamini_hochberg(df, ["g"], "fdr").collect()}
+    grouped = told()
+    monkeypatch.setattr(stats, "IN_ONE", 0)
+    assert grouped == pytest.approx(told()) and len(grouped) == 600
