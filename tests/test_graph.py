@@ -169,3 +169,14 @@ def test_stubs_of_a_hub(spark):
     df = spark.range(10000).selectExpr("'hub' AS `from`", "cast(id AS string) AS `to`")
     found = graph.stubs(df).where("node = 'hub'").agg({"stub": "max", "*": "count"}).first()
     assert set(found) == {10000} and graph.stubs(df).count() == 20000
+
+
+def test_a_draw_reads_rows_of_many_links(spark, monkeypatch):
+    """A row for each link used to be joined in every round of draws. The walks are the same for any size of the chunks."""
+    links = spark.createDataFrame([(f"n{i}", f"n{j}", 1.0 + i % 3) for i in range(40) for j in range(40) if i != j and (i * j) % 3], "node string, neighbour string, weight double")
+    found = walks.transitions(links.selectExpr("0L AS net", "*"))
+    assert found.chunks.count() < found.slots.count() / 4
+    told = lambda: sorted((r.start, r.walk_no, tuple(r.path)) for r in walks.random_walks(links, 2, 4, p=0.5, q=2.0).collect())
+    first = told()
+    monkeypatch.setattr(walks, "CHUNK", 3)
+    assert first == told()
