@@ -12,6 +12,8 @@ from kinweave.functions.durable import durable
 from kinweave.params import SyntheticParams
 
 KINDS = ("barbell", "caveman", "stochastic_block")
+#: Genes of a crew that meet all others of it in one place.
+CELL = 256
 
 
 def _numbers(spark: SparkSession, n: int) -> DataFrame:
@@ -120,9 +122,13 @@ def association_data(spark: SparkSession, params: SyntheticParams | None = None,
     hierarchy = terms.where("parent IS NOT NULL").select("parent", "term").union(_lateral(terms, p, seed))
     genes = durable(_genes(spark, p))
     annotations = durable(_annotations(genes, terms, p, seed))
-    a = genes.select(F.col("gene").alias("u"), "crew")
-    b = genes.select(F.col("gene").alias("v"), "crew")
-    ppi = a.join(b, "crew").where(F.col("u") < F.col("v")).where(uniform(seed, F.lit("ppi"), F.col("u"), F.col("v")) < p.p_ppi)
+    # the pairs of a crew are the input by definition; its genes are dealt to cells, so that they come into being in many tasks
+    cells = max(1, -(-max(p.n_signal_genes, p.n_noise_genes) // CELL))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells)
+    cell = F.pmod(F.xxhash64("u"), F.lit(cells)).alias("cell")
+    a = genes.select(F.col("gene").alias("u"), "crew").select("u", "crew", cell).repartition(parts, "crew", "cell")
+    b = genes.select(F.col("gene").alias("v"), "crew", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"))
+    ppi = a.join(b.repartition(parts, "crew", "cell"), ["crew", "cell"]).where(F.col("u") < F.col("v")).where(uniform(seed, F.lit("ppi"), F.col("u"), F.col("v")) < p.p_ppi)
     kinds = [(hierarchy.toDF("from", "to"), "hierarchy"), (annotations.toDF("from", "to"), "part_of"), (ppi.select("u", "v").toDF("from", "to"), "interaction")]
     tagged = [df.withColumn("type", F.lit(kind)) for df, kind in kinds]
     full = durable(tagged[0].union(tagged[1]).union(tagged[2]))

@@ -138,3 +138,12 @@ def test_chain_over_the_interaction_network(spark):
     assert found.graph.select("type").distinct().count() == 3
     found = found.staged(Stages(spark, reserved(spark)), n_graph=2, n_perm=1, params=association_params(walks_per_node=10, n_epochs=2))
     assert found.stats().count() == found.gene_to_pathway.distinct().count()
+
+
+def test_interactions_are_made_in_cells(spark, monkeypatch):
+    """All pairs of a crew used to come into being under one key. The edges are the same for any size of the cells."""
+    params = SyntheticParams(n_signal_genes=40, n_noise_genes=40, n_roots=3, depth=1)
+    told = lambda: sorted(tuple(r) for r in synthetic.association_data(spark, params).full_data.collect())
+    first = told()
+    monkeypatch.setattr(synthetic, "CELL", 7)
+    assert first == told() and sum(r[2] == "interaction" for r in first) > 0
