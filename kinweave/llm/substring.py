@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.durable import durable
+from kinweave.functions.durable import durable, mark, release
 from kinweave.llm.memory import forget
 from kinweave.llm.words import Runs, U64, Words, mixed, slices, sliding
 
@@ -225,8 +225,11 @@ def factored(docs: DataFrame, span: int = SPAN) -> DataFrame:
     )
     again = durable(held.groupBy("doc_key", "other_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_key", "other_key"))
     some = bool(again.limit(1).count())
+    since = mark()
     found = matches(held.select("doc_key", F.col("row.text").alias("text")), span, again if some else None)
-    own = found.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n_windows", "ref_key", "ref_start", "check")).alias("matches"))
+    # written, so that blocks, seeds and windows are off the disk before the texts are shuffled again
+    own = durable(found.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n_windows", "ref_key", "ref_start", "check")).alias("matches")))
+    release(since, last=False)
     factor = pa.struct({"start": pa.int32(), "length": pa.int32(), "ref_key": pa.int64(), "ref_start": pa.int32()})
 
     def run(batches):

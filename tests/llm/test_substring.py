@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.functions import durable
 from kinweave.llm import substring
 
 
@@ -127,3 +128,12 @@ def test_repeated_rows_cost_their_length_only(spark):
     assert got == sorted((str(d), *x) for (d, _), x in zip(rows, brute([t for _, t in rows], 35), strict=True))
     factors = {tuple(map(tuple, r.factors)) for r in substring.factored(docs).where("row.doc_id = 1").collect()}
     assert len(factors) == 1 and next(iter(factors))[0][:2] == (0, 3000)
+
+
+def test_blocks_and_windows_are_gone_before_the_texts_are_shuffled_again(spark):
+    text = " ".join("w%d" % i for i in range(80))
+    docs = spark.createDataFrame([(1, text), (2, "before " + text)], "doc_id long, text string")
+    since = durable.mark()
+    out = substring.factored(docs)
+    assert durable.mark() - since <= 2  # repeated rows and matches; blocks, their counts, the index and windows stayed before
+    assert {r.n_removed for r in out.collect()} == {80}

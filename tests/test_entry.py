@@ -3,9 +3,11 @@
 import shutil
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.functions import durable
 
@@ -41,3 +43,14 @@ def test_durable_tables_can_be_released(spark):
     assert folder.exists()
     durable.release(since)
     assert not folder.exists() and durable.mark() == since
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    local = Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {x for x in local.rglob("shuffle_*.data")}
+    before, was = files(), spark.conf.get(durable.SWEPT, "false")
+    table = durable.durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 7 and spark.conf.get(durable.SWEPT, "false") == was
