@@ -4,7 +4,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import graph, walks
+from kinweave.functions.durable import durable
+from kinweave.operators import components, graph, walks
 from kinweave.operators.components import connected_components
 
 
@@ -180,3 +181,14 @@ def test_a_draw_reads_rows_of_many_links(spark, monkeypatch):
     first = told()
     monkeypatch.setattr(walks, "CHUNK", 3)
     assert first == told()
+
+
+def test_edges_are_passed_over_once_a_level_not_in_each_contraction(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(f"C{rng.randrange(300)}", f"S{rng.randrange(40)}") for _ in range(6000)]
+    written = []
+    keep = lambda df: written.append(durable(df)) or written[-1]
+    monkeypatch.setattr(components, "durable", keep)
+    got = connected_components(spark.createDataFrame(pairs, "a string, b string"))
+    assert {r.component for r in got.collect()} == {min(a for a, _ in pairs)} and got.count() == len({x for p in pairs for x in p})
+    assert sum(t.count() > 1000 for t in written) == 1  # the edges themselves; every round wrote them before
