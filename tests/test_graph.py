@@ -192,3 +192,19 @@ def test_edges_are_passed_over_once_a_level_not_in_each_contraction(spark, monke
     got = connected_components(spark.createDataFrame(pairs, "a string, b string"))
     assert {r.component for r in got.collect()} == {min(a for a, _ in pairs)} and got.count() == len({x for p in pairs for x in p})
     assert sum(t.count() > 1000 for t in written) == 1  # the edges themselves; every round wrote them before
+
+
+def test_places_take_one_shuffle_and_no_window_of_the_rows(spark):
+    from kinweave.functions.ordered import placed_in_order
+
+    rows = [(i % 3, f"n{i % 50}", (i * 7919) % 101 / 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g long, node string, u double")
+    placed = placed_in_order(df, ["g"], ["u", "node"], ["node"], "place", 7)
+    got = placed.collect()
+    assert placed.columns == ["g", "node", "place"]
+    for g in range(3):
+        assert sorted(r.place for r in got if r.g == g) == list(range(sum(x[0] == g for x in rows)))
+    keyed = placed_in_order(df, ["g"], ["u", "node"], ["u"], "place", 7).orderBy("g", "place").collect()
+    assert [(r.g, r.u) for r in keyed] == [(g, u) for g, _, u in sorted(rows, key=lambda x: (x[0], x[2], x[1]))]
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and "Aggregate" in plan.split("Window ")[1]  # of one row a range
