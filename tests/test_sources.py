@@ -203,3 +203,12 @@ def test_catalog_changes_at_once(spark, tmp_path):
     plain = tmp_path / "plain"
     genes.write.parquet(str(plain / "gene_main"))
     assert Catalog(spark, str(plain)).gene_info().count() == 2
+
+
+def test_the_delimited_file_has_a_file_a_task(spark):
+    from kinweave.plans import catalog_queries
+
+    path = catalog_queries.delimited_file(spark, "/root/testdata/sf0.001").removeprefix("file:")
+    frame = spark.read.text(path)
+    assert frame.where("value = 'PARTICIPANT_A\tINTERACTION_TYPE\tPARTICIPANT_B'").count() == len(frame.inputFiles())
+    assert "part=" not in frame.inputFiles()[0]
