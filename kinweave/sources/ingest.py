@@ -125,10 +125,14 @@ def read_delimited(spark: SparkSession, path: str, counts: Observation | None =
 
 def interactions_pc(raw: DataFrame, genes: DataFrame) -> DataFrame:
     """from, to, type with symbols turned to ids; rows of which an end is unknown go. Of several ids the smallest counts."""
+    return _translated(raw, genes).distinct()
+
+
+def _translated(raw: DataFrame, genes: DataFrame) -> DataFrame:
     ids = genes.where("symbol IS NOT NULL").groupBy("symbol").agg(F.min("ensembl_id").alias("id"))
     out = raw.select(F.col("PARTICIPANT_A").alias("a"), F.col("PARTICIPANT_B").alias("b"), F.col("INTERACTION_TYPE").alias("type"))
     out = out.join(ids.select(F.col("symbol").alias("a"), F.col("id").alias("from")), "a")
-    return out.join(ids.select(F.col("symbol").alias("b"), F.col("id").alias("to")), "b").select("from", "to", "type").distinct()
+    return out.join(ids.select(F.col("symbol").alias("b"), F.col("id").alias("to")), "b").select("from", "to", "type")
 
 
 def interactions_combined(sources: dict[str, DataFrame]) -> DataFrame:
@@ -141,9 +145,17 @@ def interactions_combined(sources: dict[str, DataFrame]) -> DataFrame:
     return source_flags(parts, COMBINED)
 
 
+def combined_at_once(interactions: DataFrame, pathway_commons: DataFrame, genes: DataFrame, high: float = 0.85) -> DataFrame:
+    """As `interactions_combined` of all five sources, from the raw files: one pass over the interactions, and repeated rows go in the one grouping by edge."""
+    rows = expanded(interactions).where("targetA IS NOT NULL AND targetB IS NOT NULL").where((F.col("sourceDatabase") != "string") | (F.col("interactionScore") >= high))
+    own = human_edges(rows.select(F.col("targetA").alias("from"), F.col("targetB").alias("to"), F.col("sourceDatabase").alias("source")))
+    pc = _translated(pathway_commons, genes).select("from", "to", F.lit("pc").alias("source"))
+    return source_flags(own.where(F.col("source").isin([x for x in COMBINED if x != "pc"])).unionByName(pc), COMBINED)
+
+
 def source_flags(edges: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    wide = edges.groupBy("from", "to").pivot("source", list(names)).agg(F.count(F.lit(1)))
-    return wide.select("from", "to", *[F.coalesce(F.col(f"`{n}`") > 0, F.lit(False)).alias(n) for n in names])
+    """from, to and a boolean for each of ``names`` that the edge has as a source."""
+    return edges.groupBy("from", "to").agg(*[F.coalesce(F.bool_or(F.col("source") == n), F.lit(False)).alias(n) for n in names])
 
 
 def build_tables(targets: DataFrame, reactome: DataFrame, interactions: DataFrame, pathway_commons: DataFrame, ontology: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -166,5 +178,5 @@ def build_tables(targets: DataFrame, reactome: DataFrame, interactions: DataFram
         "interactions_reactome": own,
         "interactions_intact": intact,
         "interactions_pc": pc,
-        "interactions_combined": interactions_combined({"intact": intact, "pc": pc, "reactome": own, "signor": signor, "string": string}),
+        "interactions_combined": combined_at_once(interactions, pathway_commons, genes),
     }

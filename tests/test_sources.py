@@ -205,6 +205,21 @@ def test_catalog_changes_at_once(spark, tmp_path):
     assert Catalog(spark, str(plain)).gene_info().count() == 2
 
 
+def test_combined_at_once_is_what_the_sources_give(spark):
+    raw = [("ENSG1", "ENSG2", s, k, d) for s in (0.2, 0.85, 0.9, None) for k in ("physical association", None) for d in ("string", "intact", "signor", "reactome", "other", None)]
+    raw += [("ENSG3", x, 0.99, "a", d) for x in ("ENSG4", None, "ENSGGOG1", "MUS") for d in ("string", "intact")] + [("ENSG5", "ENSG6", 0.5, "a", "string"), ("ENSG7", "ENSG8", None, "a", "string")]
+    df = spark.createDataFrame(raw, "targetA string, targetB string, interactionScore double, interactionTypeShortName string, d string")
+    df = df.select("*", F.struct(F.col("d").alias("sourceDatabase")).alias("interactionResources")).drop("d")
+    genes = spark.createDataFrame([("ENSG1", "a", "x"), ("ENSG9", "b", "x")], "ensembl_id string, symbol string, biotype string")
+    pc = spark.createDataFrame([("a", "b", "t"), ("a", "b", "u"), ("a", "z", "t"), ("a", None, "t")], "PARTICIPANT_A string, PARTICIPANT_B string, INTERACTION_TYPE string")
+    parts = {"intact": ingest.interactions_intact(df), "pc": ingest.interactions_pc(pc, genes), "string": ingest.interactions_string(df)}
+    parts |= {x: ingest.typed_interactions(df, x) for x in ("reactome", "signor")}
+    want, got = (sorted(map(tuple, x.collect())) for x in (ingest.interactions_combined(parts), ingest.combined_at_once(df, pc, genes)))
+    assert got == want and len(got) == 3
+    plan = ingest.combined_at_once(df, pc, genes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 4  # interactions once, the file once and the genes for each end
+
+
 def test_the_delimited_file_has_a_file_a_task(spark):
     from kinweave.plans import catalog_queries
 
