@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from kinweave.functions.dealing import dealt
+
 #: List columns of the pathway file and the relation that each stands for.
 RELATION_OF = {"parents": "child_of", "children": "parent_of", "descendants": "ancestor_of", "ancestors": "descendant_of"}
 #: Substrings that an end of an interaction must and must not hold.
@@ -123,9 +125,12 @@ def read_delimited(spark: SparkSession, path: str, counts: Observation | None =
     return rows.where(F.col(bad).isNull()).drop(bad)
 
 
-def interactions_pc(raw: DataFrame, genes: DataFrame) -> DataFrame:
-    """from, to, type with symbols turned to ids; rows of which an end is unknown go. Of several ids the smallest counts."""
-    return _translated(raw, genes).distinct()
+def interactions_pc(raw: DataFrame, genes: DataFrame, rows: int = 0) -> DataFrame:
+    """from, to, type with symbols turned to ids; rows of which an end is unknown go. Of several ids the smallest counts.
+
+    ``rows``, about how many rows ``raw`` has, bounds the rows of a task.
+    """
+    return dealt(_translated(raw, genes), rows, "from", "to").distinct()
 
 
 def _translated(raw: DataFrame, genes: DataFrame) -> DataFrame:
@@ -145,12 +150,13 @@ def interactions_combined(sources: dict[str, DataFrame]) -> DataFrame:
     return source_flags(parts, COMBINED)
 
 
-def combined_at_once(interactions: DataFrame, pathway_commons: DataFrame, genes: DataFrame, high: float = 0.85) -> DataFrame:
+def combined_at_once(interactions: DataFrame, pathway_commons: DataFrame, genes: DataFrame, high: float = 0.85, rows: int = 0) -> DataFrame:
     """As `interactions_combined` of all five sources, from the raw files: one pass over the interactions, and repeated rows go in the one grouping by edge."""
-    rows = expanded(interactions).where("targetA IS NOT NULL AND targetB IS NOT NULL").where((F.col("sourceDatabase") != "string") | (F.col("interactionScore") >= high))
-    own = human_edges(rows.select(F.col("targetA").alias("from"), F.col("targetB").alias("to"), F.col("sourceDatabase").alias("source")))
+    found = expanded(interactions).where("targetA IS NOT NULL AND targetB IS NOT NULL").where((F.col("sourceDatabase") != "string") | (F.col("interactionScore") >= high))
+    own = human_edges(found.select(F.col("targetA").alias("from"), F.col("targetB").alias("to"), F.col("sourceDatabase").alias("source")))
     pc = _translated(pathway_commons, genes).select("from", "to", F.lit("pc").alias("source"))
-    return source_flags(own.where(F.col("source").isin([x for x in COMBINED if x != "pc"])).unionByName(pc), COMBINED)
+    every = own.where(F.col("source").isin([x for x in COMBINED if x != "pc"])).unionByName(pc)
+    return source_flags(dealt(every, 2 * rows, "from", "to"), COMBINED)
 
 
 def source_flags(edges: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -158,12 +164,12 @@ def source_flags(edges: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return edges.groupBy("from", "to").agg(*[F.coalesce(F.bool_or(F.col("source") == n), F.lit(False)).alias(n) for n in names])
 
 
-def build_tables(targets: DataFrame, reactome: DataFrame, interactions: DataFrame, pathway_commons: DataFrame, ontology: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All thirteen tables, lazily, for `Catalog.write`. ``ontology`` is what `ontology.parse_obo` returns."""
+def build_tables(targets: DataFrame, reactome: DataFrame, interactions: DataFrame, pathway_commons: DataFrame, ontology: dict[str, DataFrame], rows: int = 0) -> dict[str, DataFrame]:
+    """All thirteen tables, lazily, for `Catalog.write`. ``ontology`` is what `ontology.parse_obo` returns, ``rows`` about how many rows each interaction file has."""
     genes = gene_main(targets)
     string, intact = interactions_string(interactions), interactions_intact(interactions)
     signor, own = typed_interactions(interactions, "signor"), typed_interactions(interactions, "reactome")
-    pc = interactions_pc(pathway_commons, genes)
+    pc = interactions_pc(pathway_commons, genes, rows)
     spaces = ontology["namespace"].select(F.explode("ids").alias("id"), "name_space")
     return {
         "gene_main": genes,
@@ -178,5 +184,5 @@ def build_tables(targets: DataFrame, reactome: DataFrame, interactions: DataFram
         "interactions_reactome": own,
         "interactions_intact": intact,
         "interactions_pc": pc,
-        "interactions_combined": combined_at_once(interactions, pathway_commons, genes),
+        "interactions_combined": combined_at_once(interactions, pathway_commons, genes, rows=rows),
     }

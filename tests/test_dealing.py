@@ -1,5 +1,6 @@
 from kinweave.functions import dealing
 from kinweave.plans import driver_queries
+from kinweave.sources import ingest
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -21,3 +22,11 @@ def test_links_are_grouped_in_tasks_of_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(dealing, "TASK_ROWS", 200)
     assert exchanges() == 3  # lines, orders, and their links by both ends
     assert {tuple(r) for r in driver_queries.node_degree(spark, SMALL).collect()} == want
+
+
+def test_translated_rows_are_grouped_in_tasks_of_bounded_rows(spark):
+    genes = spark.createDataFrame([("ENSG1", "a", "x"), ("ENSG9", "b", "x")], "ensembl_id string, symbol string, biotype string")
+    pc = spark.createDataFrame([("a", "b", "t"), ("a", "b", "t")], "PARTICIPANT_A string, PARTICIPANT_B string, INTERACTION_TYPE string")
+    out = ingest.interactions_pc(pc, genes, 40 * dealing.TASK_ROWS)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("ENSG1", "ENSG9", "t")]
