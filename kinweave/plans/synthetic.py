@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import padded, uniform
@@ -12,8 +15,8 @@ from kinweave.functions.durable import durable
 from kinweave.params import SyntheticParams
 
 KINDS = ("barbell", "caveman", "stochastic_block")
-#: Genes of a crew that meet all others of it in one place.
-CELL = 256
+#: Genes whose partners are drawn in one task, about; partners that one stream of draws passes over; interactions to expect of a table that is stored, more are drawn anew for each use.
+CELL, SPAN, STORED = 256, 1 << 14, 1 << 22
 
 
 def _numbers(spark: SparkSession, n: int) -> DataFrame:
@@ -122,16 +125,13 @@ def association_data(spark: SparkSession, params: SyntheticParams | None = None,
     hierarchy = terms.where("parent IS NOT NULL").select("parent", "term").union(_lateral(terms, p, seed))
     genes = durable(_genes(spark, p))
     annotations = durable(_annotations(genes, terms, p, seed))
-    # the pairs of a crew are the input by definition; its genes are dealt to cells, so that they come into being in many tasks
-    cells = max(1, -(-max(p.n_signal_genes, p.n_noise_genes) // CELL))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells)
-    cell = F.pmod(F.xxhash64("u"), F.lit(cells)).alias("cell")
-    a = genes.select(F.col("gene").alias("u"), "crew").select("u", "crew", cell).repartition(parts, "crew", "cell")
-    b = genes.select(F.col("gene").alias("v"), "crew", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"))
-    ppi = a.join(b.repartition(parts, "crew", "cell"), ["crew", "cell"]).where(F.col("u") < F.col("v")).where(uniform(seed, F.lit("ppi"), F.col("u"), F.col("v")) < p.p_ppi)
+    ppi = _interactions(genes, p.p_ppi, seed)
     kinds = [(hierarchy.toDF("from", "to"), "hierarchy"), (annotations.toDF("from", "to"), "part_of"), (ppi.select("u", "v").toDF("from", "to"), "interaction")]
     tagged = [df.withColumn("type", F.lit(kind)) for df, kind in kinds]
-    full = durable(tagged[0].union(tagged[1]).union(tagged[2]))
+    anchors = max(p.n_signal_genes // max(1, p.n_roots - 1), 2)
+    expected = p.p_ppi * (p.n_signal_genes**2 + p.n_noise_genes**2 + max(0, p.n_roots - 1) * anchors**2) / 2
+    full = tagged[0].union(tagged[1]).union(tagged[2])
+    full = durable(full) if expected <= STORED else durable(tagged[0].union(tagged[1])).union(tagged[2])
     part_of = full.where("type = 'part_of'")
     ends = full.where("type = 'interaction'").select(F.explode(F.array("from", "to")).alias("gene"))
     return AssociationData(
@@ -142,6 +142,43 @@ def association_data(spark: SparkSession, params: SyntheticParams | None = None,
     )
 
 
+def _interactions(genes: DataFrame, share: float, seed: int) -> DataFrame:
+    """u, v: each pair of a crew of ``genes(gene, crew)``, numbered from 1 at the end of their names, with probability ``share``, the lesser name first.
+
+    For each gene the gaps between its partners among the later genes of its crew are drawn, which are geometric: the same distribution as a
+    draw for each pair, but work goes with the interactions and not with the pairs. The streams of draws hang on seed, gene and span alone.
+    """
+    number, sizes = F.regexp_extract("gene", r"(\d+)$", 1).cast("long"), genes.groupBy("crew").agg(F.count(F.lit(1)).alias("last"))
+    rows = genes.select("crew", F.regexp_extract("gene", r"^(.*_)\d+$", 1).alias("prefix"), number.alias("u")).join(F.broadcast(sizes), "crew").where("u < last")  # a row a crew
+    rows = rows.withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("u") - 1) / SPAN))))
+    begin = F.col("u") + 1 + F.col("span") * SPAN
+    rows = rows.select("prefix", "u", begin.alias("begin"), F.least(F.lit(SPAN), F.col("last") - begin + 1).alias("n"), F.xxhash64(F.lit(seed), F.lit("ppi"), "crew", "u", "span").alias("key"))
+    parts = max(int(genes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-genes.count() // CELL))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist() if share > 0 else ():
+                v = pa.array(row["begin"] + partners(row["key"], row["n"], share))
+                name = lambda x, prefix=row["prefix"]: pc.binary_join_element_wise(prefix, pc.utf8_lpad(pc.cast(x, pa.string()), 4, "0"), "")
+                left, right = pa.repeat(f"{row['prefix']}{row['u']:04d}", len(v)), name(v)
+                lesser = pc.less(left, right)
+                yield pa.RecordBatch.from_arrays([pc.if_else(lesser, left, right), pc.if_else(lesser, right, left)], ["u", "v"])
+
+    return rows.repartition(parts, "prefix", "u").mapInArrow(run, "u string, v string")
+
+
+def partners(key: int, n: int, share: float) -> np.ndarray:
+    """Numbers below ``n``, each with probability ``share``."""
+    rng, found, last = np.random.Generator(np.random.Philox(key=key & 0xFFFFFFFFFFFFFFFF)), [], -1
+    scale = np.log1p(-share) if share < 1 else -np.inf
+    while last < n:
+        gaps = np.minimum(np.floor(np.log1p(-rng.random(int(share * n + 6 * (share * n) ** 0.5) + 8)) / scale), n) + 1
+        found.append(last + np.cumsum(gaps).astype(np.int64))
+        last = int(found[-1][-1])
+    found = np.concatenate(found)
+    return found[found < n]
+
+
 def _forest(spark: SparkSession, p: SyntheticParams, seed: int) -> DataFrame:
     """term, subtree, level, parent; a term has branching - 1 plus 0 to 2 children. The path of places names a term."""
     level = spark.range(p.n_roots).select(F.col("id").cast("string").alias("path"), F.col("id").cast("int").alias("subtree"), F.lit(None).cast("string").alias("up"))
@@ -185,6 +222,10 @@ def _annotations(genes: DataFrame, terms: DataFrame, p: SyntheticParams, seed: i
         .otherwise(F.floor(uniform(seed, F.lit("subtree"), F.col("gene"), F.col("draw")) * p.n_roots))
         .cast("int")
     )
-    choices = draws.select("gene", "draw", subtree.alias("subtree")).join(terms.select("term", "subtree"), "subtree")
-    race = F.struct(uniform(seed, F.lit("term"), F.col("gene"), F.col("draw"), F.col("term")).alias("u"), F.col("term"))
-    return choices.groupBy("gene", "draw").agg(F.min(race)["term"].alias("term")).select("gene", "term").distinct()
+    # a number below the terms of the subtree is drawn; a race of all its terms took a hash for each of them
+    own = Window.partitionBy("subtree").orderBy("term")
+    numbered = durable(terms.select("term", "subtree", (F.row_number().over(own) - 1).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("subtree")).alias("n")))
+    sizes = numbered.where("place = 0").select("subtree", "n")
+    place = F.floor(uniform(seed, F.lit("term"), F.col("gene"), F.col("draw")) * F.col("n")).cast("int").alias("place")
+    choices = draws.select("gene", "draw", subtree.alias("subtree")).join(sizes, "subtree").select("gene", "subtree", place)
+    return choices.join(numbered.drop("n"), ["subtree", "place"]).select("gene", "term").distinct()

@@ -147,3 +147,22 @@ def test_interactions_are_made_in_cells(spark, monkeypatch):
     first = told()
     monkeypatch.setattr(synthetic, "CELL", 7)
     assert first == told() and sum(r[2] == "interaction" for r in first) > 0
+
+
+def test_interactions_are_drawn_by_gaps(spark):
+    """A draw for each pair made the work quadratic in the genes, whatever came of it."""
+    seen = np.zeros(50)
+    for key in range(4000):
+        found = synthetic.partners(key, 50, 0.05)
+        assert (np.diff(found) > 0).all()
+        seen[found] += 1
+    assert abs(seen.mean() / 4000 - 0.05) < 0.002 and np.abs(seen / 4000 - 0.05).max() < 0.015
+    assert list(synthetic.partners(1, 7, 1.0)) == list(range(7)) and not len(synthetic.partners(1, 0, 0.5))
+    genes = spark.range(1, 12_001).select(F.format_string("gene_noise_%04d", "id").alias("gene"), F.lit("noise").alias("crew"))
+    rows = [tuple(r) for r in synthetic._interactions(genes.where("gene < 'gene_noise_0301'").union(genes.where("gene < 'gene_noise_0301'").select(F.concat(F.lit("a_"), "gene"), F.lit("a"))), 0.2, 3).collect()]
+    crew = lambda name: name.split("gene")[0]
+    assert len(set(rows)) == len(rows) and all(u < v and crew(u) == crew(v) for u, v in rows)
+    assert abs(len(rows) / (300 * 299) - 0.2) < 0.01
+    far = synthetic._interactions(genes.limit(0).union(genes), 0.0001, 3)
+    assert all(r.u < r.v for r in far.collect()) and abs(far.count() - 7200) < 500
+    assert not synthetic._interactions(genes.limit(20), 0.0, 3).count()
